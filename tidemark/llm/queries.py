@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import packing, quality, sharding, wordpieces
+from tidemark.llm import decontaminate, packing, quality, sharding, toxicity, wordpieces
 from tidemark.llm.common import read
 
 
@@ -17,6 +17,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, read(spark, sf_dir, "labels")), 0.3)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -34,5 +39,9 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_plan(read(spark, sf_dir, "documents"), 16)
 
 
-QUERIES = {"op2_quality": op2_quality, "op4_packing": op4_packing, "op6_token_counts": op6_token_counts, "op9_sharding": op9_sharding}
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op10_decontaminate": op10_decontaminate, "op2_quality": op2_quality, "op4_packing": op4_packing, "op6_token_counts": op6_token_counts, "op9_sharding": op9_sharding}
 ORACLE_SQL: dict[str, str] = {}
