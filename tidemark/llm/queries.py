@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, packing, quality, sharding, toxicity, wordpieces
+from tidemark.llm import decontaminate, neardup, packing, quality, sharding, toxicity, wordpieces
 from tidemark.llm.common import read
 
 
@@ -35,6 +35,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpieces.token_counts(read(spark, sf_dir, "documents"), wordpieces.vocabulary(tokenizer_path()))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"), 85)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_plan(read(spark, sf_dir, "documents"), 16)
 
@@ -43,5 +47,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op10_decontaminate": op10_decontaminate, "op2_quality": op2_quality, "op4_packing": op4_packing, "op6_token_counts": op6_token_counts, "op9_sharding": op9_sharding}
+QUERIES = {"op1_toxicity": op1_toxicity, "op10_decontaminate": op10_decontaminate, "op2_quality": op2_quality, "op4_packing": op4_packing, "op6_token_counts": op6_token_counts, "op8_near_duplicates": op8_near_duplicates, "op9_sharding": op9_sharding}
 ORACLE_SQL: dict[str, str] = {}
