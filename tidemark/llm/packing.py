@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import numbered, texts, written
 
 #: Words whose ids a worker remembers at once.
-REMEMBERED = 400_000
+REMEMBERED = 1_200_000
 #: Rows of a plan at most: it goes to every executor. Counts of 4096 lengths give far fewer.
 PLAN_ROWS = 2_000_000
 
@@ -137,8 +137,14 @@ def place(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     return ranked.mapInArrow(look_up, schema)
 
 
+_MARKS = (b".", b",")
+
+
 class _Ids(dict):
-    """The ids of words, as little-endian unsigned 32-bit numbers; the tokenizer never joins across white space."""
+    """The ids of words, lower-cased A-Z, as little-endian unsigned 32-bit numbers.
+
+    The tokenizer lower-cases, never joins across white space, and splits one full stop or comma from the letters before it.
+    """
 
     def __init__(self, tokenizer_json: bytes) -> None:
         from tokenizers import Tokenizer
@@ -147,12 +153,16 @@ class _Ids(dict):
         self.tokenizer.encode_special_tokens = True
 
     def of(self, words: list[bytes]) -> list[bytes]:
-        if new := [w for w in dict.fromkeys(words) if w not in self]:
+        if new := {w for w in {*words} if w not in self}:
             if len(self) + len(new) > REMEMBERED:
                 self.clear()
-                new = list(dict.fromkeys(words))
-            for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
+                new = {*words}
+            marked = {w for w in new if len(w) > 1 and w[-1:] in _MARKS and 97 <= w[-2] <= 122}
+            plain = [w for w in {*(new - marked), *(w[:-1] for w in marked), *_MARKS} if w not in self]
+            for w, e in zip(plain, self.tokenizer.encode_batch_fast([w.decode() for w in plain], add_special_tokens=False), strict=True):
                 self[w] = np.array(e.ids, dtype="<u4").tobytes()
+            for w in marked:
+                self[w] = self[w[:-1]] + self[w[-1:]]
         return [*map(self.__getitem__, words)]
 
 
@@ -186,7 +196,7 @@ def _pieces(docs: DataFrame, tokenizer_json: bytes, capacity: int, end_id: int,
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = b"".join([*known.of(text.as_py().split()), end])
+                ids = b"".join([*known.of(text.as_py().lower().split()), end])
                 for i in range(0, len(ids) // 4, capacity):
                     part = ids[4 * i : 4 * (i + capacity)]
                     rows.append((doc_id, i // capacity, i, len(part) // 4, zlib.crc32(part) if digest else part))
