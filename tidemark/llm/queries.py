@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, neardup, packing, quality, sharding, toxicity, wordpieces
+from tidemark.llm import decontaminate, neardup, packing, quality, repeats, sharding, toxicity, wordpieces
 from tidemark.llm.common import read
 
 
@@ -31,6 +31,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), Path(tokenizer_path()).read_bytes(), 4096, 1)
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeats(read(spark, sf_dir, "documents"), 400).drop("spans")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpieces.token_counts(read(spark, sf_dir, "documents"), wordpieces.vocabulary(tokenizer_path()))
 
@@ -47,5 +51,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op10_decontaminate": op10_decontaminate, "op2_quality": op2_quality, "op4_packing": op4_packing, "op6_token_counts": op6_token_counts, "op8_near_duplicates": op8_near_duplicates, "op9_sharding": op9_sharding}
+QUERIES = {"op1_toxicity": op1_toxicity, "op10_decontaminate": op10_decontaminate, "op2_quality": op2_quality, "op4_packing": op4_packing, "op5_repeats": op5_repeats, "op6_token_counts": op6_token_counts, "op8_near_duplicates": op8_near_duplicates, "op9_sharding": op9_sharding}
 ORACLE_SQL: dict[str, str] = {}
