@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, neardup, packing, quality, repeats, sharding, toxicity, wordpieces
+from tidemark.llm import decontaminate, neardup, packing, paragraphs, quality, repeats, sharding, toxicity, wordpieces
 from tidemark.llm.common import read
 
 
@@ -39,6 +39,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpieces.token_counts(read(spark, sf_dir, "documents"), wordpieces.vocabulary(tokenizer_path()))
 
 
+def op7_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.without_paragraph_copies(read(spark, sf_dir, "documents"), 80)
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"), 85)
 
@@ -51,5 +55,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op10_decontaminate": op10_decontaminate, "op2_quality": op2_quality, "op4_packing": op4_packing, "op5_repeats": op5_repeats, "op6_token_counts": op6_token_counts, "op8_near_duplicates": op8_near_duplicates, "op9_sharding": op9_sharding}
+QUERIES = {"op1_toxicity": op1_toxicity, "op10_decontaminate": op10_decontaminate, "op2_quality": op2_quality, "op4_packing": op4_packing, "op5_repeats": op5_repeats, "op6_token_counts": op6_token_counts, "op7_paragraphs": op7_paragraphs, "op8_near_duplicates": op8_near_duplicates, "op9_sharding": op9_sharding}
 ORACLE_SQL: dict[str, str] = {}
