@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import texts
+from tidemark.llm.common import batches_of, texts
 
 #: Labelled documents of each class, at most, that the lexicon is learned from (those of the least hashes).
 LABELLED = 20_000
@@ -145,17 +146,14 @@ def _uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
     for batch in batches:
-        seen: dict[tuple[bytes, int, int], int] = {}
-        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("_toxic").to_pylist(), strict=True):
+        rows = zip(batch.column("text").to_pylist(), batch.column("_toxic").to_pylist(), strict=True)
+        for text, toxic in rows:
             words = text.translate(_CLAUSES).split()
-            for a, w, b in zip([b"", *words], words, [*words[1:], b""], strict=False):
-                around = xxhash.xxh64_intdigest(a + b" " + b) >> 1
-                seen[w, around, toxic] = 1
-                if len(w) >= STEM:
-                    seen[w[:STEM] + b"*", around, toxic] = 1
-        words, arounds, marks = [*zip(*seen, strict=True)] or [()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(arounds, pa.int64()), pa.array(marks, pa.int32())], ["word", "around", "toxic"])
-
+            around = [xxhash.xxh64_intdigest(a + b" " + b) >> 1 for a, b in zip([b"", *words], [*words[1:], b""], strict=False)]
+            seen = {*zip(words, around, strict=False)}
+            seen |= {(w[:STEM] + b"*", h) for w, h in seen if len(w) >= STEM}
+            for some in batches_of(seen, 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in some], pa.binary()), pa.array([h for _, h in some], pa.int64()), pa.array(np.full(len(some), toxic, np.int32))], ["word", "around", "toxic"])
 
 
 def score(docs: DataFrame, lexicon: dict[bytes, float], threshold: float = 0.3) -> DataFrame:
