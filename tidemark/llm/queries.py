@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, neardup, packing, paragraphs, quality, repeats, sharding, toxicity, wordpieces
+from tidemark.llm import decontaminate, lm, neardup, packing, paragraphs, quality, repeats, sharding, toxicity, wordpieces
 from tidemark.llm.common import read
 
 
@@ -27,6 +27,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(read(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), Path(tokenizer_path()).read_bytes(), 4096, 1)
 
@@ -55,5 +59,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op10_decontaminate": op10_decontaminate, "op2_quality": op2_quality, "op4_packing": op4_packing, "op5_repeats": op5_repeats, "op6_token_counts": op6_token_counts, "op7_paragraphs": op7_paragraphs, "op8_near_duplicates": op8_near_duplicates, "op9_sharding": op9_sharding}
+QUERIES = {"op1_toxicity": op1_toxicity, "op10_decontaminate": op10_decontaminate, "op2_quality": op2_quality, "op3_scores": op3_scores, "op4_packing": op4_packing, "op5_repeats": op5_repeats, "op6_token_counts": op6_token_counts, "op7_paragraphs": op7_paragraphs, "op8_near_duplicates": op8_near_duplicates, "op9_sharding": op9_sharding}
 ORACLE_SQL: dict[str, str] = {}
