@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, packing, quality
+from tidemark.llm import decontaminate, neardup, packing, quality, repeats
 from tidemark.llm.common import read, written
 from tidemark.llm.queries import tokenizer_path
 
@@ -19,6 +19,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.passing(docs, read(spark, sf_dir, "labels"))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of the documents that links of a Jaccard similarity of 0.8 or more join, the one of the least doc_id stays."""
+    return neardup.without_near_duplicates(docs, 80)
+
+
+def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes in strings of 400 that also start elsewhere go, and with them documents of nothing else."""
+    return repeats.without_repeats(docs, 400)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a copy of a test item, edited or not, go."""
     return decontaminate.without_contaminated(docs, read(spark, sf_dir, "benchmark"))
@@ -29,7 +39,13 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return packing.pack(docs, Path(tokenizer_path()).read_bytes(), 4096, 1)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality_rules", quality_rules), ("decontamination", decontamination), ("best_fit_packing", best_fit_packing)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("suffix_array", suffix_array),
+    ("decontamination", decontamination),
+    ("best_fit_packing", best_fit_packing),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
