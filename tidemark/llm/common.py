@@ -33,7 +33,22 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, without its lineage, whole if an executor is lost."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove ``written`` tables that nothing will read again, and let Spark drop shuffle files that only finished jobs used.
+
+    Spark cleans those up once the driver has collected its garbage, which else may not happen for half an hour.
+    """
+    for t in tables:
+        sc = t.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(t._written)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        sc._jvm.System.gc()
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:

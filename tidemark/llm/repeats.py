@@ -4,13 +4,14 @@ A suffix array of every byte is far more than the answer needs. Suffixes are sam
 window start's minimizer, the least hash of a K-byte string among the next W positions, is the *anchor* of that start. Equal
 windows of ``length`` bytes have their anchors at equal places, so a repeated window's anchor starts a repeated run of anchors.
 
-Prefix doubling finds those: an anchor's first rank orders what lies between it and the next anchor; pairs of ranks, at offsets of
-1, 2, 4 ... anchors, are sorted and ranked anew. An anchor whose pair is unique drops out; one whose next doubling would leave
+Prefix doubling finds those: an anchor's first rank orders what lies from it to the second next anchor; pairs of ranks, at offsets
+of 2, 4, 8 ... anchors, are sorted and ranked anew. An anchor whose pair is unique drops out; one whose next doubling would leave
 the bytes that equal windows surely share is past the threshold and stays.
 
 For the anchors that stay, all windows they are responsible for are hashed at once (the bytes from the first to the end of
 the last). Where that string repeats, every one of its windows does. Where it is unique while its run repeats, a copy begins or
-ends there, and its windows are hashed one by one, with those of one of each kind of the anchors in the same class.
+ends there, and its windows are hashed one by one, with those of one of each kind of the anchors that the bytes common to all of an
+anchor's windows are equal for.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import texts, written
+from tidemark.llm.common import release, texts, written
 from tidemark.llm.links import BROADCAST_IDS
 from tidemark.llm.shingles import mix
 
@@ -69,8 +70,6 @@ def _ranks(length: int):
                 many.append(n)
                 if not n:
                     continue
-                ends = at.tolist()
-                hashes += [xxhash.xxh64_intdigest(t[a : b + K]) for a, b in zip(ends, ends[1:], strict=False)]
                 level, step = np.zeros(n, dtype=np.int32), 2
                 while step <= len(at) - 1:
                     near = np.flatnonzero(at[step:] - at[:-step] <= shared)
@@ -78,6 +77,8 @@ def _ranks(length: int):
                         break
                     level[near] = step.bit_length() - 1
                     step *= 2
+                ends = at[np.arange(n) + np.minimum(level, 1) + 1] + K
+                hashes += [xxhash.xxh64_intdigest(t[a:b]) for a, b in zip(at.tolist(), ends.tolist(), strict=False)]
                 index.append(np.arange(n, dtype=np.int32))
                 place.append(at[:-1])
                 levels.append(level)
@@ -93,54 +94,64 @@ def _ranked(rows: DataFrame, by: list[str]) -> DataFrame:
     """``rows`` whose ``by`` others share, with ``rank`` in place of it: the sorted combinations are numbered, rising with them."""
     several = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*by)
     order = written(several.orderBy(*by).withColumn("_rank", F.monotonically_increasing_id()), "ranks")
-    return written(rows.join(order, by).drop(*by).withColumnRenamed("_rank", "rank"), "ranked")
+    out = written(rows.join(order, by).drop(*by).withColumnRenamed("_rank", "rank"), "ranked")
+    release(order, rows)
+    return out
 
 
 def repeated_runs(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id, fp, at, level, rank of the anchors whose run repeats; equal (level, rank) mean equal runs. Written."""
+    """doc_id, fp, at of the anchors whose run repeats. Written."""
     rows = written(docs.mapInArrow(_ranks(length), "doc_id long, fp long, i int, at long, levels int, r long"), "anchors")
-    now, level, stay = _ranked(rows, ["r"]), 0, []
+    now, level, stay = _ranked(rows, ["r"]), 1, []
     while True:
-        stay.append(now.where(F.col("levels") == level).select("doc_id", "fp", "at", F.lit(level).alias("level"), "rank"))
+        stay.append(written(now.where(F.col("levels") <= level).select("doc_id", "fp", "at"), "runs"))
         more = now.where(F.col("levels") > level)
         if more.isEmpty():
             break
         # Anchors that can't double again still follow others in pairs.
         after = now.select(F.col("doc_id").alias("_d"), F.col("fp").alias("_f"), (F.col("i") - 2**level).alias("_i"), F.col("rank").alias("next")).distinct()
-        pairs = more.join(after, _same("doc_id", "fp", "_d", "_f") & (F.col("i") == F.col("_i"))).drop("_d", "_f", "_i")
-        now, level = _ranked(written(pairs, "pairs"), ["rank", "next"]), level + 1
+        pairs = written(more.join(after, _same("doc_id", "fp", "_d", "_f") & (F.col("i") == F.col("_i"))).drop("_d", "_f", "_i"), "pairs")
+        release(now)
+        now, level = _ranked(pairs, ["rank", "next"]), level + 1
+    release(now)
     out = stay[0]
     for s in stay[1:]:
         out = out.unionByName(s)
-    return written(out, "runs")
+    return out
 
 
 def _same(d: str, f: str, d2: str, f2: str):
     return F.col(d).eqNullSafe(F.col(d2)) & (F.col(f) == F.col(f2))
 
 
-def _with_texts(docs: DataFrame, rows: DataFrame, value: str) -> DataFrame:
-    """Each document that has ``rows``, with its distinct ``value`` structs as a list, ``marks``."""
-    marks = written(rows.groupBy(F.col("doc_id").alias("_d"), F.col("fp").alias("_f")).agg(F.sort_array(F.collect_set(value)).alias("marks")), "marks")
-    ids = marks.select(F.col("_d").alias("_w")).where("_w is not null").distinct()
+def _marked(rows: DataFrame, value: Column) -> DataFrame:
+    """For each document that has ``rows``, their distinct ``value`` structs as a list, ``marks``. Written."""
+    return written(rows.groupBy(F.col("doc_id").alias("_d"), F.col("fp").alias("_f")).agg(F.sort_array(F.collect_set(value)).alias("marks")), "marks")
+
+
+def _with_texts(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The documents that have marks, with them."""
     if marks.count() <= BROADCAST_IDS:  # spares the shuffle of other documents' texts
-        docs = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("_w"), "left_semi").unionByName(docs.where("doc_id is null"))
+        wanted = F.broadcast(marks.select(F.col("_f").alias("_w")).distinct())
+        docs = docs.join(wanted, F.col("fp") == F.col("_w"), "left_semi")
     return docs.join(marks, _same("doc_id", "fp", "_d", "_f")).select("doc_id", "fp", "text", "marks")
 
 
 def _whole(length: int):
-    """For marked anchors: their windows' bytes as one string, hashed."""
+    """For marked anchors: their windows' bytes as one string, hashed, and as cls the bytes that any window of the anchor has."""
+    core = length - W + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             of, cls, first, last, h1, h2 = [], [], [], [], [], []
             for k, (t, marks) in enumerate(zip(batch.column("text").to_pylist(), batch.column("marks").to_pylist(), strict=True)):
-                where = {m["at"]: m["cls"] for m in marks}
+                where = {m["at"] for m in marks}
                 for a, s, e in zip(*(x.tolist() for x in anchors(t)), strict=True):
                     e = min(e, len(t) - length)
                     if a in where and s <= e:
                         h = xxhash.xxh3_128_intdigest(t[s : e + length])
-                        of.append(k), cls.append(where[a]), first.append(s), last.append(e), h1.append((h >> 64) - 2**63), h2.append((h & (2**64 - 1)) - 2**63)
+                        c = xxhash.xxh64_intdigest(t[a : a + core])
+                        of.append(k), cls.append(c - 2**63), first.append(s), last.append(e), h1.append((h >> 64) - 2**63), h2.append((h & (2**64 - 1)) - 2**63)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(of, pa.int64())), batch.column("fp").take(pa.array(of, pa.int64())), *(pa.array(x, pa.int64()) for x in (cls, first, last, h1, h2))], ["doc_id", "fp", "cls", "s", "e", "h1", "h2"])
 
     return run
@@ -162,19 +173,22 @@ def _single(length: int):
 
 
 def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id, fp, s, e: ranges of starts of windows of ``length`` bytes that also start elsewhere."""
-    runs = repeated_runs(docs, length).withColumn("cls", F.xxhash64("level", "rank"))
-    marked = _with_texts(docs, runs, F.struct("at", "cls"))
-    whole = written(marked.mapInArrow(_whole(length), "doc_id long, fp long, cls long, s long, e long, h1 long, h2 long"), "windows")
+    """doc_id, fp, s, e: ranges of starts of windows of ``length`` bytes that also start elsewhere. Written."""
+    marks = _marked(repeated_runs(docs, length), F.struct("at"))
+    whole = written(_with_texts(docs, marks).mapInArrow(_whole(length), "doc_id long, fp long, cls long, s long, e long, h1 long, h2 long"), "windows")
+    release(marks)
     kinds = whole.groupBy("h1", "h2", "cls").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "fp", "s", "e")).alias("one"))
     kinds = written(kinds, "kinds")
-    ranges = whole.join(kinds.where("n > 1").select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select("doc_id", "fp", "s", "e")
-    # Classes with a kind of their own and another one: there a copy may begin or end within an anchor's windows.
+    ranges = written(whole.join(kinds.where("n > 1").select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select("doc_id", "fp", "s", "e"), "ranges")
+    # Where a kind of its own shares those bytes with another, a copy may begin or end within an anchor's windows.
     mixed = kinds.groupBy("cls").agg(F.min("n").alias("_least"), F.count(F.lit(1)).alias("_kinds")).where("_least = 1 and _kinds > 1").select("cls")
-    each = kinds.join(mixed, "cls", "left_semi").select("one.*")
-    single = written(_with_texts(docs, each, F.struct("s", "e")).mapInArrow(_single(length), "doc_id long, fp long, s long, h1 long, h2 long"), "windows")
+    marks = _marked(kinds.join(mixed, "cls", "left_semi").select("one.*"), F.struct("s", "e"))
+    release(whole, kinds)
+    single = written(_with_texts(docs, marks).mapInArrow(_single(length), "doc_id long, fp long, s long, h1 long, h2 long"), "windows")
     several = single.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("h1", "h2")
-    return ranges.unionByName(single.join(several, ["h1", "h2"], "left_semi").select("doc_id", "fp", "s", F.col("s").alias("e")))
+    more = written(single.join(several, ["h1", "h2"], "left_semi").select("doc_id", "fp", "s", F.col("s").alias("e")), "ranges")
+    release(marks, single)
+    return ranges.unionByName(more)
 
 
 def spans_of(ranges: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
@@ -236,11 +250,14 @@ def repeats(docs: DataFrame, length: int = 400) -> DataFrame:
 def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     """``docs`` with every column, its texts without the bytes that ``repeats`` removes; texts that nothing is left of go.
 
-    A cut inside a character takes the character's other bytes too. Texts that were empty or null before stay.
+    A cut inside a character takes the character's other bytes too. Where there is a column n_chars, it follows. Texts that were empty or null before stay.
     """
     whole = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")
     plain = _fingerprinted(docs)
     rows = _fingerprinted(whole, "_row").join(_marks(plain, length), _same("doc_id", "fp", "_d", "_f"), "left").select("_row", "text", "marks")
     cut = rows.where("marks is not null").mapInArrow(_cut(length, True), f"_row {docs.schema.simpleString()}, spans array<struct<start: long, end: long>>, kept binary")
-    cut = cut.select(F.col("_row").withField("text", F.col("kept").cast("string")).alias("_row")).where(F.length("_row.text") > 0)
+    new = F.col("_row").withField("text", F.col("kept").cast("string"))
+    if "n_chars" in docs.columns:
+        new = new.withField("n_chars", F.length(F.col("kept").cast("string")).cast(docs.schema["n_chars"].dataType))
+    cut = cut.select(new.alias("_row")).where(F.length("_row.text") > 0)
     return rows.where("marks is null").select("_row").unionByName(cut).select("_row.*")
