@@ -8,17 +8,17 @@ Insults are learned from labelled documents: whole words, and word beginnings th
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import batches_of, texts
 
-#: Labelled documents of each class, at most, that the lexicon is learned from (those of the least hashes).
-LABELLED = 20_000
+#: Labelled clean and toxic documents, at most, that the lexicon is learned from (those of the least hashes).
+LABELLED = (20_000, 8_000)
 #: Entries of the lexicon at most: the best supported.
 LEXICON = 20_000
 #: Bytes of a word beginning.
@@ -126,34 +126,48 @@ def held_out(column: str = "doc_id") -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> dict[bytes, float]:
-    """The lexicon, from at most LABELLED documents of each class, none of them held out.
+    """The lexicon, from at most LABELLED documents, none of them held out.
 
     A word's support is in how many surroundings (the words beside it) toxic documents use it: copies of a document add
-    nothing. Its weight is the share of toxic among its uses, smoothed towards a low prior; those under one half are left out.
+    nothing. Its weight is the share of toxic among its uses, clean documents counted four times, smoothed towards a low prior;
+    weights under one half are left out.
     """
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min("toxic").alias("_low"), F.max("toxic").alias("_toxic")).where("_low = _toxic")
-    some = [marked.where(F.col("_toxic") == c).orderBy(F.xxhash64("_id"), "_id").limit(LABELLED).select("_id", "_toxic") for c in (0, 1)]
-    chosen = F.broadcast(some[0].unionByName(some[1]))  # at most 2 * LABELLED rows
+    some = [marked.where(F.col("_toxic") == c).orderBy(F.xxhash64("_id"), "_id").limit(LABELLED[c]).select("_id", "_toxic") for c in (0, 1)]
+    chosen = F.broadcast(some[0].unionByName(some[1]))  # at most the sum of LABELLED
     rows = texts(docs).join(chosen, F.col("doc_id") == F.col("_id")).select("text", "_toxic")
-    found = rows.mapInArrow(_uses, "word binary, around long, toxic int").groupBy("word", "around").agg(F.max("toxic").alias("toxic"), F.min("toxic").alias("low"))
-    found = found.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("low")).alias("c")).where("t >= 3")
+    found = rows.mapInArrow(_uses, "word binary, around long, n long").groupBy("word", "around").agg(F.sum("n").alias("n"))
+    found = found.groupBy("word").agg(F.count("around").alias("t"), F.sum("n").alias("c")).where("t >= 3")
     found = found.withColumn("weight", (F.col("t") + 0.1) / (F.col("t") + 4 * F.col("c") + 0.5)).where("weight >= 0.5")
     best = found.orderBy(F.desc(F.col("weight") * F.log1p("t")), "word").limit(LEXICON)
     return {bytes(r["word"]): min(0.95, r["weight"]) for r in best.collect()}
 
 
 def _uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """word, around, n: a toxic document's words and stems with what surrounds them (n = 0), and how many clean documents have each (no around)."""
     import xxhash
 
+    def give(words: list[bytes], around: list[int | None], n: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(around, pa.int64()), pa.array(n, pa.int64())], ["word", "around", "n"])
+
+    clean: Counter = Counter()
     for batch in batches:
-        rows = zip(batch.column("text").to_pylist(), batch.column("_toxic").to_pylist(), strict=True)
-        for text, toxic in rows:
+        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("_toxic").to_pylist(), strict=True):
             words = text.translate(_CLAUSES).split()
+            if not toxic:
+                clean.update(forms := {*words})
+                clean.update({w[:STEM] + b"*" for w in forms if len(w) >= STEM})
+                if len(clean) > 300_000:
+                    yield give([*clean], [None] * len(clean), [*clean.values()])
+                    clean.clear()
+                continue
             around = [xxhash.xxh64_intdigest(a + b" " + b) >> 1 for a, b in zip([b"", *words], [*words[1:], b""], strict=False)]
             seen = {*zip(words, around, strict=False)}
             seen |= {(w[:STEM] + b"*", h) for w, h in seen if len(w) >= STEM}
             for some in batches_of(seen, 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in some], pa.binary()), pa.array([h for _, h in some], pa.int64()), pa.array(np.full(len(some), toxic, np.int32))], ["word", "around", "toxic"])
+                yield give([w for w, _ in some], [h for _, h in some], [0] * len(some))
+    if clean:
+        yield give([*clean], [None] * len(clean), [*clean.values()])
 
 
 def score(docs: DataFrame, lexicon: dict[bytes, float], threshold: float = 0.3) -> DataFrame:
