@@ -8,6 +8,7 @@ Insults are learned from labelled documents: whole words, and word beginnings th
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -15,14 +16,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import batches_of, texts
+from tidemark.llm.common import batches_of, texts, written
 
 #: Labelled clean and toxic documents, at most, that the lexicon is learned from (those of the least hashes).
 LABELLED = (20_000, 8_000)
 #: Entries of the lexicon at most: the best supported.
 LEXICON = 20_000
+#: The chance that any word is in the lexicon by mere chance.
+ERROR = 0.01
 #: Bytes of a word beginning.
-STEM = 4
+STEM = 5
 #: A document of no match: less than any match.
 NO_MATCH = 0.02
 
@@ -128,17 +131,25 @@ def held_out(column: str = "doc_id") -> Column:
 def learn(docs: DataFrame, labels: DataFrame) -> dict[bytes, float]:
     """The lexicon, from at most LABELLED documents, none of them held out.
 
-    A word's support is in how many surroundings (the words beside it) toxic documents use it: copies of a document add
-    nothing. Its weight is the share of toxic among its uses, clean documents counted four times, smoothed towards a low prior;
-    weights under one half are left out.
+    A word's support is in how many surroundings (the words beside its use, one a document) toxic documents have it: copies of a
+    document add nothing. It must be too high for chance (the tail bound of the binomial distribution, over all words together
+    at most ERROR). The weight is the share of toxic, clean documents counted four times, smoothed towards a low prior; weights under one half are left out.
     """
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min("toxic").alias("_low"), F.max("toxic").alias("_toxic")).where("_low = _toxic")
     some = [marked.where(F.col("_toxic") == c).orderBy(F.xxhash64("_id"), "_id").limit(LABELLED[c]).select("_id", "_toxic") for c in (0, 1)]
     chosen = F.broadcast(some[0].unionByName(some[1]))  # at most the sum of LABELLED
     rows = texts(docs).join(chosen, F.col("doc_id") == F.col("_id")).select("text", "_toxic")
     found = rows.mapInArrow(_uses, "word binary, around long, n long").groupBy("word", "around").agg(F.sum("n").alias("n"))
-    found = found.groupBy("word").agg(F.count("around").alias("t"), F.sum("n").alias("c")).where("t >= 3")
-    found = found.withColumn("weight", (F.col("t") + 0.1) / (F.col("t") + 4 * F.col("c") + 0.5)).where("weight >= 0.5")
+    found = written(found.groupBy("word").agg(F.count("around").alias("t"), F.sum("n").alias("c")).where("t >= 3"), "uses")
+    n = {r["_toxic"]: r["n"] for r in chosen.groupBy("_toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not n.get(1):
+        return {}
+    share = n[1] / (n[1] + n.get(0, 0) + 1)
+    t, c = F.col("t").cast("double"), F.col("c").cast("double")
+    part = t / (t + c)
+    excess = t * F.log(part / share) + F.when(c > 0, c * F.log((1 - part) / (1 - share))).otherwise(0.0)
+    certain = (part > share) & (excess >= math.log(max(1, found.count()) / ERROR))
+    found = found.where(certain).withColumn("weight", (t + 0.1) / (t + 4 * c + 0.5)).where("weight >= 0.5")
     best = found.orderBy(F.desc(F.col("weight") * F.log1p("t")), "word").limit(LEXICON)
     return {bytes(r["word"]): min(0.95, r["weight"]) for r in best.collect()}
 
@@ -162,9 +173,11 @@ def _uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     clean.clear()
                 continue
             around = [xxhash.xxh64_intdigest(a + b" " + b) >> 1 for a, b in zip([b"", *words], [*words[1:], b""], strict=False)]
-            seen = {*zip(words, around, strict=False)}
-            seen |= {(w[:STEM] + b"*", h) for w, h in seen if len(w) >= STEM}
-            for some in batches_of(seen, 20_000):
+            seen: dict[bytes, int] = {}
+            for w, h in zip(words, around, strict=False):
+                for form in (w, w[:STEM] + b"*") if len(w) >= STEM else (w,):
+                    seen[form] = min(h, seen.get(form, h))
+            for some in batches_of(seen.items(), 20_000):
                 yield give([w for w, _ in some], [h for _, h in some], [0] * len(some))
     if clean:
         yield give([*clean], [None] * len(clean), [*clean.values()])
