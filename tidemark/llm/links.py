@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import in_order, written
+from tidemark.llm.common import in_order, release, written
 from tidemark.llm.shingles import HyperMinHash
 
 #: A list of ids up to this length is broadcast; a longer one is joined by a shuffle.
@@ -30,11 +30,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        large = written(large, "edges")
+        large, old = written(large, "edges"), e
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         e = written(small.where("u > v").distinct(), "edges")
+        release(large, old)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -86,14 +87,13 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, sketches: HyperMi
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            col = lambda c: batch.column(c).to_pylist()
+            of = lambda c, i, kind: np.frombuffer(batch.column(c)[i].as_buffer(), kind)
             keep = []
-            hints = zip(col("sketch_a"), col("sketch_b"), strict=True) if sketches else ((None, None) for _ in range(batch.num_rows))
-            for x, y, (s, r) in zip(col("elements_a"), col("elements_b"), hints, strict=True):
-                if sketches and sketches.similarity(np.frombuffer(s, np.uint16), np.frombuffer(r, np.uint16)) < least:
+            for i in range(batch.num_rows):
+                if sketches and sketches.similarity(of("sketch_a", i, np.uint16), of("sketch_b", i, np.uint16)) < least:
                     keep.append(False)
                     continue
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                x, y = of("elements_a", i, np.uint64), of("elements_b", i, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -103,9 +103,11 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, sketches: HyperMi
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [np.frombuffer(x, np.int64) for x in batch.column("elements").to_pylist()]
-        many = np.array([len(x) for x in sets], dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("id").to_numpy(), many)), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64))], ["id", "x"])
+        for start in range(0, batch.num_rows, 500):
+            some = batch.slice(start, 500)
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in some.column("elements")]
+            many = np.array([len(x) for x in sets], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(some.column("id").to_numpy(), many)), pa.array(np.concatenate(sets))], ["id", "x"])
 
 
 def further_pairs(buckets: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame | None:
@@ -148,6 +150,7 @@ def linked(buckets: DataFrame, sets: DataFrame, percent: int, sketches: HyperMin
     if more is None:
         return found
     extra = written(confirmed(more, sets, percent, sketches), "links")
+    release(links)
     if extra.isEmpty():
         return found
     return written(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(extra)), "components")

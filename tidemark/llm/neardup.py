@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import texts, written
+from tidemark.llm.common import release, texts, written
 from tidemark.llm.links import candidates, linked, only
 from tidemark.llm.shingles import HyperMinHash, shingle_set
 
@@ -53,6 +53,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     buckets = candidates(bands)
     sets = written(only(plain, "doc_id", written(buckets.select("id").distinct(), "ids")).mapInArrow(_sets, "id long, n long, elements binary, sketch binary").dropDuplicates(["id", "elements"]), "sets")
     found = linked(buckets, sets, percent, SKETCHES)
+    release(buckets, sets)
     members = sets_.select("doc_id", "same").join(first, "same").select("doc_id", "rep").distinct()
     edges = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     repeated = members.groupBy("doc_id").agg(F.countDistinct("rep").alias("k")).where("k > 1").isEmpty()

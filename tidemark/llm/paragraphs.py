@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import texts, written
+from tidemark.llm.common import release, texts, written
 from tidemark.llm.links import BROADCAST_IDS, candidates, linked
 from tidemark.llm.shingles import WIDTH, MinHash, mix, tuned, windows, word_hashes
 
@@ -95,6 +95,7 @@ def paragraph_copies(docs: DataFrame, percent: int = 80) -> DataFrame:
     held = some.join(marks, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("fp") == F.col("_f"))).select("text", "marks")
     sets = written(held.mapInArrow(_sets_of, "id long, n long, elements binary").dropDuplicates(["id"]), "sets")
     found = linked(buckets, sets, percent).withColumnRenamed("id", "_id")
+    release(ids, marks, buckets, sets)
     return rows.drop("bands").join(found, F.col("id") == F.col("_id"), "left").select("doc_id", "fp", "i", "id", F.coalesce("component", "id").alias("component"))
 
 

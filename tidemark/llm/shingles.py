@@ -7,7 +7,7 @@ import xxhash
 
 WIDTH = 5
 #: Words whose hashes a worker remembers at once.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 _rng = np.random.default_rng(20240117)
 _PLACE = _rng.integers(0, 2**63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
