@@ -32,3 +32,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_ORACLES)
+
+
+from tidemark.plans import bar_queries  # noqa: E402, F401
