@@ -30,7 +30,7 @@ from tidemark.llm.links import BROADCAST_IDS
 from tidemark.llm.shingles import mix
 
 #: Bytes of a hashed string, and positions among which its least hash is taken.
-K, W = 16, 96
+K, W = 16, 112
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -162,12 +162,12 @@ def _single(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of, at, h1, h2 = [], [], [], []
+            of, at, own, h1, h2 = [], [], [], [], []
             for k, (t, marks) in enumerate(zip(batch.column("text").to_pylist(), batch.column("marks").to_pylist(), strict=True)):
-                for p in (p for m in marks for p in range(m["s"], m["e"] + 1)):
+                for p, o in ((p, m["own"]) for m in marks for p in range(m["s"], m["e"] + 1)):
                     h = xxhash.xxh3_128_intdigest(t[p : p + length])
-                    of.append(k), at.append(p), h1.append((h >> 64) - 2**63), h2.append((h & (2**64 - 1)) - 2**63)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(of, pa.int64())), batch.column("fp").take(pa.array(of, pa.int64())), *(pa.array(x, pa.int64()) for x in (at, h1, h2))], ["doc_id", "fp", "s", "h1", "h2"])
+                    of.append(k), at.append(p), own.append(o), h1.append((h >> 64) - 2**63), h2.append((h & (2**64 - 1)) - 2**63)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(of, pa.int64())), batch.column("fp").take(pa.array(of, pa.int64())), pa.array(at, pa.int64()), pa.array(own, pa.bool_()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], ["doc_id", "fp", "s", "own", "h1", "h2"])
 
     return run
 
@@ -182,11 +182,11 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
     ranges = written(whole.join(kinds.where("n > 1").select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select("doc_id", "fp", "s", "e"), "ranges")
     # Where a kind of its own shares those bytes with another, a copy may begin or end within an anchor's windows.
     mixed = kinds.groupBy("cls").agg(F.min("n").alias("_least"), F.count(F.lit(1)).alias("_kinds")).where("_least = 1 and _kinds > 1").select("cls")
-    marks = _marked(kinds.join(mixed, "cls", "left_semi").select("one.*"), F.struct("s", "e"))
+    marks = _marked(kinds.join(mixed, "cls", "left_semi").select("one.*", (F.col("n") == 1).alias("own")), F.struct("s", "e", "own"))
     release(whole, kinds)
-    single = written(_with_texts(docs, marks).mapInArrow(_single(length), "doc_id long, fp long, s long, h1 long, h2 long"), "windows")
+    single = written(_with_texts(docs, marks).mapInArrow(_single(length), "doc_id long, fp long, s long, own boolean, h1 long, h2 long"), "windows")
     several = single.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("h1", "h2")
-    more = written(single.join(several, ["h1", "h2"], "left_semi").select("doc_id", "fp", "s", F.col("s").alias("e")), "ranges")
+    more = written(single.where("own").join(several, ["h1", "h2"], "left_semi").select("doc_id", "fp", "s", F.col("s").alias("e")), "ranges")
     release(marks, single)
     return ranges.unionByName(more)
 
