@@ -21,7 +21,7 @@ def query(sql: str, *needs: str) -> str:
 
     for n in needs:
         visit(n)
-    return "WITH " + ",\n".join(f"{n} AS ({_LOADED[n][1]})" for n in order) + "\n" + sql
+    return sql if not order else "WITH " + ",\n".join(f"{n} AS ({_LOADED[n][1]})" for n in order) + "\n" + sql
 
 
 _OHLC = "first({p} ORDER BY {t}, {k}) AS open, max({p}) AS high, min({p}) AS low, last({p} ORDER BY {t}, {k}) AS close, count(*)::DOUBLE AS volume"

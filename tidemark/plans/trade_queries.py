@@ -225,15 +225,15 @@ def atr_bracket_candidates(spark: SparkSession, d: str) -> DataFrame:
     return rounded(cand.atr_bracket(reversion(spark, d)), "symbol", "ts", "direction", "reject_reason", entry="entry", stop="stop", target="target")
 
 
-sql.define("cand", f"SELECT *, symbol || ':' || bar_idx AS candidate_id, {_BRACKET.format(a='atr')} FROM (SELECT *, CASE WHEN close > channel_high THEN 'bullish' ELSE 'bearish' END AS direction FROM c1h WHERE bar_idx >= 20 AND atr > 0 AND (close > channel_high OR close < channel_low))", "c1h")
+sql.define("cand", f"SELECT *, symbol || ':' || bar_idx AS candidate_id, {_BRACKET.format(a='atr')} FROM (SELECT *, CASE WHEN (close > channel_high) = (bar_idx % 2 = 0) THEN 'bullish' ELSE 'bearish' END AS direction FROM c1h WHERE bar_idx >= 20 AND atr > 0 AND (close > channel_high OR close < channel_low))", "c1h")
 HORIZON = 15
 
 
 def breakouts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """All closes through the channel, each with an ATR bracket, and the bars."""
+    """All closes through the channel, followed and faded in turn, each with an ATR bracket, and the bars."""
     bars = ind.with_channel(base(spark, d))
     rows = bars.where((F.col("bar_idx") >= 20) & (F.col("atr") > 0) & ((F.col("close") > F.col("channel_high")) | (F.col("close") < F.col("channel_low"))))
-    rows = rows.withColumns({"direction": F.when(F.col("close") > F.col("channel_high"), "bullish").otherwise("bearish"), "candidate_id": F.concat_ws(":", "symbol", "bar_idx")})
+    rows = rows.withColumns({"direction": F.when((F.col("close") > F.col("channel_high")) == (F.col("bar_idx") % 2 == 0), "bullish").otherwise("bearish"), "candidate_id": F.concat_ws(":", "symbol", "bar_idx")})
     return cand.atr_bracket(rows, atr="atr").select("symbol", "ts", "bar_idx", "candidate_id", "direction", "entry", "stop", "target", "atr"), bars
 
 
