@@ -37,3 +37,4 @@ def oracle_sql() -> dict[str, str]:
 from tidemark.plans import bar_queries  # noqa: E402, F401
 from tidemark.plans import trade_queries  # noqa: E402, F401
 from tidemark.plans import metric_queries  # noqa: E402, F401
+from tidemark.plans import stream_queries  # noqa: E402, F401
