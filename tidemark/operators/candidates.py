@@ -56,8 +56,8 @@ def reward(levels: Column, entry: Column, stop: Column, atr: Column, buffer: flo
 def blocking(levels: Column, entry: Column, stop: Column) -> Column:
     """The levels that lie within the grid's reach."""
     s = F.when(entry > stop, 1.0).otherwise(-1.0)
-    far = (levels_ := F.array_sort(levels)) is not None and REWARDS[-1]
-    return F.filter(levels_, lambda x: ((x - entry) * s > 0) & ((x - entry) * s <= far * F.abs(entry - stop)))
+    far = REWARDS[-1]
+    return F.filter(F.array_sort(levels), lambda x: ((x - entry) * s > 0) & ((x - entry) * s <= far * F.abs(entry - stop)))
 
 
 def anchor_level(levels: Column, target: Column, direction: Column, atr: Column, max_atr: float = 1.0) -> Column:
