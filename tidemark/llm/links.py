@@ -1,7 +1,7 @@
 """Linking of near-equal sets: candidates from band keys, exact confirmation, connected components.
 
 Copies make large buckets, in which all pairs are out of the question. Each bucket's members are held against its hub, the
-member that most buckets share, and confirmed links give components. Only where a bucket still holds several components
+member that shares buckets with most others, and confirmed links give components. Only where a bucket still holds several components
 can a link be missing; there, a prefix filter over the sets finds every further pair that can reach the threshold and whose ends
 are in different components. It orders elements by rarity, so what a copy alone has prunes it. No pair within a component is made.
 """
@@ -9,10 +9,11 @@ are in different components. It orders elements by rarity, so what a copy alone
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import in_order, release, written
@@ -20,6 +21,9 @@ from tidemark.llm.shingles import HyperMinHash
 
 #: A list of ids up to this length is broadcast; a longer one is joined by a shuffle.
 BROADCAST_IDS = 200_000
+#: 64-bit words of a set's bitmap.
+WORDS = 8
+_BITS = [f"b{k}" for k in range(WORDS)]
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -61,14 +65,15 @@ def candidates(bands: DataFrame) -> DataFrame:
 
 
 def hub_pairs(buckets: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of each bucket's members with its hub."""
-    degree = buckets.groupBy("id").agg(F.count(F.lit(1)).alias("_n"))
+    """Distinct pairs (a, b), a < b, of each bucket's members with its hub: the one that shares buckets with most others, over all its buckets."""
+    size = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("_s"))
+    degree = buckets.join(size, "key").groupBy("id").agg(F.sum("_s").alias("_n"))
     hub = buckets.join(degree, "id").groupBy("key").agg(F.max(F.struct("_n", "id")).alias("_hub")).select("key", F.col("_hub.id").alias("hub"))
     a, b = in_order(F.col("id"), F.col("hub"))
     return buckets.join(hub, "key").where("id <> hub").select(a.alias("a"), b.alias("b")).distinct()
 
 
-def _sized(percent: int) -> F.Column:
+def _sized(percent: int) -> Column:
     return F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
 
 
@@ -110,31 +115,50 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(some.column("id").to_numpy(), many)), pa.array(np.concatenate(sets))], ["id", "x"])
 
 
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Which of WORDS * 64 bits a set's elements fall on."""
+    for batch in batches:
+        maps = np.zeros((batch.num_rows, WORDS * 64), dtype=np.uint8)
+        for i, x in enumerate(batch.column("elements")):
+            maps[i, np.frombuffer(x.as_buffer(), np.uint64) >> np.uint64(64 - WORDS.bit_length() - 5)] = 1
+        packed = np.packbits(maps, axis=1, bitorder="little").view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(packed[:, k]) for k in range(WORDS))], ["id", *_BITS])
+
+
 def further_pairs(buckets: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame | None:
-    """Pairs (a, b) in different components of ``found`` that may link, or None where every bucket is in one component."""
+    """Pairs (a, b) in different components of ``found`` that may link, or None where every bucket is in one component.
+
+    Two sets that reach the threshold share one of their rarest elements, at places that leave enough to share, and each has few bits
+    that the other lacks (a bit that only one set has is an element that only it has): bounds that no link can fail.
+    """
     own = F.coalesce("component", "id")
-    open_ = buckets.join(found, "id", "left").withColumn("c", own)
-    several = open_.groupBy("key").agg(F.min("c").alias("_low"), F.max("c").alias("_high")).where("_low < _high").select("key")
+    several = buckets.join(found, "id", "left").groupBy("key").agg(F.min(own).alias("_low"), F.max(own).alias("_high")).where("_low < _high").select("key")
     left = written(buckets.join(several, "key").select("id").distinct(), "open")
     if left.isEmpty():
         return None
-    sets = only(sets, "id", left)
-    rows = sets.select("id", "elements").mapInArrow(_elements, "id long, x long")
+    some = only(sets, "id", left).select("id", "elements")
+    rows = some.mapInArrow(_elements, "id long, x long")
     often = rows.groupBy("x").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     ordered = rows.join(often, "x", "left").groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "x"))).alias("_all"))
     n = F.size("_all")
     head = n - F.ceil(n * percent / 100) + 1
-    prefix = ordered.select("id", n.alias("n"), F.posexplode(F.slice("_all", 1, head.cast("int"))).alias("at", "_e")).where("_e.f > 1").select("id", "n", "at", F.col("_e.x").alias("x"))
-    prefix = prefix.join(found, "id", "left").select("id", "n", "at", "x", own.alias("c"))
-    prefix = written(prefix, "prefixes")
+    bits = some.mapInArrow(_bitmaps, "id long, " + ", ".join(f"{b} long" for b in _BITS))
+    ordered = ordered.join(bits, "id").join(found, "id", "left").withColumn("c", own)
+    prefix = ordered.select("id", "c", *_BITS, n.alias("n"), F.posexplode(F.slice("_all", 1, head.cast("int"))).alias("at", "_e")).where("_e.f > 1")
+    prefix = written(prefix.select("id", "c", "n", "at", F.col("_e.x").alias("x"), *_BITS), "prefixes")
     by_c = prefix.groupBy("x", "c").agg(F.count(F.lit(1)).alias("k"))
-    main = by_c.groupBy("x").agg(F.max(F.struct("k", "c")).alias("_main"), F.count(F.lit(1)).alias("_cs")).where("_cs > 1").select("x", F.col("_main.c").alias("main"))
-    some = prefix.join(main, "x").where("c <> main")
-    other = prefix.join(main, "x").select("x", "main", *[F.col(k).alias(f"{k}_2") for k in ("id", "n", "at", "c")]).drop("main")
-    reach = F.least(F.col("n") - F.col("at"), F.col("n_2") - F.col("at_2"))
+    main = by_c.groupBy("x").agg(F.max(F.struct("k", "c")).alias("_m"), F.count(F.lit(1)).alias("_cs")).where("_cs > 1").select("x", F.col("_m.c").alias("main"))
+    mine = prefix.join(main, "x").where("c <> main")
+    other = prefix.join(main, "x").select("x", *[F.col(k).alias(f"{k}_2") for k in ("id", "n", "at", "c", *_BITS)])
+
+    def lacking(one: str, two: str) -> Column:
+        return reduce(Column.__add__, [F.bit_count(F.col(f"{b}{one}").bitwiseAND(F.bitwise_not(F.col(f"{b}{two}")))) for b in _BITS])
+
+    need, both = (F.col("n") + F.col("n_2")) * percent, 100 + percent
     fits = (F.col("c") != F.col("c_2")) & ((F.col("c_2") == F.col("main")) | (F.col("id") < F.col("id_2")))
-    fits &= (F.least("n", "n_2") * 100 >= F.greatest("n", "n_2") * percent) & (reach * (100 + percent) >= (F.col("n") + F.col("n_2")) * percent)
-    pairs = some.alias("s").join(other.alias("o"), (F.col("s.x") == F.col("o.x")) & fits)
+    fits &= (F.least("n", "n_2") * 100 >= F.greatest("n", "n_2") * percent) & (F.least(F.col("n") - F.col("at"), F.col("n_2") - F.col("at_2")) * both >= need)
+    fits &= ((F.col("n") - lacking("", "_2")) * both >= need) & ((F.col("n_2") - lacking("_2", "")) * both >= need)
+    pairs = mine.alias("s").join(other.alias("o"), (F.col("s.x") == F.col("o.x")) & fits)
     a, b = in_order(F.col("id"), F.col("id_2"))
     return pairs.select(a.alias("a"), b.alias("b")).distinct()
 
