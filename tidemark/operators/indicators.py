@@ -5,32 +5,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY = Window.partitionBy("symbol").orderBy("ts")
 #: Bars before the current one that an analysis sees.
 LOOKBACK = 100
 
 
+def in_time() -> WindowSpec:
+    """A symbol's bars in time."""
+    return Window.partitionBy("symbol").orderBy("ts")
+
+
 def last(n: int, skip: int = 0):
     """The frame of the ``n`` bars that end ``skip`` bars ago."""
-    return BY.rowsBetween(-(n - 1) - skip, -skip)
+    return in_time().rowsBetween(-(n - 1) - skip, -skip)
 
 
 def indexed(bars: DataFrame, lookback: int = LOOKBACK) -> DataFrame:
     """bar_idx from 0 and is_valid: a whole lookback lies before the bar."""
-    return bars.withColumn("bar_idx", (F.row_number().over(BY) - 1).cast("long")).withColumn("is_valid", F.col("bar_idx") >= lookback)
+    return bars.withColumn("bar_idx", (F.row_number().over(in_time()) - 1).cast("long")).withColumn("is_valid", F.col("bar_idx") >= lookback)
 
 
 def history(column: str, lookback: int = LOOKBACK) -> Column:
     """The values of the lookback and the current bar, oldest first."""
-    return F.collect_list(column).over(BY.rowsBetween(-lookback, 0))
+    return F.collect_list(column).over(in_time().rowsBetween(-lookback, 0))
 
 
 def true_range() -> Column:
     """The true range; 0 at a symbol's first bar."""
-    before = F.lag("close").over(BY)
+    before = F.lag("close").over(in_time())
     return F.when(before.isNull(), F.lit(0.0)).otherwise(F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)))
 
 
@@ -44,7 +48,7 @@ def with_atr_sma(bars: DataFrame, period: int = 14, name: str = "atr") -> DataFr
 def with_atr_wilder(bars: DataFrame, period: int = 14, lookback: int = LOOKBACK, name: str = "atr_wilder") -> DataFrame:
     """Wilder's smoothing within the lookback: the mean of the window's first ``period`` true ranges, then a fold over the others."""
     names = ["high", "low", "close"]
-    rows = bars.withColumn("_w", F.collect_list(F.struct(*names)).over(BY.rowsBetween(-lookback, 0)))
+    rows = bars.withColumn("_w", F.collect_list(F.struct(*names)).over(in_time().rowsBetween(-lookback, 0)))
     before, now = F.slice("_w", 1, F.greatest(F.size("_w") - 1, F.lit(0))), F.slice("_w", 2, F.size("_w"))
     tr = F.zip_with(before, now, lambda a, b: F.greatest(b["high"] - b["low"], F.abs(b["high"] - a["close"]), F.abs(b["low"] - a["close"])))
     rows = rows.withColumn("_tr", tr).drop("_w")
@@ -89,7 +93,7 @@ def with_breakout_age(bars: DataFrame, period: int = 20, lookback: int = LOOKBAC
     out = full & ((F.col("close") > F.col("channel_high")) | (F.col("close") < F.col("channel_low")))
     rows = bars.withColumn("_out", F.when(out, F.col("bar_idx")))
     seen = F.least(F.col("bar_idx") + 1, F.lit(lookback + 1))
-    when = F.max("_out").over(BY.rowsBetween(-(lookback - period), 0))
+    when = F.max("_out").over(in_time().rowsBetween(-(lookback - period), 0))
     age = F.when(seen < period + 2, 0).otherwise(F.coalesce(F.col("bar_idx") - when, seen - 1))
     return rows.withColumn("breakout_age", age.cast("int")).drop("_out")
 
@@ -104,13 +108,13 @@ def with_trend(bars: DataFrame, fast: str = "ema_20", slow: str = "ema_50", atr:
 
 def efficiency(period: int = 63) -> Column:
     """Kaufman's efficiency, signed: the move over ``period`` bars over the path that it took; null without so many bars or a path."""
-    move = F.col("close") - F.lag("close", period).over(BY)
+    move = F.col("close") - F.lag("close", period).over(in_time())
     return F.try_divide(move, F.sum("_step").over(last(period)))
 
 
 def with_regime(bars: DataFrame, atr: str = "atr", period: int = 63) -> DataFrame:
     """atr_pct, vol_ratio (to the mean of the 20 bars before), rng20_atr and trend_eff. Needs bar_idx and an ATR."""
-    rows = bars.withColumn("_step", F.abs(F.col("close") - F.lag("close").over(BY)))
+    rows = bars.withColumn("_step", F.abs(F.col("close") - F.lag("close").over(in_time())))
     full = F.col("bar_idx") >= 20
     span = F.max("high").over(last(20)) - F.min("low").over(last(20))
     own = F.when(F.col(atr) > 0, F.col(atr))

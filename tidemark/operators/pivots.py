@@ -6,15 +6,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.indicators import BY
+from tidemark.operators.indicators import in_time
 
 PIVOT = "struct<bar_idx: long, ts: timestamp, type: string, price: double>"
 
 
 def with_pivots(bars: DataFrame, left: int = 2, right: int = 1) -> DataFrame:
     """``pivots_here``: the bar's strict fractal pivots, the high before the low; needs ``left`` bars before and ``right`` after."""
-    before, after = BY.rowsBetween(-left, -1), BY.rowsBetween(1, right)
-    whole = (F.col("bar_idx") >= left) & F.lead("bar_idx", right).over(BY).isNotNull()
+    before, after = in_time().rowsBetween(-left, -1), in_time().rowsBetween(1, right)
+    whole = (F.col("bar_idx") >= left) & F.lead("bar_idx", right).over(in_time()).isNotNull()
     top = whole & (F.col("high") > F.max("high").over(before)) & (F.col("high") > F.max("high").over(after))
     bottom = whole & (F.col("low") < F.min("low").over(before)) & (F.col("low") < F.min("low").over(after))
     one = lambda ok, kind, price: F.when(ok, F.struct("bar_idx", "ts", F.lit(kind).alias("type"), F.col(price).alias("price")))
@@ -30,7 +30,7 @@ def pivots(bars: DataFrame, left: int = 2, right: int = 1) -> DataFrame:
 
 def visible_swings(bars: DataFrame, lookback: int, right: int = 1) -> DataFrame:
     """``swings``: the pivots confirmed by the bar whose bars lie in its last ``lookback``, oldest first. Needs pivots_here."""
-    return bars.withColumn("swings", F.flatten(F.collect_list("pivots_here").over(BY.rowsBetween(-(lookback - 1), -right))))
+    return bars.withColumn("swings", F.flatten(F.collect_list("pivots_here").over(in_time().rowsBetween(-(lookback - 1), -right))))
 
 
 def alternating(rows: DataFrame) -> DataFrame:
