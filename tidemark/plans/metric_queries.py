@@ -130,9 +130,10 @@ sql.define(
 )
 
 
-@register("drawdown_episodes", sql.query("SELECT symbol, start, duration, recovery, round(peak, 6) AS peak, round(trough, 6) AS trough, round(depth, 6) AS depth, round(depth_pct, 6) AS depth_pct FROM dd", "dd"))
+@register("drawdown_episodes", sql.query("SELECT symbol, start, duration, coalesce(recovery, -1) AS recovery, round(peak, 6) AS peak, round(trough, 6) AS trough, round(depth, 6) AS depth, round(depth_pct, 6) AS depth_pct FROM dd", "dd"))
 def drawdown_episodes(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(met.drawdowns(met.ordered_balances(trades(spark, d)), "symbol"), "symbol", "start", "duration", "recovery", **_same("peak", "trough", "depth", "depth_pct"))
+    """-1: not recovered yet."""
+    return rounded(met.drawdowns(met.ordered_balances(trades(spark, d)), "symbol").fillna({"recovery": -1}), "symbol", "start", "duration", "recovery", **_same("peak", "trough", "depth", "depth_pct"))
 
 
 @register("drawdown_shares", sql.query("SELECT symbol, threshold, round(avg((depth_pct > threshold)::INT), 6) AS share FROM dd, (VALUES (0.5), (1.0), (2.0), (5.0)) v(threshold) GROUP BY ALL", "dd"))

@@ -321,11 +321,11 @@ def label_next_open(spark: SparkSession, d: str) -> DataFrame:
     return rounded(lab.next_open_fill(lab.with_future(rows, bars, HORIZON).where(F.size("future") > 0)), "candidate_id", "fill_state", entry="entry", target="target")
 
 
-@register("touch_fill", sql.query("SELECT c.candidate_id, CASE WHEN min(i) FILTER ((good - entry) * s >= 0) IS NULL THEN 'expired' ELSE 'filled' END AS fill_state, min(i) FILTER ((good - entry) * s >= 0) AS fill_idx FROM cand c LEFT JOIN (SELECT candidate_id, i, good, s FROM fut) f USING (candidate_id) GROUP BY ALL", "cand", "fut"))
+@register("touch_fill", sql.query("SELECT c.candidate_id, CASE WHEN min(i) FILTER ((good - entry) * s >= 0) IS NULL THEN 'expired' ELSE 'filled' END AS fill_state, coalesce(min(i) FILTER ((good - entry) * s >= 0), -1) AS fill_idx FROM cand c LEFT JOIN (SELECT candidate_id, i, good, s FROM fut) f USING (candidate_id) GROUP BY ALL", "cand", "fut"))
 def touch_fill(spark: SparkSession, d: str) -> DataFrame:
     rows, bars = breakouts(spark, d)
     rows = lab.touch_fill(lab.with_future(rows, bars, HORIZON))
-    return rows.select("candidate_id", "fill_state", F.when(F.col("fill_state") == "filled", F.try_element_at("future", F.lit(1))["bar_idx"]).alias("fill_idx"))
+    return rows.select("candidate_id", "fill_state", F.coalesce(F.when(F.col("fill_state") == "filled", F.try_element_at("future", F.lit(1))["bar_idx"]), F.lit(-1)).alias("fill_idx"))
 
 
 sql.define(
