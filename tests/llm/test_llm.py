@@ -253,6 +253,33 @@ def test_contaminated_documents_are_found_and_clean_ones_are_not(spark):
     assert decontaminate.align(a, b) == (7, 1, 6)
 
 
+def test_no_number_of_edited_copies_hides_them(spark):
+    rng = random.Random(18)
+    items = [(i, words(rng, n)) for i, n in enumerate((40, 40, 8, 23))]
+
+    def edited(i, places, add=False):
+        w = items[i][1].split()
+        for p in places:
+            w[p] = f"{w[p]} other" if add else "other"
+        return f"{words(rng, 30)} {' '.join(w)} {words(rng, 30)}"
+
+    texts = [edited(0, range(3, 40, 8)) for _ in range(60)] + [edited(0, []) for _ in range(5)]  # the same edit in many documents
+    texts += [edited(1, range(2, 40, 3)), edited(2, [2, 5]), edited(3, range(1, 22, 2), True)]  # no three words of the item in a row
+    texts += [words(rng, 200) for _ in range(10)]
+    expected = set()
+    for d, t in enumerate(texts):
+        for i, item in items:
+            code = {w: k for k, w in enumerate(decontaminate.words_of(f"{item} {t}".encode()))}
+            own, passage = (np.array([code[w] for w in decontaminate.words_of(x.encode())]) for x in (item, t))
+            if (found := decontaminate.align(own, passage))[0] >= len(own):
+                expected.add((d, i, found[0] / (2 * len(own)), *found[1:]))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = docs_of(spark, texts)
+    assert {(d, i) for d, i, *_ in expected} == {(d, 0) for d in range(65)} | {(65, 1), (66, 2), (67, 3)}
+    assert {tuple(r) for r in decontaminate.contaminated(docs, benchmark).collect()} == expected
+    assert {r["doc_id"] for r in decontaminate.without_contaminated(docs, benchmark).collect()} == {*range(68, 78)}
+
+
 def test_toxicity_learns_from_training_rows_only(spark):
     rng = random.Random(9)
     rows, labels = [], []

@@ -1,16 +1,16 @@
-"""Benchmark decontamination: rare word n-grams of test items seed, Smith-Waterman alignment decides.
+"""Benchmark decontamination: bounds that lose no alignment pick items and passages, Smith-Waterman alignment decides.
 
-The test items are a stated query set: they go to the executors in blocks of a bounded size, each as an automaton of the
-items' n-grams, which joins them to the passages of the documents in one pass over each text. A first pass counts in how many
-documents each n-gram occurs; a second aligns, around the rare ones, the passage with the item. No text is shuffled.
+The test items are a stated query set: they go to the executors in blocks of a bounded size. A first pass counts in how many
+documents each of their words occurs, which orders the work and excludes nothing; a second looks, in each text, for stretches that share
+enough words with an item and aligns them. No text is shuffled.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,11 +20,10 @@ from tidemark.llm.common import texts
 
 #: Characters of test items in a block: what goes to an executor at once.
 BLOCK_CHARS = 8_000_000
-SEED_WORDS = 3
 #: Shorter items say too little to be recognised; they match nothing.
 LEAST_WORDS = 8
-#: An n-gram seeds if it is in at most so many times the documents that the item's lower quartile is in.
-RARE = 4
+#: Occurrences of items' words in a text that are looked at together.
+OCCURRENCES = 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -58,84 +57,118 @@ def _best(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def _grams(words: list[str]) -> list[str]:
-    return [f" {' '.join(words[i : i + SEED_WORDS])} " for i in range(len(words) - SEED_WORDS + 1)]
-
-
-def _automaton(grams: dict[str, int]) -> ahocorasick.Automaton:
-    out = ahocorasick.Automaton()
-    for g, i in grams.items():
-        out.add_word(g, i)
-    out.make_automaton()
-    return out
-
-
-def _frequencies(docs: DataFrame, grams: list[str]) -> dict[int, int]:
-    """In how many documents each n-gram occurs: one number for each n-gram of the block."""
-    held = docs.sparkSession.sparkContext.broadcast(grams)
+def _frequencies(docs: DataFrame, code: dict[str, int]) -> np.ndarray:
+    """In how many documents each word of the block's items occurs."""
+    held = docs.sparkSession.sparkContext.broadcast(code)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, n = _automaton({g: i for i, g in enumerate(held.value)}), np.zeros(len(held.value), dtype=np.int64)
+        code = held.value
+        n = np.zeros(len(code), dtype=np.int64)
         for batch in batches:
             for t in batch.column("text").to_pylist():
-                for i in {i for _, i in found.iter(f" {' '.join(words_of(t))} ")}:
-                    n[i] += 1
+                n[[code[w] for w in code.keys() & words_of(t)]] += 1
         some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["gram", "n"])
-
-    return {r["gram"]: r["n"] for r in docs.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()}
-
-
-def rare_seeds(items: dict[int, list[str]], n_docs: dict[str, int]) -> dict[str, list[tuple[int, int]]]:
-    """The seeding n-grams, each with the items and places that it comes from."""
-    out: dict[str, list[tuple[int, int]]] = defaultdict(list)
-    for item, words in items.items():
-        grams = _grams(words)
-        most = RARE * max(1, np.quantile([n_docs.get(g, 0) for g in grams], 0.25))
-        for i, g in enumerate(grams):
-            if n_docs.get(g, 0) <= most:
-                out[g].append((item, i))
-    return dict(out)
-
-
-def matches_in(text: bytes, seeds: ahocorasick.Automaton, places: list[list[tuple[int, int]]], items: dict[int, np.ndarray], code: dict[str, int], least: float) -> list[tuple[int, float, int, int]]:
-    """item, score (1: the whole item, word for word), first word and end of the best passage, for each item with ``least`` or more."""
-    words = words_of(text)
-    line = f" {' '.join(words)} "
-    hits = [*seeds.iter(line)]
-    if not hits:
-        return []
-    near: dict[int, list[tuple[int, int]]] = defaultdict(list)  # item: (word of the document, word of the item)
-    before = at = 0
-    for end, seed in hits:
-        before, at = before + line.count(" ", at, end), end
-        for item, i in places[seed]:
-            near[item].append((before - SEED_WORDS, i))
-    out, codes = [], None
-    for item, found in near.items():
-        if len({i for _, i in found}) < 2:
-            continue
-        if codes is None:
-            codes = np.fromiter((code.get(w, -1) for w in words), dtype=np.int64, count=len(words))
-        own, best = items[item], (0, 0, 0)
-        reach = len(own) // 2 + 8
-        low = high = -1
-        spans = []
-        for p, i in sorted(found):
-            a, b = max(0, p - i - reach), min(len(words), p - i + len(own) + reach)
-            if a > high:
-                if high > 0:
-                    spans.append((low, high))
-                low, high = a, b
-            high = max(high, b)
-        for a, b in [*spans, (low, high)]:
-            score, s, e = align(own, codes[a:b])
-            best = max(best, (score, a + s, a + e), key=lambda x: x[0])
-        if best[0] >= least * MATCH * len(own):
-            out.append((item, best[0] / (MATCH * len(own)), best[1], best[2]))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["word", "n"])
+
+    out = np.zeros(len(code), dtype=np.int64)
+    for r in docs.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
+        out[r["word"]] = r["n"]
     return out
 
 
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its count."""
+    return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+
+
+class Searcher:
+    """Finds, in one text after another, every item whose best alignment scores ``least`` of the whole item or more.
+
+    Such an alignment scores at most 2 a match and loses 1 for each other word of its passage, so it has ``need`` matches or more
+    in a passage of ``width`` words or fewer. Two bounds follow, and neither can lose an alignment: of any words of the item that
+    all but ``need - sure`` of its places hold, the text has ``sure`` places' worth (the words in fewest documents are taken, for speed
+    alone); and some ``width`` words in a row share ``need`` words with the item, each as often as both have it. Only what passes is aligned.
+    """
+
+    def __init__(self, block: list[tuple[int | None, list[str]]], n_docs: np.ndarray, least: float) -> None:
+        self.least, self.code = least, _codes(block)
+        self.names = [name for name, _ in block]
+        self.items = [np.array([self.code[w] for w in words], dtype=np.int64) for _, words in block]
+        size = np.array([len(x) for x in self.items])
+        score = np.ceil(least * MATCH * size).astype(np.int64)
+        self.need, self.width = np.maximum(1, -(-score // MATCH)), np.maximum(1, (1 + MATCH) * size - score)
+        self.sure = -(-self.need // 4)
+        own = [np.unique(x, return_counts=True) for x in self.items]
+        self.n_own = np.array([len(c) for c, _ in own])
+        self.first_own = np.cumsum(self.n_own) - self.n_own
+        self.own, self.often = (np.concatenate([x[k] for x in own]) for k in (0, 1))
+        taken: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for i, (c, m) in enumerate(own):
+            rare = np.argsort(n_docs[c], kind="stable")
+            rare = rare[: np.searchsorted(np.cumsum(m[rare]), size[i] - self.need[i] + self.sure[i]) + 1]
+            taken.append((c[rare], np.full(len(rare), i), m[rare]))
+        word, item, places = (np.concatenate(x) for x in zip(*taken, strict=True))
+        order = np.argsort(word, kind="stable")
+        self.n_rare = np.bincount(word, minlength=len(self.code))
+        self.first_rare, self.rare_item, self.rare_places = np.cumsum(self.n_rare) - self.n_rare, item[order], places[order]
+
+    def __call__(self, text: bytes) -> list[tuple[int | None, float, int, int]]:
+        """item, score (1: the whole item, word for word), first word and end of the best passage, for each item with ``least`` or more."""
+        words = words_of(text)
+        codes = np.fromiter(map(self.code.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        place = np.flatnonzero(codes >= 0)
+        place = place[np.argsort(codes[place], kind="stable")]  # by word, then in the text's order
+        known, first, n = np.unique(codes[place], return_index=True, return_counts=True)
+        at = _ranges(self.first_rare[known], self.n_rare[known])
+        likely = np.bincount(self.rare_item[at], weights=self.rare_places[at], minlength=len(self.items)) >= self.sure
+        best: dict[object, tuple[int, float, int, int]] = {}
+        for i, spans in self._near(np.flatnonzero(likely), place, known, first, n, len(words)):
+            own = self.items[i]
+            score, a, b = max(((_best(own, codes[a:b])[0], a, b) for a, b in spans), key=lambda x: x[0])
+            if score >= self.least * MATCH * len(own):
+                _, s, e = align(own, codes[a:b])
+                key = ("", i) if self.names[i] is None else self.names[i]
+                best[key] = max(best.get(key, (i, 0.0, 0, 0)), (i, score / (MATCH * len(own)), a + s, a + e), key=lambda x: x[1])
+        return [(self.names[i], *rest) for i, *rest in best.values()]
+
+    def _near(self, likely: np.ndarray, place: np.ndarray, known: np.ndarray, first: np.ndarray, n: np.ndarray, length: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+        """The items of ``likely`` with the spans of the text in which some ``width`` words share ``need`` words with them."""
+        word = _ranges(self.first_own[likely], self.n_own[likely])
+        item, often, word = np.repeat(likely, self.n_own[likely]), self.often[word], self.own[word]
+        at = np.minimum(np.searchsorted(known, word), max(0, len(known) - 1))
+        here = known[at] == word if len(known) else np.zeros(0, dtype=bool)
+        item, often, at = item[here], often[here], at[here]
+        size = np.cumsum(n[at])
+        while len(item):  # so many occurrences at a time, whole items each
+            upto = int(np.searchsorted(item, item[min(len(item) - 1, np.searchsorted(size, OCCURRENCES))], "right"))
+            yield from self._spans(item[:upto], often[:upto], at[:upto], place, first, n, length)
+            item, often, at, size = item[upto:], often[upto:], at[upto:], size[upto:] - size[upto - 1]
+
+    def _spans(self, item: np.ndarray, often: np.ndarray, at: np.ndarray, place: np.ndarray, first: np.ndarray, n: np.ndarray, length: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+        i, count = _ranges(first[at], n[at]), n[at]
+        item, often, rank = np.repeat(item, count), np.repeat(often, count), _ranges(np.zeros_like(count), count)
+        width = self.width[item]
+        # The word at p counts in the stretches of ``width`` words that end at p or later, hold p, and hold fewer than ``often`` of the same word before it.
+        begin = np.maximum(place[i], np.where(rank >= often, place[np.maximum(i - often, 0)] + width, 0))
+        end = place[i] + width
+        some = begin < end
+        item, begin, end = item[some], begin[some], end[some]
+        stride = length + int(self.width.max()) + 1
+        event = np.concatenate([(item * stride + end) * 2, (item * stride + begin) * 2 + 1])
+        event.sort()
+        shared = np.cumsum(np.where(event & 1, 1, -1))
+        of, last = np.divmod(event >> 1, stride)
+        full = np.flatnonzero(shared >= self.need[of])
+        spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for k, a, b in zip(of[full].tolist(), (last[full] - self.width[of[full]] + 1).tolist(), last[full + 1].tolist(), strict=True):
+            a, b, own = max(0, a), min(length, b), spans[k]
+            if own and a <= own[-1][1]:
+                own[-1] = (own[-1][0], max(b, own[-1][1]))
+            else:
+                own.append((a, b))
+        yield from spans.items()
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5) -> DataFrame:
     """A row for each document and test item of which it holds a copy, edited or not: doc_id, item_id, score, first_word, end_word.
 
@@ -150,29 +183,35 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5) -> D
     return plain.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, first_word long, end_word long") if out is None else out
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[dict[int, list[str]]]:
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, list[str]]]]:
     rows = benchmark.where("item_id is not null and text is not null").groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.min("text").alias("text"))
-    block: dict[int, list[str]] = {}
+    block: list[tuple[int | None, list[str]]] = []
     held = 0
     for r in rows.toLocalIterator():
         words = words_of(r["text"].encode())
         if len(words) >= LEAST_WORDS:
-            block[r["item_id"]] = words
+            block.append((r["item_id"], words))
             held += len(r["text"])
         if held > BLOCK_CHARS:
             yield block
-            block, held = {}, 0
+            block, held = [], 0
     if block:
         yield block
 
 
-def _in_block(docs: DataFrame, block: dict[int, list[str]], least: float) -> DataFrame:
-    grams = sorted({g for words in block.values() for g in _grams(words)})
-    n_docs = {grams[i]: n for i, n in _frequencies(docs, grams).items()}
-    held = docs.sparkSession.sparkContext.broadcast((block, rare_seeds(block, n_docs)))
+def _codes(block: list[tuple[int | None, list[str]]]) -> dict[str, int]:
+    code: dict[str, int] = {}
+    for _, words in block:
+        for w in words:
+            code.setdefault(w, len(code))
+    return code
+
+
+def _in_block(docs: DataFrame, block: list[tuple[int | None, list[str]]], least: float) -> DataFrame:
+    held = docs.sparkSession.sparkContext.broadcast((block, _frequencies(docs, _codes(block))))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = _searcher(*held.value, least)
+        find = Searcher(*held.value, least)
         for batch in batches:
             rows = [(d, *m) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for m in find(t)]
             columns = [*zip(*rows, strict=True)] or [()] * 5
@@ -191,21 +230,12 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0
     return kept.select("_row.*")
 
 
-def _clean_of(kept: DataFrame, docs: DataFrame, block: dict[int, list[str]], least: float) -> DataFrame:
-    grams = sorted({g for words in block.values() for g in _grams(words)})
-    n_docs = {grams[i]: n for i, n in _frequencies(texts(docs), grams).items()}
-    held = docs.sparkSession.sparkContext.broadcast((block, rare_seeds(block, n_docs)))
+def _clean_of(kept: DataFrame, docs: DataFrame, block: list[tuple[int | None, list[str]]], least: float) -> DataFrame:
+    held = docs.sparkSession.sparkContext.broadcast((block, _frequencies(texts(docs), _codes(block))))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = _searcher(*held.value, least)
+        find = Searcher(*held.value, least)
         for batch in batches:
             yield batch.filter(pa.array([not find(t) for t in batch.column("text").to_pylist()], pa.bool_()))
 
     return kept.mapInArrow(search, kept.schema)
-
-
-def _searcher(block: dict[int, list[str]], by_gram: dict[str, list[tuple[int, int]]], least: float):
-    code: dict[str, int] = {}
-    items = {k: np.array([code.setdefault(w, len(code)) for w in words]) for k, words in block.items()}
-    seeds, places = _automaton({g: i for i, g in enumerate(by_gram)}), list(by_gram.values())
-    return lambda text: matches_in(text, seeds, places, items, code, least)
