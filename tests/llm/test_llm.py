@@ -253,6 +253,20 @@ def test_contaminated_documents_are_found_and_clean_ones_are_not(spark):
     assert decontaminate.align(a, b) == (7, 1, 6)
 
 
+def test_short_lines_are_compared(spark):
+    lines = ["a b c d e f g h", "Title", "one two three", "a b c d e f g h i j k l"]
+    texts = ["\n".join([*lines[:2], f"own {d} line", "", *lines[2:], f"x{d}"]) for d in range(3)] + ["one two", "ONE two  three\nthree two one", "a b c d e f g i"]
+    out = {r["doc_id"]: r for r in paragraphs.without_paragraph_copies(docs_of(spark, texts)).collect()}
+    assert [out[d]["removed"] for d in range(6)] == [[], [0, 1, 4, 5], [0, 1, 4, 5], [], [0], []]
+    assert (out[1]["n_paragraphs"], out[1]["kept_text"], out[4]["kept_text"]) == (6, "own 1 line\n\nx1", "three two one")
+    rng = np.random.default_rng(6)
+    counts = np.array([1, 4, 5, 9, 2, 30, 3, 6])
+    h = rng.integers(0, 2**64, counts.sum(), dtype=np.uint64)
+    found, starts = shingles.windows_of(h, counts)
+    for one, run in zip(np.split(found, starts[1:]), np.split(h, np.cumsum(counts)[:-1]), strict=True):
+        assert one.tolist() == shingles.windows(run).tolist()
+
+
 def test_no_number_of_edited_copies_hides_them(spark):
     rng = random.Random(18)
     items = [(i, words(rng, n)) for i, n in enumerate((40, 40, 8, 23))]

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import release, texts, written
 from tidemark.llm.links import BROADCAST_IDS, candidates, linked
-from tidemark.llm.shingles import WIDTH, MinHash, mix, tuned, windows, word_hashes
+from tidemark.llm.shingles import MinHash, mix, tuned, windows_of, word_hashes
 
-#: Shorter paragraphs are too common to count as copies.
-LEAST_WORDS = 10
+#: Every line with a word is compared.
+LEAST_WORDS = 1
 
 
 def _paragraphs(text: bytes) -> tuple[list[int], np.ndarray, np.ndarray]:
@@ -29,13 +29,7 @@ def _paragraphs(text: bytes) -> tuple[list[int], np.ndarray, np.ndarray]:
             counts.append(len(w))
     if not index:
         return [], np.empty(0, np.uint64), np.empty(0, np.int64)
-    h = windows(word_hashes(words))
-    ends = np.cumsum(counts)
-    across = (ends[:-1, None] - np.arange(1, WIDTH)).ravel()  # windows that begin so late reach into the next paragraph
-    inside = np.ones(len(h), dtype=bool)
-    inside[across] = False
-    starts = np.r_[0, ends[:-1]] - (WIDTH - 1) * np.arange(len(index))
-    return index, h[inside], starts
+    return index, *windows_of(word_hashes(words), np.array(counts))
 
 
 def _identity(hashes: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
@@ -78,7 +72,7 @@ def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def paragraph_copies(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, fp, i, id, component of each paragraph of LEAST_WORDS or more words; fp tells texts of one doc_id apart.
 
-    ``id`` names a paragraph's set of 5-word shingles (lower-cased A-Z); paragraphs link where 100 * intersection >= ``percent``
+    ``id`` names a paragraph's set of 5-word shingles (lower-cased A-Z), under five words one of them all; paragraphs link where 100 * intersection >= ``percent``
     * union, and ``component`` is the least id that links reach. Equal paragraphs are one until the end.
     """
     minhash = MinHash(*tuned(percent / 100))
@@ -113,7 +107,7 @@ def without_paragraph_copies(docs: DataFrame, percent: int = 80) -> DataFrame:
     """Per document: doc_id, n_paragraphs, n_removed, removed (line numbers from 0), kept_text.
 
     Paragraphs are lines with a word. Of each component of near-equal ones, the first by doc_id and place stays and the others go;
-    ones of under LEAST_WORDS words always stay. Null and empty texts have none; of repeated rows, the same paragraphs go
+    those of under five words only if they are equal, word for word. Null and empty texts have none; of repeated rows, the same paragraphs go
     from each (a row can't be told from its twin), the first one's own copies included only where another document or line precedes; rows
     without an id come first; other columns are left behind.
     """

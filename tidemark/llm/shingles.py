@@ -49,6 +49,19 @@ def windows(h: np.ndarray) -> np.ndarray:
     return mix(np.array([np.sum(h * _PLACE[: len(h)], dtype=np.uint64) + np.uint64(len(h))], dtype=np.uint64))
 
 
+def windows_of(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of several texts, of ``counts`` words each (one at least), as ``windows`` has them, and where each text's begin."""
+    n = np.maximum(1, counts - WIDTH + 1)
+    starts = np.cumsum(n) - n
+    at = np.arange(n.sum()) + np.repeat(np.cumsum(counts) - counts - starts, n)
+    held = np.repeat(np.minimum(counts, WIDTH), n)
+    padded = np.r_[h, np.zeros(WIDTH, dtype=np.uint64)]
+    out = np.where(held < WIDTH, held, 0).astype(np.uint64)
+    for i in range(WIDTH):
+        out += np.where(held > i, padded[at + i], np.uint64(0)) * _PLACE[i]
+    return mix(out), starts
+
+
 def shingle_set(text: bytes) -> np.ndarray:
     """The sorted distinct shingle hashes of a whole text, lower-cased A-Z."""
     return np.unique(windows(word_hashes(text.lower().split())))
