@@ -91,8 +91,9 @@ def test_quality_metrics_and_cutoffs(spark, corpus):
     for t in more:
         assert quality.measure((t or "").encode())[:5] == slow((t or "").replace("\x1c", "_"))  # str.split takes \x1c for white space
     assert quality.upper_bound(0, 59, 0.05) == pytest.approx(1 - 0.05 ** (1 / 59), abs=1e-9)
-    assert quality.choose((3.0, 2.0, 1.0), [0, 0, 40], [1, 5, 9], 200, 0.05, 0.01) == 2.0
-    assert quality.choose((3.0,), [0], [5], 10, 0.05, 0.01) is None
+    assert quality.choose((3.0, 2.0, 1.0), [0, 0, 40], [1, 5, 9]) == (5, 2.0)
+    assert quality.choose((3.0,), [1], [5]) == (0, None)
+    assert [quality.proven(x, n, 0.05, 0.0125) for x, n in (([0, 0, 40], 400), ([0], 80), ([0], 90), ([3, 2, 8], 400), ([], 9))] == [2, 0, 1, 2, 0]
     labels = spark.createDataFrame([(0, 1, 0), (0, 0, 0), (1, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     out = {r["doc_id"]: r for r in quality.quality(docs, labels).collect()}
     assert len(out) == len(texts) and not out[texts.index("")]["kept"] and out[texts.index("")]["base_failed"]
@@ -100,6 +101,47 @@ def test_quality_metrics_and_cutoffs(spark, corpus):
     assert quality.quality(empty(spark), labels).count() == 0
 
 
+def test_quality_verdicts_equal_brute_force(spark):
+    """The whole choice once more, in plain Python, over documents whose rules overlap."""
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(1600):
+        bad, lang = i % 5 == 0, ["en", "de", None][i % 3 if i < 1580 else 2]
+        w = words(rng, 60).split()
+        if bad or rng.random() < 0.01:
+            w = [x.upper() if rng.random() < 0.8 else x for x in w] if i % 2 else [x + "#" * 2 for x in w]
+        if rng.random() < 0.04:
+            w[::2] = [x + "$" for x in w[::2]]
+        rows.append((i, " ".join(w), lang))
+        labels.append((i, int(not bad), 0))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    half = {r[0] for r in docs.where(quality.tunes()).select("doc_id").collect()}
+    kept, rejecting, strata = {}, 0, {r[2] for r in rows}
+    for stratum in strata:
+        own = {i: quality.measure(t.encode()) for i, t, lang in rows if lang == stratum}
+        ratio = {i: (m[2] / m[0], m[3] / m[5], m[4] / m[0], m[6] / m[0], m[0] / m[7]) for i, m in own.items()}
+        gains = []
+        for k, grid in enumerate(quality.RULES.values()):
+            best = (0, None)
+            for c in grid:
+                hit = [i for i in own if i in half and ratio[i][k] > c]
+                gain = sum(1 if i % 5 == 0 else -10 for i in hit)
+                best = (gain, c) if gain > best[0] else best
+            if best[1] is not None:
+                gains.append((-best[0], k, best[1]))
+        used, good = [], [i for i in own if i not in half and i % 5]
+        for _, k, c in sorted(gains):
+            n = sum(any(ratio[i][j] > x for j, x in [*used, (k, c)]) for i in good)
+            if quality.upper_bound(n, len(good), 0.05 / len(strata)) > 0.05:
+                break
+            used.append((k, c))
+        rejecting += len(used)
+        kept |= {i: not any(ratio[i][k] > c for k, c in used) for i in own}
+    assert rejecting > 2
+    assert {r["doc_id"]: r["kept"] for r in quality.quality(docs, marks).collect()} == kept
+    assert {r["doc_id"] for r in quality.passing(docs, marks).collect()} == {i for i, k in kept.items() if k}
+
+
 def test_word_piece_counts_are_greedy(spark, corpus):
     pieces = wordpieces.vocabulary(tokenizer_path())
     have = {*pieces, *(bytes([b]) for b in range(256))}
@@ -174,11 +216,48 @@ def test_repeats_equal_brute_force(spark, corpus):
         kept = bytes(b for b, g in zip(t, gone, strict=True) if not g)
         spans = sum(g and (not i or not gone[i - 1]) for i, g in enumerate(gone))
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest()), r["doc_id"]
+        assert r["n_removed"] <= r["n_shared"] + 2 * length * r["n_spans"] and r["longest_shared"] <= r["n_shared"] <= len(t)
     left = repeats.without_repeats(docs, length)
     assert left.columns == docs.columns and left.where("length(text) <> n_chars").count() == 0
     assert repeats.repeats(empty(spark)).count() == 0
 
 
+def test_repeats_of_hot_strings_shorter_lengths_and_doublings(spark):
+    rng = random.Random(12)
+    passage, other = words(rng, 70), words(rng, 25)
+    texts = [f"{words(rng, 60)} {passage} {words(rng, 60)}" for _ in range(30)] + [f"{words(rng, 5)} {passage[:200]} {words(rng, 90)}"]
+    texts += [f"{words(rng, 50)} {other} {words(rng, 50)}" for _ in range(2)] + [passage] * 60 + [words(rng, 150) for _ in range(4)]
+    raw, docs = [t.encode() for t in texts], docs_of(spark, texts)
+    for length in (240, 80):
+        seen = collections.Counter(t[i : i + length] for t in raw for i in range(len(t) - length + 1))
+        for r in repeats.repeats(docs, length).collect():
+            t = raw[r["doc_id"]]
+            gone = bytearray(len(t))
+            for i in range(len(t) - length + 1):
+                if seen[t[i : i + length]] > 1:
+                    gone[i : i + length] = b"\1" * length
+            assert r["n_removed"] == sum(gone), (length, r["doc_id"])
+    with pytest.raises(ValueError, match="too short"):
+        repeats.repeats(docs, 70)
+    # Places where a rank doubles twice are read by the doubling; the rest keep no number.
+    level = np.array([3, 0, 0, 0, 0, 0, 1, 0, 0, 2, 0, 0])
+    assert np.flatnonzero(repeats._doubled(level)).tolist() == [0, 2, 4, 9, 11]
+
+
+ODD = ["a.b", "a b", "_gone", "_row", "marks", "kept", "fp", "_hot", "_id", "n", "stratum", "a`b"]
+
+
+def test_clashing_columns_pass_through_every_stage(spark, corpus):
+    texts, docs = corpus
+    odd = docs.select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(i).alias(c) for i, c in enumerate(ODD)])
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").withColumn("_gone", F.lit(1))
+    items = spark.createDataFrame([(0, texts[7])], "item_id long, text string").withColumn("_row", F.lit(1))
+    for out in (quality.passing(odd, labels), neardup.without_near_duplicates(odd, 80), repeats.without_repeats(odd, 300), decontaminate.without_contaminated(odd, items)):
+        assert out.columns == odd.columns
+        rows = out.collect()
+        assert rows and all(list(r)[5:] == list(range(len(ODD))) for r in rows)
+
+
 def components(sets, percent):
     parent = {i: i for i in sets}
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: What separates words, in texts as bytes and in regular expressions over strings.
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
+#: Values that more than one in HOT_SHARE rows have, and HOT_LEAST rows at least, are dealt over SALTS tasks.
+HOT_SHARE, HOT_LEAST, SALTS = 500, 100, 64
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,9 +38,25 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written = path
+    for made in _making:
+        made.append(out)
     return out
 
 
+_making: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def tables_made() -> Iterator[list[DataFrame]]:
+    """The tables that ``written`` makes meanwhile, for ``release`` once their readers are done."""
+    made: list[DataFrame] = []
+    _making.append(made)
+    try:
+        yield made
+    finally:
+        _making.remove(made)
+
+
 def release(*tables: DataFrame) -> None:
     """Remove ``written`` tables that nothing will read again, and let Spark drop shuffle files that only finished jobs used.
 
@@ -46,7 +65,7 @@ def release(*tables: DataFrame) -> None:
     for t in tables:
         sc = t.sparkSession.sparkContext
         path = sc._jvm.org.apache.hadoop.fs.Path(t._written)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)  # one that is gone already is no error
     if tables:
         sc._jvm.System.gc()
 
@@ -56,6 +75,37 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), *more)
 
 
+def row_of(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one struct, whatever they are called."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+
+
+def unused(name: str, *tables: DataFrame) -> str:
+    """``name``, led by as many underscores as no column of ``tables`` has."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def salted_join(rows: DataFrame, keys: DataFrame, on: list[str], n: str, how: str, by: list[str]) -> DataFrame:
+    """``rows`` joined with ``keys`` (written; a row for each value of ``on``, whose column ``n`` says how many of ``rows`` have it).
+
+    A value that over one in HOT_SHARE of these rows have (so there are fewer than HOT_SHARE such values, and they are
+    broadcast) is dealt over SALTS tasks, by a hash of the columns ``by``, and stands in ``keys`` as often.
+    """
+    total = keys.agg(F.sum(n)).first()[0] or 0
+    hot = keys.where(F.col(n) > max(HOT_LEAST, total // HOT_SHARE)).select(*on)
+    keys = keys.drop(n)
+    if hot.isEmpty():
+        return rows.join(keys, on, how)
+    hot = F.broadcast(hot.withColumn("_hot", F.lit(SALTS)))
+    parts = lambda t: t.join(hot, on, "left").withColumn("_hot", F.coalesce("_hot", F.lit(1)))
+    left = parts(rows).withColumn("_salt", F.pmod(F.xxhash64(*by), F.col("_hot"))).drop("_hot")
+    right = parts(keys).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("_hot") - 1).cast("long")))).drop("_hot")
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
+
+
 def numbered(df: DataFrame, within: list[str], by: list[str], name: str, buckets: int = 1024) -> DataFrame:
     """``df`` with a gapless number from 0 in ``name`` for the rows that share ``within``.
 

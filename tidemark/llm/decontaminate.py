@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import texts
+from tidemark.llm.common import row_of, texts
 
 #: Characters of test items in a block: what goes to an executor at once.
 BLOCK_CHARS = 8_000_000
@@ -223,7 +223,7 @@ def _in_block(docs: DataFrame, block: list[tuple[int | None, list[str]]], least:
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no copy of a test item; rows of a null id are judged by their own text too."""
-    row = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    row = docs.select(row_of(docs).alias("_row"), "text")
     kept = row.select("_row", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     for block in _blocks(benchmark):
         kept = _clean_of(kept, docs, block, least)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import release, texts, written
+from tidemark.llm.common import release, texts, unused, written
 from tidemark.llm.links import candidates, linked, only
 from tidemark.llm.shingles import HyperMinHash, shingle_set
 
@@ -75,5 +75,6 @@ def components_of(found: DataFrame, edges: DataFrame) -> DataFrame:
 
 def without_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose document ``near_duplicates`` keeps; rows without an id stay."""
-    gone = near_duplicates(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    name = unused("_gone", docs)
+    gone = near_duplicates(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")

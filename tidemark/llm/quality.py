@@ -1,12 +1,13 @@
 """Quality rules whose cutoffs are chosen under a bound on false rejections.
 
-A rule rejects a document when a ratio lies above its cutoff. Labelled documents decide the cutoffs: in each stratum
-(language), each rule's fixed grid is tested from the loosest cutoff to the tightest. A cutoff passes while the exact
-(Clopper-Pearson) upper bound on the share of good documents that it rejects stays within ``alpha``; testing stops at the
-first that fails (fixed-sequence testing, so the grid costs nothing), and the confidence is split over all rules and strata
-(Bonferroni). With probability 1 - ``delta`` no rule, in any stratum, rejects more than ``alpha`` of the good documents. Among the cutoffs that
-pass, the one with the most bad documents rejected is taken, each good one counting against ``GOOD_WEIGHT`` bad ones; ties go
-to the loosest. A stratum without enough labels to prove anything gets no cutoff.
+A rule rejects a document when a ratio lies above its cutoff. In each stratum (language), half of the labelled documents tune and
+the other half, the holdout, decides; a hash of the id says which half. Tuning picks for each rule the cutoff of its grid with the most
+bad documents rejected, each good one counting against ``GOOD_WEIGHT`` bad ones (ties go to the loosest), and orders the rules by that
+gain. The holdout then tests the first rule, the first two together, and so on: a set of rules passes while the exact (Clopper-Pearson)
+upper bound on the share of good documents that any of its rules rejects stays within ``alpha``; the last set that passes is taken. Sets grow,
+so that testing in this order up to the first failure costs nothing (fixed-sequence testing), and the confidence is split over the
+strata (Bonferroni): with probability 1 - ``delta``, in no stratum do the rules together reject more than ``alpha`` of the good
+documents. A stratum without enough labels to prove anything gets no rule.
 """
 
 from __future__ import annotations
@@ -14,12 +15,15 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tidemark.llm.common import SPACE, texts, written
+from tidemark.llm.common import SPACE, release, row_of, texts, written
+from tidemark.llm.links import BROADCAST_IDS
 
 SYMBOLS = b"#*$%&|<>"
 GOOD_WEIGHT = 10
@@ -99,33 +103,92 @@ def upper_bound(k: int, n: int, delta: float) -> float:
     return high
 
 
-def choose(grid: tuple[float, ...], good: list[int], bad: list[int], n_good: int, alpha: float, delta: float) -> float | None:
-    """The cutoff for a rule in a stratum. good, bad: how many each cutoff of the grid rejects."""
+def choose(grid: tuple[float, ...], good: list[int], bad: list[int]) -> tuple[int, float | None]:
+    """The gain and the cutoff for a rule in a stratum. good, bad: how many tuning documents each cutoff of the grid rejects."""
     best, cutoff = 0, None
     for c, k, b in zip(grid, good, bad, strict=True):
-        if k > alpha * n_good or upper_bound(k, n_good, delta) > alpha:
-            break
         if b - GOOD_WEIGHT * k > best:
             best, cutoff = b - GOOD_WEIGHT * k, c
-    return cutoff
+    return best, cutoff
 
 
-def cutoffs(metrics: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> dict[str, dict[str, float]]:
-    """For each stratum, the rules' cutoffs. ``metrics``: doc_id, stratum and METRICS. A stratum's counts are one row.
+def proven(rejected: list[int], n_good: int, alpha: float, delta: float) -> int:
+    """How many rules, in order, the holdout proves. rejected: good documents whose first rejecting rule is the k-th, for each k."""
+    k = total = 0
+    for k, n in enumerate(rejected):
+        total += n
+        if total > alpha * n_good or upper_bound(total, n_good, delta) > alpha:
+            return k
+    return k + 1 if rejected else 0
+
+
+def tunes() -> Column:
+    """Whether a labelled document tunes; else it is in the holdout."""
+    return F.pmod(F.xxhash64("doc_id", F.lit("tunes")), F.lit(2)) == 0
+
+
+_CUTS = [f"cut_{r}" for r in RULES]
+_TABLE = "stratum string, " + ", ".join(f"{c} double" for c in _CUTS) + ", rank array<int>"
+
+
+def _tuned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each stratum's counts, the rules' cutoffs and the numbers of the chosen rules in order."""
+    for batch in batches:
+        strata, cuts, ranks = [], [], []
+        for s in batch.to_pylist():
+            found = [choose(grid, *([s[f"{r}_{i}_{g}"] for i in range(len(grid))] for g in (1, 0))) for r, grid in RULES.items()]
+            strata.append(s["stratum"])
+            cuts.append([c for _, c in found])
+            ranks.append(sorted((k for k, (_, c) in enumerate(found) if c is not None), key=lambda k: (-found[k][0], k)))
+        columns = [pa.array([c[k] for c in cuts], pa.float64()) for k in range(len(_CUTS))]
+        yield pa.RecordBatch.from_arrays([pa.array(strata, pa.string()), *columns, pa.array(ranks, pa.list_(pa.int32()))], ["stratum", *_CUTS, "rank"])
+
+
+def _proving(alpha: float, delta: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            for s in rows:
+                k = proven([s[f"first_{k}"] for k in range(len(s["rank"]))], s["n_good"], alpha, delta)
+                for r in s["rank"][k:]:
+                    s[_CUTS[r]] = None
+            columns = [pa.array([s[c] for s in rows], pa.float64()) for c in _CUTS]
+            yield pa.RecordBatch.from_arrays([pa.array([s["stratum"] for s in rows], pa.string()), *columns, pa.array([s["rank"] for s in rows], pa.list_(pa.int32()))], ["stratum", *_CUTS, "rank"])
+
+    return run
+
+
+def _with_cuts(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """``rows`` with the cutoffs of their strata (null: none). A long list of strata isn't broadcast."""
+    table = table.withColumnRenamed("stratum", "_stratum")
+    return rows.join(F.broadcast(table) if table.count() <= BROADCAST_IDS else table, F.col("stratum") == F.col("_stratum"), "left").drop("_stratum")
+
+
+def _hits() -> list[Column]:
+    """For each rule, whether it rejects."""
+    ratio = ratios()
+    return [F.coalesce(ratio[r] > F.col(c), F.lit(False)) for r, c in zip(RULES, _CUTS, strict=True)]
+
+
+def cutoffs(metrics: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
+    """A row for each stratum with labels: stratum, the rules' cutoffs (null: none), rank. ``metrics``: doc_id, stratum and METRICS.
 
     Labels: doc_id, quality (1 good, 0 bad; others and nulls are left out). Repeated labels of a document count once, and
-    contradicting ones not at all.
+    contradicting ones not at all. Written.
     """
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("_low"), F.max("quality").alias("_good")).where("_low = _good")
-    rows = metrics.where(F.col("doc_id").isNotNull()).join(marked, "doc_id").withColumns(ratios())
-    counts = [F.sum((F.col("_good") == g).cast("long")).alias(f"n{g}") for g in (0, 1)]
-    counts += [F.sum(((F.col("_good") == g) & (F.col(r) > c)).cast("long")).alias(f"{r}_{i}_{g}") for r, grid in RULES.items() for i, c in enumerate(grid) for g in (0, 1)]
-    seen = rows.groupBy("stratum").agg(*counts).collect()
-    each = delta / max(1, len(seen) * len(RULES))
-    out: dict[str, dict[str, float]] = {}
-    for s in seen:
-        found = {r: choose(grid, *([s[f"{r}_{i}_{g}"] for i in range(len(grid))] for g in (1, 0)), s["n1"], alpha, each) for r, grid in RULES.items()}
-        out[s["stratum"]] = {r: c for r, c in found.items() if c is not None}
+    rows = written(metrics.where(F.col("doc_id").isNotNull()).join(marked, "doc_id").select("stratum", *METRICS, F.col("_good").alias("good"), tunes().alias("tunes")), "labelled")
+    ratio = ratios()
+    counts = [F.sum(((F.col("good") == g) & (ratio[r] > c)).cast("long")).alias(f"{r}_{i}_{g}") for r, grid in RULES.items() for i, c in enumerate(grid) for g in (0, 1)]
+    tuned = written(rows.where("tunes").groupBy("stratum").agg(*counts).mapInArrow(_tuned, _TABLE), "tuned")
+    strata = max(1, rows.select("stratum").distinct().count())
+    hit = F.array(*_hits())
+    first = F.array_position(F.transform("rank", lambda k: F.get(hit, k)), True) - 1
+    seen = _with_cuts(rows.where("not tunes and good = 1"), tuned).withColumn("first", first)
+    n = seen.groupBy(F.col("stratum").alias("_s")).agg(F.count(F.lit(1)).alias("n_good"), *[F.sum((F.coalesce("first", F.lit(-1)) == k).cast("long")).alias(f"first_{k}") for k in range(len(RULES))])
+    held = tuned.join(n, F.col("stratum") == F.col("_s"))  # a stratum without a holdout has nothing to prove by
+    out = written(held.mapInArrow(_proving(alpha, delta / strata), _TABLE), "cutoffs")
+    release(rows, tuned)
     return out
 
 
@@ -133,13 +196,9 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def rejected(by_stratum: dict[str, dict[str, float]]) -> Column:
-    """Whether a rule of the document's stratum rejects it."""
-    hit, ratio = F.lit(False), ratios()
-    for stratum, rules in sorted(by_stratum.items()):
-        for r, c in sorted(rules.items()):
-            hit = hit | ((F.col("stratum") == stratum) & (ratio[r] > c))
-    return hit
+def _judged(rows: DataFrame, table: DataFrame) -> DataFrame:
+    hits = _with_cuts(rows, table).withColumn("base_failed", base_failed())
+    return hits.withColumn("kept", ~F.col("base_failed") & ~reduce(Column.__or__, _hits())).drop(*_CUTS, "rank")
 
 
 def quality(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
@@ -150,15 +209,13 @@ def quality(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: floa
     """
     rows = texts(docs, F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"))
     rows = written(rows.mapInArrow(measured, f"doc_id long, stratum string, {_SCHEMA}"), "quality")
-    found = cutoffs(rows, labels, alpha, delta)
-    return rows.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rejected(found))
+    return _judged(rows, cutoffs(rows, labels, alpha, delta))
 
 
 def passing(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that ``quality`` keeps, each judged by its own text."""
+    """The rows of ``docs``, with all their columns, that ``quality`` keeps, each judged by its own text; texts are measured once."""
     stratum = F.coalesce(F.col("lang").cast("string"), F.lit(""))
-    rows = texts(docs, stratum.alias("stratum"))
-    found = cutoffs(written(rows.mapInArrow(measured, f"doc_id long, stratum string, {_SCHEMA}"), "quality"), labels, alpha, delta)
-    whole = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), stratum.alias("stratum"))
-    judged = whole.mapInArrow(measured, f"_row {docs.schema.simpleString()}, stratum string, {_SCHEMA}")
-    return judged.where(~base_failed() & ~rejected(found)).select("_row.*")
+    whole = docs.select(row_of(docs).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), stratum.alias("stratum"))
+    kinds = StructType([StructField("_row", docs.schema), StructField("doc_id", LongType()), StructField("stratum", StringType()), *[StructField(m, LongType()) for m in METRICS]])
+    rows = written(whole.mapInArrow(measured, kinds), "quality")
+    return _judged(rows, cutoffs(rows, labels, alpha, delta)).where("kept").select("_row.*")

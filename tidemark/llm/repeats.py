@@ -6,7 +6,8 @@ windows of ``length`` bytes have their anchors at equal places, so a repeated wi
 
 Prefix doubling finds those: an anchor's first rank orders what lies from it to the second next anchor; pairs of ranks, at offsets
 of 2, 4, 8 ... anchors, are sorted and ranked anew. An anchor whose pair is unique drops out; one whose next doubling would leave
-the bytes that equal windows surely share is past the threshold and stays.
+the bytes that equal windows surely share is past the threshold and stays. At 400 bytes that is so after one doubling for some 13 % of the
+anchors, and at once for the others: the sampling is as sparse as equal windows allow, and the hashes below do the rest.
 
 For the anchors that stay, all windows they are responsible for are hashed at once (the bytes from the first to the end of
 the last). Where that string repeats, every one of its windows does. Where it is unique while its run repeats, a copy begins or
@@ -24,18 +25,25 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from tidemark.llm.common import release, texts, written
+from tidemark.llm.common import release, row_of, salted_join, texts, written
 from tidemark.llm.links import BROADCAST_IDS
 from tidemark.llm.shingles import mix
 
-#: Bytes of a hashed string, and positions among which its least hash is taken.
-K, W = 16, 112
+#: Bytes of a hashed string.
+K = 16
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _LOW = np.uint64(0xFFFFFFFF)
 
 
-def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def reach(length: int) -> int:
+    """W, the positions among which the least hash is taken, for windows of ``length`` bytes: of what the hashed strings leave, so
+    much that equal windows share two anchors at least, and mostly three or more, which doubling needs."""
+    return (length - 3 * K) * 7 // 22
+
+
+def anchors(text: bytes, W: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:  # noqa: N803
     """The anchors' positions, and the first and last window start that each is responsible for; none in texts under W + K - 1 bytes."""
     n = len(text) - K + 1
     if n < W:
@@ -58,33 +66,53 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at[first], first, np.r_[first[1:] - 1, m - 1]
 
 
+def _levels(at: np.ndarray, shared: int) -> tuple[np.ndarray, np.ndarray]:
+    """How often each anchor but the last can double its rank within ``shared`` bytes, and where the string of its first rank ends."""
+    n = len(at) - 1
+    level, step = np.zeros(n, dtype=np.int32), 2
+    while step <= n:
+        some = np.flatnonzero(at[step:] - at[:-step] <= shared)
+        if not len(some):
+            break
+        level[some] = step.bit_length() - 1
+        step *= 2
+    return level, at[np.arange(n) + np.minimum(level, 1) + 1] + K
+
+
+def _doubled(level: np.ndarray) -> np.ndarray:
+    """Which anchors a doubling reads: those that double, and what follows them."""
+    out = np.zeros(len(level), dtype=bool)
+    for k in range(2, int(level.max(initial=0)) + 1):
+        own = np.flatnonzero(level >= k)
+        out[own] = True
+        out[own + 2 ** (k - 1)] = True
+    return out
+
+
 def _ranks(length: int):
-    shared = length - 2 * W - K  # from its anchor on, so many bytes' anchors are equal in equal windows
+    """Each anchor's place and first rank's hash; its number in the text only where a doubling will ask for it."""
+    near = reach(length)
+    shared = length - 2 * near - K  # from its anchor on, so many bytes' anchors are equal in equal windows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            many, index, place, levels, hashes = [], [], [], [], []
+            many, index, asked, place, levels, hashes = [], [], [], [], [], []
             for t in batch.column("text").to_pylist():
-                at = anchors(t)[0] if len(t) >= length else np.empty(0, np.int64)
+                at = anchors(t, near)[0] if len(t) >= length else np.empty(0, np.int64)
                 n = max(0, len(at) - 1)
                 many.append(n)
                 if not n:
                     continue
-                level, step = np.zeros(n, dtype=np.int32), 2
-                while step <= len(at) - 1:
-                    near = np.flatnonzero(at[step:] - at[:-step] <= shared)
-                    if not len(near):
-                        break
-                    level[near] = step.bit_length() - 1
-                    step *= 2
-                ends = at[np.arange(n) + np.minimum(level, 1) + 1] + K
+                level, ends = _levels(at, shared)
                 hashes += [xxhash.xxh64_intdigest(t[a:b]) for a, b in zip(at.tolist(), ends.tolist(), strict=False)]
                 index.append(np.arange(n, dtype=np.int32))
+                asked.append(_doubled(level))
                 place.append(at[:-1])
                 levels.append(level)
             join = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
             of = np.repeat(np.arange(batch.num_rows), many)
-            columns = [batch.column("doc_id").take(pa.array(of)), batch.column("fp").take(pa.array(of)), pa.array(join(index, np.int32)), pa.array(join(place, np.int64)), pa.array(join(levels, np.int32)), pa.array(np.array(hashes, dtype=np.uint64).view(np.int64))]
+            number = pa.array(join(index, np.int32), mask=~join(asked, bool))
+            columns = [batch.column("doc_id").take(pa.array(of)), batch.column("fp").take(pa.array(of)), number, pa.array(join(place, np.int64)), pa.array(join(levels, np.int32)), pa.array(np.array(hashes, dtype=np.uint64).view(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "i", "at", "levels", "r"])
 
     return run
@@ -92,16 +120,16 @@ def _ranks(length: int):
 
 def _ranked(rows: DataFrame, by: list[str]) -> DataFrame:
     """``rows`` whose ``by`` others share, with ``rank`` in place of it: the sorted combinations are numbered, rising with them."""
-    several = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*by)
+    several = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     order = written(several.orderBy(*by).withColumn("_rank", F.monotonically_increasing_id()), "ranks")
-    out = written(rows.join(order, by).drop(*by).withColumnRenamed("_rank", "rank"), "ranked")
+    out = written(salted_join(rows, order, by, "_n", "inner", ["doc_id", "at"]).drop(*by).withColumnRenamed("_rank", "rank"), "ranked")
     release(order, rows)
     return out
 
 
 def repeated_runs(docs: DataFrame, length: int) -> DataFrame:
     """doc_id, fp, at of the anchors whose run repeats. Written."""
-    rows = written(docs.mapInArrow(_ranks(length), "doc_id long, fp long, i int, at long, levels int, r long"), "anchors")
+    rows = written(docs.mapInArrow(_ranks(length), "doc_id long, fp int, i int, at long, levels int, r long"), "anchors")
     now, level, stay = _ranked(rows, ["r"]), 1, []
     while True:
         stay.append(written(now.where(F.col("levels") <= level).select("doc_id", "fp", "at"), "runs"))
@@ -109,7 +137,7 @@ def repeated_runs(docs: DataFrame, length: int) -> DataFrame:
         if more.isEmpty():
             break
         # Anchors that can't double again still follow others in pairs.
-        after = now.select(F.col("doc_id").alias("_d"), F.col("fp").alias("_f"), (F.col("i") - 2**level).alias("_i"), F.col("rank").alias("next")).distinct()
+        after = now.where("i is not null").select(F.col("doc_id").alias("_d"), F.col("fp").alias("_f"), (F.col("i") - 2**level).alias("_i"), F.col("rank").alias("next")).distinct()
         pairs = written(more.join(after, _same("doc_id", "fp", "_d", "_f") & (F.col("i") == F.col("_i"))).drop("_d", "_f", "_i"), "pairs")
         release(now)
         now, level = _ranked(pairs, ["rank", "next"]), level + 1
@@ -138,15 +166,24 @@ def _with_texts(docs: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def _whole(length: int):
-    """For marked anchors: their windows' bytes as one string, hashed, and as cls the bytes that any window of the anchor has."""
-    core = length - W + 1
+    """For marked anchors: their windows' bytes as one string, hashed, and as cls the bytes that any window of the anchor has.
+
+    Besides, a row without a hash for each text: s, the bytes that its marked anchors' first ranks cover, and e, the longest run of them.
+    """
+    near = reach(length)
+    core = length - near + 1
+    shared = length - 2 * near - K
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             of, cls, first, last, h1, h2 = [], [], [], [], [], []
             for k, (t, marks) in enumerate(zip(batch.column("text").to_pylist(), batch.column("marks").to_pylist(), strict=True)):
                 where = {m["at"] for m in marks}
-                for a, s, e in zip(*(x.tolist() for x in anchors(t)), strict=True):
+                at, starts, lasts = anchors(t, near)
+                ends = _levels(at, shared)[1]
+                runs = [b - a for a, b in spans_of([(a, b) for a, b in zip(at.tolist(), ends.tolist(), strict=False) if a in where], 0)]
+                of.append(k), cls.append(None), first.append(sum(runs)), last.append(max(runs)), h1.append(None), h2.append(None)
+                for a, s, e in zip(at.tolist(), starts.tolist(), lasts.tolist(), strict=True):
                     e = min(e, len(t) - length)
                     if a in where and s <= e:
                         h = xxhash.xxh3_128_intdigest(t[s : e + length])
@@ -173,21 +210,28 @@ def _single(length: int):
 
 
 def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id, fp, s, e: ranges of starts of windows of ``length`` bytes that also start elsewhere. Written."""
+    """doc_id, fp, s, e: ranges of starts of windows of ``length`` bytes that also start elsewhere; and, with s and e null, shared and
+    longest: bytes of a text in strings that the ranks found repeated, and the longest run of them. Written tables."""
     marks = _marked(repeated_runs(docs, length), F.struct("at"))
-    whole = written(_with_texts(docs, marks).mapInArrow(_whole(length), "doc_id long, fp long, cls long, s long, e long, h1 long, h2 long"), "windows")
+    whole = written(_with_texts(docs, marks).mapInArrow(_whole(length), "doc_id long, fp int, cls long, s long, e long, h1 long, h2 long"), "windows")
     release(marks)
-    kinds = whole.groupBy("h1", "h2", "cls").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "fp", "s", "e")).alias("one"))
+    hashed, none = whole.where("h1 is not null"), F.lit(None).cast("long")
+    kinds = hashed.groupBy("h1", "h2", "cls").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "fp", "s", "e")).alias("one"))
     kinds = written(kinds, "kinds")
-    ranges = written(whole.join(kinds.where("n > 1").select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select("doc_id", "fp", "s", "e"), "ranges")
+    several = written(kinds.where("n > 1").groupBy("h1", "h2").agg(F.sum("n").alias("n")), "several")
+    found = salted_join(hashed, several, ["h1", "h2"], "n", "left_semi", ["doc_id", "s"]).select("doc_id", "fp", "s", "e", none.alias("shared"), none.alias("longest"))
+    shared = whole.where("h1 is null").select("doc_id", "fp", none.alias("s"), none.alias("e"), F.col("s").alias("shared"), F.col("e").alias("longest"))
+    ranges = written(found.unionByName(shared), "ranges")
     # Where a kind of its own shares those bytes with another, a copy may begin or end within an anchor's windows.
-    mixed = kinds.groupBy("cls").agg(F.min("n").alias("_least"), F.count(F.lit(1)).alias("_kinds")).where("_least = 1 and _kinds > 1").select("cls")
-    marks = _marked(kinds.join(mixed, "cls", "left_semi").select("one.*", (F.col("n") == 1).alias("own")), F.struct("s", "e", "own"))
-    release(whole, kinds)
-    single = written(_with_texts(docs, marks).mapInArrow(_single(length), "doc_id long, fp long, s long, own boolean, h1 long, h2 long"), "windows")
-    several = single.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("h1", "h2")
-    more = written(single.where("own").join(several, ["h1", "h2"], "left_semi").select("doc_id", "fp", "s", F.col("s").alias("e")), "ranges")
-    release(marks, single)
+    mixed = kinds.groupBy("cls").agg(F.min("n").alias("_least"), F.count(F.lit(1)).alias("_kinds")).where("_least = 1 and _kinds > 1").drop("_least")
+    mixed = written(mixed, "mixed")
+    marks = _marked(salted_join(kinds, mixed, ["cls"], "_kinds", "left_semi", ["h1"]).select("one.*", (F.col("n") == 1).alias("own")), F.struct("s", "e", "own"))
+    release(whole, kinds, several, mixed)
+    single = written(_with_texts(docs, marks).mapInArrow(_single(length), "doc_id long, fp int, s long, own boolean, h1 long, h2 long"), "windows")
+    several = written(single.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "several")
+    more = salted_join(single.where("own"), several, ["h1", "h2"], "_n", "left_semi", ["doc_id", "s"])
+    more = written(more.select("doc_id", "fp", "s", F.col("s").alias("e"), none.alias("shared"), none.alias("longest")), "ranges")
+    release(marks, single, several)
     return ranges.unionByName(more)
 
 
@@ -223,28 +267,33 @@ def _cut(length: int, whole: bool):
 
 
 def _fingerprinted(docs: DataFrame, *more: str) -> DataFrame:
-    return texts(docs, *more).withColumn("fp", F.xxhash64("text"))
+    """fp tells texts of one doc_id apart."""
+    return texts(docs, *more).withColumn("fp", F.shiftright(F.xxhash64("text"), 32).cast("int"))
 
 
 def _marks(docs: DataFrame, length: int) -> DataFrame:
+    if reach(length) < 8:
+        raise ValueError("the strings are too short for the anchors")
     ranges = repeated_windows(docs, length)
-    return ranges.groupBy(F.col("doc_id").alias("_d"), F.col("fp").alias("_f")).agg(F.collect_set(F.struct("s", "e")).alias("marks"))
+    places = F.collect_set(F.when(F.col("s").isNotNull(), F.struct("s", "e")))
+    return ranges.groupBy(F.col("doc_id").alias("_d"), F.col("fp").alias("_f")).agg(places.alias("marks"), F.max("shared").alias("n_shared"), F.max("longest").alias("longest_shared"))
 
 
 def repeats(docs: DataFrame, length: int = 400) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, spans (start, end), kept_sha256.
+    """Per document: doc_id, n_bytes, n_removed, n_spans, spans (start, end), kept_sha256, n_shared, longest_shared.
 
     Each byte that a string of ``length`` bytes covers, which also starts anywhere else in the input (in the document itself
-    too), is removed. Texts are UTF-8 bytes, whole; null and empty ones lose nothing; of repeated rows, each is a
-    document, so that texts of ``length`` or more go whole; other columns are left behind. ``length`` must be over 2 * W + 2 * K.
+    too), is removed. n_shared counts the bytes in strings of two or three anchors that also stand elsewhere, however long the
+    whole copy is, and longest_shared the longest run of them: shorter copies than ``length`` show there, and lose nothing.
+    Texts are UTF-8 bytes, whole; null and empty ones lose nothing; of repeated rows, each is a document, so that texts of
+    ``length`` or more go whole; other columns are left behind. ``length`` must be 74 at least.
     """
-    if length < 2 * (W + K) + K:
-        raise ValueError("the strings are too short for the anchors")
     plain = _fingerprinted(docs)
-    rows = plain.join(_marks(plain, length), _same("doc_id", "fp", "_d", "_f"), "left").select("doc_id", "text", "marks")
-    out = rows.mapInArrow(_cut(length, False), "doc_id long, spans array<struct<start: long, end: long>>, kept_sha256 string, n_bytes long")
+    rows = plain.join(_marks(plain, length), _same("doc_id", "fp", "_d", "_f"), "left").select("doc_id", "text", "marks", "n_shared", "longest_shared")
+    out = rows.mapInArrow(_cut(length, False), "doc_id long, n_shared long, longest_shared long, spans array<struct<start: long, end: long>>, kept_sha256 string, n_bytes long")
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
-    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "spans", "kept_sha256")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "spans", "kept_sha256", zero("n_shared"), zero("longest_shared"))
 
 
 def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
@@ -252,12 +301,13 @@ def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
 
     A cut inside a character takes the character's other bytes too. Where there is a column n_chars, it follows. Texts that were empty or null before stay.
     """
-    whole = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")
+    whole = docs.select(row_of(docs).alias("_row"), "doc_id", "text")
     plain = _fingerprinted(docs)
     rows = _fingerprinted(whole, "_row").join(_marks(plain, length), _same("doc_id", "fp", "_d", "_f"), "left").select("_row", "text", "marks")
-    cut = rows.where("marks is not null").mapInArrow(_cut(length, True), f"_row {docs.schema.simpleString()}, spans array<struct<start: long, end: long>>, kept binary")
-    new = F.col("_row").withField("text", F.col("kept").cast("string"))
-    if "n_chars" in docs.columns:
-        new = new.withField("n_chars", F.length(F.col("kept").cast("string")).cast(docs.schema["n_chars"].dataType))
-    cut = cut.select(new.alias("_row")).where(F.length("_row.text") > 0)
+    spans = StructField("spans", ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())])))
+    cut = rows.where("marks is not null").mapInArrow(_cut(length, True), StructType([StructField("_row", docs.schema), spans, StructField("kept", BinaryType())]))
+    kept = F.col("kept").cast("string")
+    chars = {c: F.length(kept).cast(docs.schema[c].dataType) for c in docs.columns if c == "n_chars"}
+    new = {"text": kept, **chars}
+    cut = cut.select(F.struct(*[new[c].alias(c) if c in new else F.col("_row")[c].alias(c) for c in docs.columns]).alias("_row")).where(F.length("_row.text") > 0)
     return rows.where("marks is null").select("_row").unionByName(cut).select("_row.*")
