@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontaminate, neardup, packing, quality, repeats
-from tidemark.llm.common import read, written
+from tidemark.llm.common import read, release, tables_made, written
 from tidemark.llm.queries import tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -25,8 +25,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes in strings of 400 that also start elsewhere go, and with them documents of nothing else."""
-    return repeats.without_repeats(docs, 400)
+    """Bytes in strings of 240 (about 40 words) that also start elsewhere go, and with them documents of nothing else."""
+    return repeats.without_repeats(docs, 240)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,13 +50,16 @@ STAGES: list[tuple[str, Stage]] = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``; what a stage keeps is written, and read again by the next."""
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), []
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = written(docs, name)
+        if i + 1 == len(STAGES):
+            return stage(spark, docs, sf_dir)
+        with tables_made() as made:
+            docs = written(stage(spark, docs, sf_dir), name)
+        release(*before, *made[:-1])  # the last one made is what the stage keeps
+        before = [docs]
     return docs
 
 
-#: Learned cutoffs, tokenization and alignment are beyond SQL; the tests hold the pipeline against a brute-force version.
+#: Learned cutoffs, tokenization and alignment are beyond SQL.
 ORACLE_SQL = None
