@@ -411,11 +411,74 @@ def test_scores_beat_the_base_on_held_out_documents(spark):
     assert sum(out[i]["score"] for i in held) > sum(out[i]["base_score"] for i in held)
 
 
-def test_spelling_probabilities_sum_to_one():
+def test_tables_are_drawn_from_their_exact_conditional():
+    """Against the enumerated seatings, and against a sampler that takes one customer out and seats it again."""
+    rng = np.random.default_rng(2)
+    for n, others, p in ((2, 5, 0.3), (7, 0, 0.9), (12, 3, 1e-6), (25, 300, 0.4)):
+        ways = [1.0] + [0.0] * n  # of seating the customers so far at t tables
+        for m in range(n):
+            ways = [(ways[t - 1] if t else 0.0) + (m - t / 2) * ways[t] for t in range(n + 1)]
+        weight = np.array([0.0] + [ways[t] * math.prod(lm.STRENGTH + (others + j) / 2 for j in range(t)) * p**t for t in range(1, n + 1)])
+        drawn = lm.tables_drawn(np.full(100_000, n), np.full(100_000, others), np.full(100_000, p), rng.random(100_000))
+        assert np.abs(np.bincount(drawn, minlength=n + 1) / 100_000 - weight / weight.sum()).max() < 0.01
+    plain, tables, seen = random.Random(3), [1] * 6, []
+    for step in range(30_000):
+        k = plain.choices(range(len(tables)), tables)[0]
+        tables[k] -= 1
+        tables = [x for x in tables if x]
+        new = (lm.STRENGTH + (4 + len(tables)) / 2) * 0.2
+        k = plain.choices(range(len(tables) + 1), [*(x - 0.5 for x in tables), new])[0]
+        tables = [*tables, 1] if k == len(tables) else [x + (i == k) for i, x in enumerate(tables)]
+        seen.append(len(tables) if step > 500 else 0)
+    drawn = lm.tables_drawn(np.full(50_000, 6), np.full(50_000, 4), np.full(50_000, 0.2), rng.random(50_000))
+    assert drawn.mean() == pytest.approx(np.mean(seen[501:]), abs=0.15)
+    assert lm.tables_drawn(np.array([0, 1, 10**7]), np.array([0, 9, 3000]), np.array([0.5, 0.5, 0.03]), np.array([0.5, 0.5, 0.5]))[:2].tolist() == [0, 1]
+
+
+def test_probabilities_of_words_and_of_spelling_sum_to_one(spark):
     p = lm.Shared()
     p.data = {(32 << 8) | 97: 5, (32 << 8) | 98: 1}
-    p.sweep({(97 << 8) | 32: 4})
+    p.sweep({(97 << 8) | 32: 4}, 0)
     assert p.p1.reshape(256, 256).sum(axis=1) == pytest.approx(1.0)
+    rng = random.Random(7)
+    docs = spark.createDataFrame([(i, words(rng, 40)) for i in range(40)], "doc_id long, text string")
+    rows = lm._blocks(docs).mapInArrow(lm._gathered, f"block long, {lm._WORDS}").drop("block")
+    trained = lm.written(rows.orderBy("h").coalesce(1).mapInArrow(lm._merged, lm._WORDS).where(F.length("cls") > 0))
+    state, kept = lm.fit(trained)
+    sweeps = [k for k in range(lm.SWEEPS) if k >= lm.BURN_IN]
+    every = state.select(F.lit(0).cast("long").alias("block"), F.lit(bytes(range(lm.CONTEXTS))).alias("asked"), *state.columns)
+    sums = np.zeros(lm.CONTEXTS)
+    for r in every.mapInArrow(lm._valued(kept, sweeps), "block long, h long, c long, asked binary, v binary").collect():
+        sums += 10.0 ** np.frombuffer(bytes(r["v"]), "<f4")
+    assert sums + 10.0 ** lm.unknown(kept) == pytest.approx(1.0, abs=1e-3)
+
+
+def test_scores_depend_on_word_order_and_hold_in_all_cases(spark):
+    rng = random.Random(5)
+    pool = words(rng, 30).split()
+    held = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
+    trained = [i for i in range(4000) if i not in held][:200]
+    follows = {w: pool[(k * 7 + 3) % len(pool)] for k, w in enumerate(pool)}
+    texts = {}
+    for i in trained:
+        w = [rng.choice(pool)]
+        while len(w) < 30:
+            w.append(follows[w[-1]])
+        texts[i] = " ".join(w)
+    chained = texts[trained[0]].split()
+    shuffled = chained[:]
+    rng.shuffle(shuffled)
+    texts |= {held[0]: " ".join(chained), held[1]: " ".join(shuffled), held[2]: " ".join([*chained[:5], "never-seen", *chained[5:]]) + " x" * 20_000}
+    more = [(None, "a b"), (None, None), *[(trained[0], texts[trained[0]])] * 2]
+    docs = spark.createDataFrame([*texts.items(), *more], "doc_id long, text string").withColumns({"block": F.lit(1), "kind": F.lit("z"), "h": F.lit(None).cast("int")})
+    rows = lm.scores(docs).collect()
+    out = {r["doc_id"]: r for r in rows}
+    assert len(rows) == len(texts) + 4
+    assert len({round(r["score"], 4) for r in rows if r["doc_id"] == trained[0]}) == 1
+    assert out[held[0]]["score"] > out[held[1]]["score"] + 10 and out[held[0]]["base_score"] == pytest.approx(out[held[1]]["base_score"])
+    assert (out[held[2]]["n_tokens"], out[held[2]]["n_known"]) == (20_032, 31) and math.isfinite(out[held[2]]["score"])
+    assert sum(out[i]["score"] for i in trained) > sum(out[i]["base_score"] for i in trained)
+    assert lm.scores(docs.limit(0)).count() == 0
 
 
 def test_pipeline_stages_keep_columns(spark, corpus, tmp_path):
