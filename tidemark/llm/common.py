@@ -75,9 +75,9 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), *more)
 
 
-def row_of(docs: DataFrame) -> Column:
-    """All columns of ``docs`` as one struct, whatever they are called."""
-    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+def row_of(docs: DataFrame, *without: str) -> Column:
+    """All columns of ``docs`` but ``without`` as one struct, whatever they are called."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c not in without])
 
 
 def unused(name: str, *tables: DataFrame) -> str:

@@ -20,9 +20,8 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tidemark.llm.common import SPACE, release, row_of, texts, written
+from tidemark.llm.common import SPACE, release, texts, unused, written
 from tidemark.llm.links import BROADCAST_IDS
 
 SYMBOLS = b"#*$%&|<>"
@@ -213,9 +212,16 @@ def quality(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: floa
 
 
 def passing(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that ``quality`` keeps, each judged by its own text; texts are measured once."""
+    """The rows of ``docs``, with all their columns, that ``quality`` keeps, each judged by its own text and language.
+
+    Texts are measured once; of the rows that go, id, text's hash and stratum are taken out of ``docs``, by broadcast while they are few.
+    """
     stratum = F.coalesce(F.col("lang").cast("string"), F.lit(""))
-    whole = docs.select(row_of(docs).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), stratum.alias("stratum"))
-    kinds = StructType([StructField("_row", docs.schema), StructField("doc_id", LongType()), StructField("stratum", StringType()), *[StructField(m, LongType()) for m in METRICS]])
-    rows = written(whole.mapInArrow(measured, kinds), "quality")
-    return _judged(rows, cutoffs(rows, labels, alpha, delta)).where("kept").select("_row.*")
+    text = F.xxhash64(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    rows = texts(docs, stratum.alias("stratum"), text.alias("fp"))
+    rows = written(rows.mapInArrow(measured, f"doc_id long, stratum string, fp long, {_SCHEMA}"), "quality")
+    names = [unused(c, docs) for c in ("_gone", "_fp", "_stratum")]
+    gone = _judged(rows, cutoffs(rows, labels, alpha, delta)).where(~F.col("kept")).select("doc_id", "fp", "stratum").distinct().toDF(*names)
+    gone = written(gone, "rejected")
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col(names[0])) & (text == F.col(names[1])) & (stratum == F.col(names[2]))
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, on, "left_anti")

@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, StructField, StructType
 
 from tidemark.llm.common import release, row_of, salted_join, texts, written
 from tidemark.llm.links import BROADCAST_IDS
@@ -246,22 +246,29 @@ def spans_of(ranges: list[tuple[int, int]], length: int) -> list[tuple[int, int]
     return [(a, b) for a, b in out]
 
 
+#: Texts that are cut at once.
+SLICE = 500
+
+
 def _cut(length: int, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans, kept = [], []
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
+            spans, kept, sizes = [], [], []
             for t, marks in zip(batch.column("text").to_pylist(), batch.column("marks").to_pylist(), strict=True):
                 mine, at, parts = spans_of([(m["s"], m["e"]) for m in marks or ()], length), 0, []
                 for a, b in mine:
                     parts.append(t[at:a])
                     at = b
                 spans.append([{"start": a, "end": b} for a, b in mine])
+                sizes.append(len(t))
                 left = b"".join([*parts, t[at:]])
-                kept.append(left.decode("utf-8", "ignore").encode() if whole else left)
+                kept.append(left.decode("utf-8", "ignore").encode() if whole else hashlib.sha256(left).hexdigest())
             more = [c for c in batch.schema.names if c not in ("text", "marks")]
-            result = [pa.array(kept, pa.binary())] if whole else [pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array([len(t) for t in batch.column("text").to_pylist()], pa.int64())]
+            if whole:
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in more), pa.array(kept, pa.binary())], [*more, "kept"])
+                continue
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in more), pa.array(spans, kind), *result], [*more, "spans", *(["kept"] if whole else ["kept_sha256", "n_bytes"])])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in more), pa.array(spans, kind), pa.array(kept), pa.array(sizes, pa.int64())], [*more, "spans", "kept_sha256", "n_bytes"])
 
     return run
 
@@ -301,13 +308,12 @@ def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
 
     A cut inside a character takes the character's other bytes too. Where there is a column n_chars, it follows. Texts that were empty or null before stay.
     """
-    whole = docs.select(row_of(docs).alias("_row"), "doc_id", "text")
     plain = _fingerprinted(docs)
-    rows = _fingerprinted(whole, "_row").join(_marks(plain, length), _same("doc_id", "fp", "_d", "_f"), "left").select("_row", "text", "marks")
-    spans = StructField("spans", ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())])))
-    cut = rows.where("marks is not null").mapInArrow(_cut(length, True), StructType([StructField("_row", docs.schema), spans, StructField("kept", BinaryType())]))
-    kept = F.col("kept").cast("string")
-    chars = {c: F.length(kept).cast(docs.schema[c].dataType) for c in docs.columns if c == "n_chars"}
-    new = {"text": kept, **chars}
-    cut = cut.select(F.struct(*[new[c].alias(c) if c in new else F.col("_row")[c].alias(c) for c in docs.columns]).alias("_row")).where(F.length("_row.text") > 0)
-    return rows.where("marks is null").select("_row").unionByName(cut).select("_row.*")
+    others = docs.select(row_of(docs, "text").alias("_row"), F.col("text").isNull().alias("_null"), "doc_id", "text")
+    rows = _fingerprinted(others, "_row", "_null").join(_marks(plain, length), _same("doc_id", "fp", "_d", "_f"), "left").select("_row", "_null", "text", "marks")
+    kind = StructType([StructField("_row", others.schema["_row"].dataType), StructField("_null", BooleanType()), StructField("kept", BinaryType())])
+    cut = rows.where("marks is not null").mapInArrow(_cut(length, True), kind).where(F.length("kept") > 0).withColumn("_cut", F.lit(True))
+    out = rows.where("marks is null").select("_row", "_null", F.col("text").alias("kept"), F.lit(False).alias("_cut")).unionByName(cut)
+    kept = F.when(~F.col("_null"), F.col("kept").cast("string"))
+    n = {c: F.when(F.col("_cut"), F.length(kept).cast(docs.schema[c].dataType)).otherwise(F.col("_row")[c]) for c in docs.columns if c == "n_chars"}
+    return out.select(*[kept.alias(c) if c == "text" else n.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
