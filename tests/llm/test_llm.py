@@ -300,21 +300,73 @@ def test_sketches_estimate_similarity():
     assert (1 - 0.8**rows) ** bands <= 1e-4
 
 
-def test_paragraph_copies_equal_brute_force(spark, corpus):
-    texts, docs = corpus
-    sets, where = {}, {}
+def cut_places(w):
+    """Where a long line's pieces begin: at words that are the least of all REACH to either side."""
+    h = shingles.word_hashes(w).tolist()
+    key = [int(shingles.mix(np.array([(x + (h[i - 1] if i else 0) * int(paragraphs._GOLD)) % 2**64], dtype=np.uint64))[0]) for i, x in enumerate(h)]
+    near = range(1, paragraphs.REACH + 1)
+    return [i for i in range(len(w)) if i == 0 or all(key[i] < key[j] for d in near for j in (i - d, i + d) if 0 <= j < len(w))]
+
+
+def brute_paragraphs(texts):
+    """{(document, line)} and {(document, line, first word, words)} that go, and all copied words of each document."""
+    sets, where, pieces = {}, {}, collections.defaultdict(list)
     for d, t in enumerate(texts):
         for i, line in enumerate((t or "").split("\n")):
-            if len(line.split()) >= paragraphs.LEAST_WORDS:
+            if w := line.split():
                 where[len(sets)] = (d, i)
                 sets[len(sets)] = shingled(line)
-    gone = collections.defaultdict(set)
-    for k, c in components(sets, 80).items():
-        if k != c:
-            gone[where[k][0]].add(where[k][1])
+                low = line.encode().lower().split()
+                cuts = [*cut_places(low), len(w)] if len(w) > paragraphs.PIECES else []
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    if b - a > paragraphs.REACH:
+                        pieces[tuple(low[a:b])].append((d, i, a, b - a))
+    found = components(sets, 80)
+    n = collections.Counter(found.values())
+    gone = {where[k] for k, c in found.items() if k != c}
+    copied = {(d, i, None) for k, c in found.items() if n[c] > 1 for d, i in [where[k]]}
+    left = [[p for p in places if p[:2] not in gone] for places in pieces.values()]
+    cut = {p for places in left for p in places[1:]}
+    return gone, cut, copied | {p[:2] + (q,) for places in left if len(places) > 1 for p in places for q in range(p[2], p[2] + p[3])}
+
+
+def check_paragraphs(spark, texts, docs):
+    gone, cut, copied = brute_paragraphs(texts)
     for r in paragraphs.without_paragraph_copies(docs).collect():
-        assert {*r["removed"]} == gone[r["doc_id"]]
-        assert r["kept_text"] == "\n".join(x for i, x in enumerate((texts[r["doc_id"]] or "").split("\n")) if i not in gone[r["doc_id"]])
+        d, lines = r["doc_id"], (texts[r["doc_id"]] or "").split("\n")
+        assert {(d, i) for i in r["removed"]} == {g for g in gone if g[0] == d}
+        assert {(d, *p) for p in r["pieces_removed"]} == {p for p in cut if p[0] == d}
+        left, marks = [], []
+        for i, line in enumerate(lines):
+            w = line.split()
+            marks += [(d, i, None) in copied or (d, i, q) in copied for q in range(len(w))]
+            if (d, i) not in gone:
+                away = {q for p in cut if p[:2] == (d, i) for q in range(p[2], p[2] + p[3])}
+                left.append(" ".join(x for q, x in enumerate(w) if q not in away) if away else line)
+        assert [" ".join(x.split()) for x in r["kept_text"].split("\n")] == [" ".join(x.split()) for x in left] or (not left and r["kept_text"] == "")
+        assert r["n_words_copied"] == sum(marks)
+        assert r["longest_copied"] == max((len(x) for x in "".join("x" if m else " " for m in marks).split()), default=0)
+    return gone, cut
+
+
+def test_paragraph_copies_equal_brute_force(spark, corpus):
+    texts, docs = corpus
+    check_paragraphs(spark, texts, docs)
+    assert paragraphs.without_paragraph_copies(empty(spark)).count() == 0
+    twice = paragraphs.without_paragraph_copies(docs.limit(8).unionByName(docs.limit(8))).collect()
+    assert len(twice) == 16 and len({(r["doc_id"], r["kept_text"]) for r in twice}) == 8
+
+
+def test_passages_inside_lines_are_found_and_others_are_left(spark):
+    rng = random.Random(21)
+    passages = [words(rng, 55) for _ in range(6)]
+    texts = [f"{words(rng, rng.randint(30, 90))} {passages[k % 6].replace("th", "TH") if k % 5 == 0 else passages[k % 6]} {words(rng, rng.randint(30, 90))}" for k in range(30)]
+    texts += [words(rng, 150) for _ in range(20)] + [f"{words(rng, 20)}\n{passages[0]}\n{words(rng, 20)}"]
+    docs = docs_of(spark, texts)
+    gone, cut = check_paragraphs(spark, texts, docs)
+    assert {p[0] for p in cut} >= {*range(6, 30)} and not {p[0] for p in cut} & {*range(30, 50)}
+    out = {r["doc_id"]: r for r in paragraphs.without_paragraph_copies(docs).collect()}
+    assert all(out[d]["longest_copied"] >= 14 for d in range(30)) and not any(out[d]["n_words_copied"] for d in range(30, 50))
 
 
 def test_contaminated_documents_are_found_and_clean_ones_are_not(spark):
