@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -435,14 +436,60 @@ def test_toxicity_learns_from_training_rows_only(spark):
             t.insert(rng.randrange(len(t)), "zlurb")
         rows.append((i, " ".join(t)))
         labels.append((i, 1, int(bad)))
-    docs = spark.createDataFrame([*rows, (900, None), (901, "")], "doc_id long, text string")
-    out = {r["doc_id"]: r for r in toxicity.score(docs, toxicity.learn(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))).collect()}
+    docs = spark.createDataFrame([*rows, (900, None), (901, ""), (0, rows[0][1]), (None, "zlurb " * 30_000)], "doc_id long, text string").withColumns({"_toxic": F.lit(1), "_id": F.lit("x"), "held_out": F.lit(None).cast("int")})
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    found = toxicity.score(docs, toxicity.learn(docs, marks)).collect()
+    out = {r["doc_id"]: r for r in found}
+    assert len(found) == 404 and out[None]["predicted"] == 1 and not out[None]["held_out"]
     assert all(out[i]["predicted"] == t and out[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i, _, t in labels)
     assert out[900]["score"] == out[901]["score"] < 0.3
-    s = toxicity.Scorer({b"zlurb": 0.9})
-    plain, negated, reported, aimed = (s.score(x) for x in (b"a zlurb", b"not a zlurb", b"she said a zlurb", b"you zlurb"))
-    assert negated < plain <= aimed and reported < plain
-    assert toxicity.learn(docs.limit(0), spark.createDataFrame([], "doc_id long, quality int, toxic int")) == {}
+    assert toxicity.learn(docs.limit(0), marks.limit(0)).insults == {}
+    assert toxicity.learn(docs.limit(0), marks).insults == {}
+    assert toxicity.score(docs.limit(0), toxicity.Model({b"zlurb": 0.9})).count() == 0
+
+
+def test_the_grammar_turns_verdicts_of_words():
+    score = lambda model, t: toxicity.Scorer(model).score(t)[0]
+    model = toxicity.Model({b"zlurb": 0.9}, {b"smash": 0.8, b"crunc*": 0.7})
+    plain, negated, reported, aimed = (score(model, x) for x in (b"a zlurb", b"not a zlurb", b"she said a zlurb", b"you zlurb"))
+    assert negated < 0.3 < plain <= aimed and reported < 0.3
+    assert score(model, b"not one of them a zlurb") >= 0.3 and score(model, b"she said. a zlurb") >= 0.3  # out of reach, another clause
+    assert score(model, b"they smash") >= 0.3 > score(model, b"we smash stones. you") and score(model, b"YOU crunched") >= 0.3
+    assert score(toxicity.Model({b"zlurb": 0.9}, worth={"negated": 1.0}), b"not a zlurb") == pytest.approx(plain)
+    # Each path of the composed machine weighs what its arcs are worth, one by one.
+    factors = {"aimed": 1.1, "negated": 0.5, "reported": 0.4}
+    machine = toxicity.grammar(factors)
+    for clause in itertools.product(toxicity.SYMBOLS, repeat=4):
+        state = 0
+        for k, symbol in enumerate(clause):
+            state, out, factor = machine.step(state, symbol)
+            target, near, report = ("t" in clause[:k], "n" in clause[max(0, k - 2) : k], "r" in clause[:k])
+            if symbol == "h" and not target:
+                assert out == toxicity.OTHER
+            elif symbol in "ih":
+                assert (out, factor) == (symbol, pytest.approx((1.1 if target else 1) * (0.5 if near else 1) * (0.4 if report else 1)))
+
+
+def test_arcs_are_learned_from_clauses(spark):
+    """Where negated and reported insults are in clean documents, they stay under the limit; where they are in toxic ones, they don't. Threats need a target."""
+    rng = random.Random(14)
+    for negated_is_toxic in (0, 1):
+        rows, labels = [], []
+        for i in range(1200):
+            kind = i % 8
+            part = {0: "zlurb", 1: "not zlurb", 2: "she said zlurb", 3: "he mabs", 4: "we mabs"}.get(kind, "so it is")
+            rows.append((i, f"{words(rng, 20)}. x{i} {part} {words(rng, 3)}. {words(rng, 20)}"))
+            labels.append((i, 1, int(kind in (0, 3) or kind in (1, 2) and negated_is_toxic)))
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        model = toxicity.learn(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+        assert b"mabs" in model.threats and b"mabs" not in model.insults
+        if not negated_is_toxic:
+            continue
+        assert model.worth["negated"] > 0.8 and model.worth["reported"] > 0.8
+        got = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, model).collect()}
+        assert sum(got[i] != t for i, _, t in labels) == 0
+    low = toxicity.arcs(spark.createDataFrame([(f"{w} not zlurb".encode(), 0) for w in "abcdefghijklmnopqrst"] + [(f"{w} zlurb".encode(), 1) for w in "abcdefgh"], "text binary, _toxic int"), toxicity.Model({b"zlurb": 0.9}))
+    assert low["negated"] * 0.95 < 0.3 and low["reported"] == 0.25
 
 
 def test_scores_beat_the_base_on_held_out_documents(spark):
