@@ -9,6 +9,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -541,15 +542,25 @@ def test_probabilities_of_words_and_of_spelling_sum_to_one(spark):
     assert p.p1.reshape(256, 256).sum(axis=1) == pytest.approx(1.0)
     rng = random.Random(7)
     docs = spark.createDataFrame([(i, words(rng, 40)) for i in range(40)], "doc_id long, text string")
-    rows = lm._blocks(docs).mapInArrow(lm._gathered, f"block long, {lm._WORDS}").drop("block")
-    trained = lm.written(rows.orderBy("h").coalesce(1).mapInArrow(lm._merged, lm._WORDS).where(F.length("cls") > 0))
-    state, kept = lm.fit(trained)
-    sweeps = [k for k in range(lm.SWEEPS) if k >= lm.BURN_IN]
-    every = state.select(F.lit(0).cast("long").alias("block"), F.lit(bytes(range(lm.CONTEXTS))).alias("asked"), *state.columns)
-    sums = np.zeros(lm.CONTEXTS)
-    for r in every.mapInArrow(lm._valued(kept, sweeps), "block long, h long, c long, asked binary, v binary").collect():
-        sums += 10.0 ** np.frombuffer(bytes(r["v"]), "<f4")
-    assert sums + 10.0 ** lm.unknown(kept) == pytest.approx(1.0, abs=1e-3)
+    asked = lm.written(lm._blocks(docs).mapInArrow(lm._gathered, f"block long, {lm._PACKED}"))
+    trained = lm.written(asked.drop("block").orderBy("bucket").coalesce(1).mapInArrow(lm._merged, lm._PACKED).where(F.length("h") > 0))
+    closed, kept = lm.fit(trained)
+    sums, n = 10.0 ** lm.unknown(kept, lm.unseen_of(closed, len(kept))), 0
+
+    def every(bs):  # all contexts of all words are asked for
+        for b in bs:
+            many = lm._flat(b.column("h"))[1] // 8
+            pairs = lm._bytes_of(np.full(many.sum(), lm.CONTEXTS, "<u2"), many)
+            yield pa.RecordBatch.from_arrays([b.column("bucket"), b.column("h"), pairs, pa.array([bytes(range(256)) * m for m in many.tolist()], pa.binary())], ["bucket", "h", "pairs", "cls"])
+
+    none = F.lit(None).cast("binary")
+    asks = closed.mapInArrow(every, "bucket int, h binary, pairs binary, cls binary").select("bucket", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("block"), "h", none.alias("c"), "pairs", "cls", none.alias("acc"), none.alias("w"))
+    own = closed.select("bucket", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("block"), "h", "c", "pairs", "cls", "acc", "w")
+    both = own.unionByName(asks).orderBy("bucket", "kind").coalesce(1)
+    for r in both.mapInArrow(lm._answered(len(kept), kept), "block long, h binary, c binary, pairs binary, cls binary, v binary").collect():
+        v = np.frombuffer(bytes(r["v"]), "<f4").reshape(-1, lm.CONTEXTS).astype(float)
+        sums, n = sums + (10.0**v).sum(axis=0), n + len(v)
+    assert n > 100 and sums == pytest.approx(1.0, abs=1e-3)
 
 
 def test_scores_depend_on_word_order_and_hold_in_all_cases(spark):
