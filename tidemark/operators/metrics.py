@@ -23,6 +23,17 @@ def lost() -> Column:
     return F.col("result") == "loss"
 
 
+def elapsed_years() -> Column:
+    """The years between a group's first and last exit."""
+    return (F.unix_micros(F.max("exit_ts")) - F.unix_micros(F.min("exit_ts"))) / (365.25 * 86400e6)
+
+
+def risk_fraction(trades: DataFrame, initial: float, *by: str) -> DataFrame:
+    """The share of the initial balance that decided trades risk on average: one half at most, one hundredth where none is known."""
+    mean = F.avg(F.when(decided() & (F.col("risk_amount") > 0), F.col("risk_amount"))) / initial
+    return trades.groupBy(*by).agg(F.when(mean > 0, F.least(mean, F.lit(0.5))).otherwise(0.01).alias("risk_fraction"))
+
+
 def counts(trades: DataFrame, *by: str) -> DataFrame:
     """How many of each result; filled and decided; the share of wins among decided and among filled."""
     n = {r: F.count_if(F.col("result") == r) for r in ("win", "loss", "breakeven", "cancelled")}
@@ -115,8 +126,9 @@ def ordered_balances(trades: DataFrame, initial: float = 100.0, fraction: float
     """The balance at a fixed risk after each trade, from a start point (seq 0) at the first exit on."""
     order = Window.partitionBy(*by).orderBy("exit_ts", "candidate_id")
     rows = trades.select(*by, F.col("exit_ts").alias("ts"), F.row_number().over(order).cast("long").alias("seq"), (initial + F.sum(F.col("r") * initial * fraction).over(order)).alias("balance"))
-    start = trades.groupBy(*by).agg(F.min("exit_ts").alias("ts")).select(*by, "ts", F.lit(0).cast("long").alias("seq"), F.lit(initial).alias("balance"))
-    return rows.unionByName(start)
+    start = F.struct("ts", F.lit(0).cast("long").alias("seq"), F.lit(initial).alias("balance"))
+    own = F.struct("ts", "seq", "balance")
+    return rows.select(*by, F.explode(F.when(F.col("seq") == 1, F.array(start, own)).otherwise(F.array(own))).alias("_p")).select(*by, "_p.*")
 
 
 def drawdowns(balances: DataFrame, *by: str) -> DataFrame:
@@ -124,15 +136,13 @@ def drawdowns(balances: DataFrame, *by: str) -> DataFrame:
     order = Window.partitionBy(*by).orderBy("ts", "seq")
     peak = F.max("balance").over(order.rowsBetween(Window.unboundedPreceding, -1))
     rows = balances.withColumn("_top", F.coalesce(F.col("balance") >= peak, F.lit(True)))
-    rows = rows.withColumns({"_episode": F.sum(F.col("_top").cast("int")).over(order), "_i": F.row_number().over(order)})
+    rows = rows.withColumns({"_episode": F.sum(F.col("_top").cast("int")).over(order), "_i": F.row_number().over(order), "_last": F.lead("ts").over(order).isNull()})
     at = F.struct("balance", "_i")
-    found = rows.groupBy(*by, "_episode").agg(F.max(F.when(F.col("_top"), F.col("balance"))).alias("peak"), F.min(at).alias("_low"), F.min("_i").alias("_from"), F.max("_i").alias("_to"), F.count(F.lit(1)).alias("_n"))
-    ends = rows.groupBy(*by).agg(F.max("_i").alias("_end"))
-    found = found.where("_n > 1").join(ends, list(by))
-    closed = F.col("_to") < F.col("_end")
+    found = rows.groupBy(*by, "_episode").agg(F.max(F.when(F.col("_top"), F.col("balance"))).alias("peak"), F.min(at).alias("_low"), F.min("_i").alias("_from"), F.max("_i").alias("_to"), F.count(F.lit(1)).alias("_n"), F.max("_last").alias("_open"))
+    found = found.where("_n > 1")
     return found.select(
         *by, F.col("_from").cast("long").alias("start"), "peak", F.col("_low.balance").alias("trough"), (F.col("peak") - F.col("_low.balance")).alias("depth"),
-        F.try_divide((F.col("peak") - F.col("_low.balance")) * 100, "peak").alias("depth_pct"), (F.col("_low._i") - F.col("_from")).cast("long").alias("duration"), F.when(closed, F.col("_to") + 1 - F.col("_low._i")).cast("long").alias("recovery"),
+        F.try_divide((F.col("peak") - F.col("_low.balance")) * 100, "peak").alias("depth_pct"), (F.col("_low._i") - F.col("_from")).cast("long").alias("duration"), F.when(~F.col("_open"), F.col("_to") + 1 - F.col("_low._i")).cast("long").alias("recovery"),
     )
 
 

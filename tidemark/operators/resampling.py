@@ -1,7 +1,7 @@
 """Bootstrap, shuffles, splits and verdicts over decided trades.
 
-Draws are arithmetic on (simulation, position), so they are the same on any cluster and need no state; simulations are rows, joined to
-the trades by number.
+Draws are hashes of (seed, simulation, position), so they are independent, the same on any cluster, and need no state; simulations are
+rows, joined to the trades by number.
 """
 
 from __future__ import annotations
@@ -9,41 +9,63 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.metrics import decided
+from tidemark.operators.metrics import decided, elapsed_years
+
+#: Log balances stay within this, as exp() does.
+LOG_RANGE = 709.0
 
 
 def numbered(trades: DataFrame) -> DataFrame:
-    """The decided trades, numbered from 0 by exit, with their count. One book's trades in one order: a book fits a task."""
-    rows = trades.where(decided() & F.col("r").isNotNull() & F.col("exit_ts").isNotNull()).withColumn("_book", F.lit(0))
-    order = Window.partitionBy("_book").orderBy("exit_ts", "candidate_id")
-    return rows.withColumns({"i": (F.row_number().over(order) - 1).cast("long"), "n": F.count(F.lit(1)).over(Window.partitionBy("_book"))}).drop("_book")
+    """The decided trades, numbered from 0 by exit, with their count: days are numbered apart, and each day's trades within it."""
+    rows = trades.where(decided() & F.col("r").isNotNull() & F.col("exit_ts").isNotNull()).withColumn("_day", F.date_trunc("day", "exit_ts"))
+    days = rows.groupBy("_day").agg(F.count(F.lit(1)).alias("_of_day"))  # a row a day
+    earlier = days.select(F.col("_day").alias("_d"), F.col("_of_day").alias("_m"))
+    days = days.join(F.broadcast(earlier), F.col("_d") < F.col("_day"), "left").groupBy("_day").agg(F.coalesce(F.sum("_m"), F.lit(0)).alias("_first"))
+    total = earlier.agg(F.coalesce(F.sum("_m"), F.lit(0)).alias("n"))
+    inside = F.row_number().over(Window.partitionBy("_day").orderBy("exit_ts", "candidate_id"))
+    rows = rows.withColumn("_i", inside).join(F.broadcast(days), "_day").crossJoin(F.broadcast(total))
+    return rows.withColumn("i", (F.col("_first") + F.col("_i") - 1).cast("long")).drop("_day", "_first", "_i")
 
 
 def _draws(rows: DataFrame, sims: int) -> DataFrame:
+    """sim, n (the trades there are) and k, from 0 to n."""
     size = rows.agg(F.coalesce(F.max("n"), F.lit(0)).cast("long").alias("n"))
     each = rows.sparkSession.range(sims).withColumnRenamed("id", "sim").crossJoin(F.broadcast(size)).where("n > 0")
+    each = each.repartition(F.col("sim"))
     return each.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
 
 
+def drawn_index(seed: Column, n: Column) -> Column:
+    """A number below ``n`` for each seed, sim and k: 32 bits of their MD5."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", seed, "sim", "k").cast("binary")), 1, 8), 16, 10).cast("long") % n
+
+
 def simulated(rows: DataFrame, sims: int = 1000, fraction: float = 0.01, seed: int = 42) -> DataFrame:
     """Draws with replacement: sim, k, r and the log of the growth so far. ``rows``: from ``numbered``."""
-    sim, k = F.col("sim"), F.col("k")
-    first = (sim * 1103515245 + k * 12345 + seed) % 2147483648
-    j = ((first * 48271 + k * 69621) % 2147483647) % F.col("n")
-    drawn = _draws(rows, sims).withColumn("j", j).join(rows.select(F.col("i").alias("j"), "r"), "j")
+    drawn = _draws(rows, sims).withColumn("j", drawn_index(F.lit(seed), F.col("n"))).join(rows.select(F.col("i").alias("j"), "r"), "j")
     return _grown(drawn, fraction)
 
 
 def shuffled(rows: DataFrame, sims: int = 1000, fraction: float = 0.01, seed: int = 42) -> DataFrame:
     """Each simulation has all trades, in an order of its own."""
     each = _draws(rows, sims).join(rows.select(F.col("i").alias("k"), "r"), "k")
-    order = Window.partitionBy("sim").orderBy(F.xxhash64(F.lit(seed), "sim", "k"), "k")
+    order = Window.partitionBy("sim").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "sim", "k").cast("binary")), "k")
     return _grown(each.withColumn("k", F.row_number().over(order).cast("long")), fraction)
 
 
+def log_growth(r: Column, fraction: float | Column) -> Column:
+    """The log of a trade's growth; ruin is minus infinity."""
+    growth = 1 + fraction * r
+    return F.when(growth <= 0, F.lit(float("-inf"))).otherwise(F.log(F.when(growth > 0, growth)))
+
+
+def _held(lg: Column) -> Column:
+    return F.greatest(F.lit(-LOG_RANGE), F.least(F.lit(LOG_RANGE), lg))
+
+
 def _grown(drawn: DataFrame, fraction: float) -> DataFrame:
-    log = F.log(F.greatest(F.lit(1e-300), 1 + fraction * F.col("r")))  # ruin: as good as nothing is left
-    return drawn.select("sim", "k", "r", F.sum(log).over(Window.partitionBy("sim").orderBy("k")).alias("lg"))
+    log = log_growth(F.col("r"), fraction)
+    return drawn.select("sim", "k", "r", _held(F.sum(log).over(Window.partitionBy("sim").orderBy("k"))).alias("lg"))
 
 
 def outcomes(sims: DataFrame) -> DataFrame:
@@ -62,20 +84,26 @@ def bands(sims: DataFrame) -> DataFrame:
     return q.select("measure", *[F.col("_q")[i].alias(a) for i, a in enumerate(p)])
 
 
-def negative_share(rows: DataFrame, years: tuple[int, ...], per_year: float, sims: int = 1000, fraction: float = 0.01) -> DataFrame:
-    """The share of simulations that end under the start after so many years' trades."""
-    out = None
-    for y in years:
-        n = max(1, round(y * per_year))
-        part = simulated(rows.withColumn("n", F.col("n")), sims, fraction, 42 + y).where(F.col("k") < n).groupBy("sim").agg(F.max_by("lg", "k").alias("lg")).agg(F.lit(y).alias("years"), F.avg((F.col("lg") < 0).cast("double")).alias("p_negative"))
-        out = part if out is None else out.unionByName(part)
-    return out
+def negative_share(trades: DataFrame, years: tuple[int, ...], sims: int = 1000, fraction: float = 0.01, seed: int = 42) -> DataFrame:
+    """The share of simulations that end under the start after so many years: as many trades are drawn as fall into them at the rate of the history.
+
+    A shorter horizon reads the first draws of a longer one.
+    """
+    rows = numbered(trades)
+    long = lambda y: F.greatest(F.lit(1), F.round(y * F.col("rate"))).cast("long")
+    size = rows.agg(F.coalesce(F.max("n"), F.lit(0)).cast("long").alias("n")).crossJoin(trades.agg(elapsed_years().alias("_years")))
+    size = size.select("n", F.try_divide("n", "_years").alias("rate"))
+    each = rows.sparkSession.range(sims).withColumnRenamed("id", "sim").crossJoin(F.broadcast(size)).where("n > 0 and rate is not null").repartition(F.col("sim"))
+    each = each.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), long(max(years)) - 1))).withColumn("j", drawn_index(F.lit(seed), F.col("n")))
+    drawn = each.join(F.broadcast(rows.select(F.col("i").alias("j"), "r")), "j").withColumn("_lg", log_growth(F.col("r"), fraction))
+    ends = drawn.groupBy("sim").agg(*[F.sum(F.when(F.col("k") < long(y), F.col("_lg"))).alias(f"y{y}") for y in years])
+    return ends.select(F.explode(F.array(*[F.struct(F.lit(y).alias("years"), F.col(f"y{y}").alias("lg")) for y in years])).alias("x")).groupBy("x.years").agg(F.avg((F.col("x.lg") < 0).cast("double")).alias("p_negative"))
 
 
 def sensitivity(rows: DataFrame, factors: tuple[float, ...], sims: int = 1000, fraction: float = 0.01) -> DataFrame:
     """The bootstrap at multiples of the risked fraction: median return and how often it is negative."""
     drawn = simulated(rows, sims, fraction).withColumn("factor", F.explode(F.array(*[F.lit(float(f)) for f in factors])))
-    ends = drawn.groupBy("factor", "sim").agg(F.sum(F.log(F.greatest(F.lit(1e-300), 1 + fraction * F.col("factor") * F.col("r")))).alias("lg"))
+    ends = drawn.groupBy("factor", "sim").agg(_held(F.sum(log_growth(F.col("r"), fraction * F.col("factor")))).alias("lg"))
     return ends.groupBy("factor").agg(F.percentile(F.exp("lg") - 1, F.lit(0.5)).alias("median_return"), F.avg((F.col("lg") < 0).cast("double")).alias("p_negative"))
 
 

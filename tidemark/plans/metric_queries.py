@@ -222,26 +222,33 @@ def study_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 sql.define("dec", "SELECT *, row_number() OVER (ORDER BY exit_ts, candidate_id) - 1 AS i, count(*) OVER () AS n FROM trades WHERE result IN ('win', 'loss')", "trades")
-_DRAW = "((((sim * 1103515245 + k * 12345 + 42) % 2147483648) * 48271 + k * 69621) % 2147483647) % n"
-sql.define("sims", f"SELECT sim, k, r, sum(ln(greatest(1e-300, 1 + 0.01 * r))) OVER w AS lg FROM (SELECT s.sim, q.k, {_DRAW} AS j FROM range(200) s(sim), range((SELECT max(n) FROM dec)) q(k), (SELECT max(n) AS n FROM dec)) JOIN dec ON i = j WINDOW w AS (PARTITION BY sim ORDER BY k)", "dec")
+_DRAW = "('0x' || substr(md5('42:' || sim || ':' || k), 1, 8))::BIGINT % n"
+_LOG = "CASE WHEN 1 + {f} * r <= 0 THEN '-inf'::DOUBLE ELSE ln(1 + {f} * r) END"
+_HELD = "greatest(-709.0, least(709.0, {x}))"
+SIMS = 1000
+sql.define("sims", f"SELECT sim, k, r, {_HELD.format(x=f'sum({_LOG.format(f=0.01)}) OVER w')} AS lg FROM (SELECT s.sim, q.k, {_DRAW} AS j FROM range({SIMS}) s(sim), range((SELECT max(n) FROM dec)) q(k), (SELECT max(n) AS n FROM dec)) JOIN dec ON i = j WINDOW w AS (PARTITION BY sim ORDER BY k)", "dec")
 sql.define("ends", "SELECT sim, arg_max(lg, k) AS lg, avg(r) AS expectancy, max(1 - exp(lg - peak)) AS max_dd FROM (SELECT *, greatest(0, max(lg) OVER (PARTITION BY sim ORDER BY k)) AS peak FROM sims) GROUP BY sim", "sims")
 _BANDS = {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
 
 
 @register("bootstrap_ci", sql.query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{m}' AS measure, " + ", ".join(f"round(quantile_cont({e}, {p}), 6) AS {a}" for a, p in _BANDS.items()) + " FROM ends" for m, e in (("total_return", "exp(lg) - 1"), ("max_drawdown", "max_dd"), ("expectancy_r", "expectancy"))) + ")", "ends"))
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(res.bands(res.simulated(res.numbered(trades(spark, d)), sims=200)), "measure", **_same(*_BANDS))
+    return rounded(res.bands(res.simulated(res.numbered(trades(spark, d)), sims=SIMS)), "measure", **_same(*_BANDS))
 
 
-@register("shuffle_dd")
+sql.define("shuf", f"SELECT sim, k, r, {_HELD.format(x=f'sum({_LOG.format(f=0.01)}) OVER w')} AS lg FROM (SELECT sim, row_number() OVER (PARTITION BY sim ORDER BY md5('42:' || sim || ':' || i), i) AS k, r FROM range({SIMS}) s(sim), dec) WINDOW w AS (PARTITION BY sim ORDER BY k)", "dec")
+sql.define("shuf_ends", "SELECT sim, arg_max(lg, k) AS lg, avg(r) AS expectancy, max(1 - exp(lg - peak)) AS max_dd FROM (SELECT *, greatest(0, max(lg) OVER (PARTITION BY sim ORDER BY k)) AS peak FROM shuf) GROUP BY sim", "shuf")
+
+
+@register("shuffle_dd", sql.query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{m}' AS measure, " + ", ".join(f"round(quantile_cont({e}, {p}), 6) AS {a}" for a, p in _BANDS.items()) + " FROM shuf_ends" for m, e in (("total_return", "exp(lg) - 1"), ("max_drawdown", "max_dd"), ("expectancy_r", "expectancy"))) + ")", "shuf_ends"))
 def shuffle_dd(spark: SparkSession, d: str) -> DataFrame:
     """Drawdown bands over shuffled orders: the return is the same for each, which the tests check."""
-    return rounded(res.bands(res.shuffled(res.numbered(trades(spark, d)), sims=200)), "measure", **_same(*_BANDS))
+    return rounded(res.bands(res.shuffled(res.numbered(trades(spark, d)), sims=SIMS)), "measure", **_same(*_BANDS))
 
 
-@register("risk_sensitivity", sql.query("SELECT factor, round(quantile_cont(exp(lg) - 1, 0.5), 6) AS median_return, round(avg((lg < 0)::INT), 6) AS p_negative FROM (SELECT factor, sim, sum(ln(greatest(1e-300, 1 + 0.01 * factor * r))) AS lg FROM sims, (VALUES (0.5), (1.0), (2.0)) v(factor) GROUP BY factor, sim) GROUP BY factor", "sims"))
+@register("risk_sensitivity", sql.query(f"SELECT factor, round(quantile_cont(exp(lg) - 1, 0.5), 6) AS median_return, round(avg((lg < 0)::INT), 6) AS p_negative FROM (SELECT factor, sim, {_HELD.format(x='sum(' + _LOG.format(f='0.01 * factor') + ')')} AS lg FROM sims, (VALUES (0.5), (1.0), (2.0)) v(factor) GROUP BY factor, sim) GROUP BY factor", "sims"))
 def risk_sensitivity(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(res.sensitivity(res.numbered(trades(spark, d)), (0.5, 1.0, 2.0), sims=200), "factor", median_return="median_return", p_negative="p_negative")
+    return rounded(res.sensitivity(res.numbered(trades(spark, d)), (0.5, 1.0, 2.0), sims=SIMS), "factor", median_return="median_return", p_negative="p_negative")
 
 
 @register("oos_split", sql.query("SELECT CASE WHEN i < greatest(1, floor(0.7 * n)) THEN 'train' ELSE 'test' END AS role, count(*) AS n, round(avg(r), 6) AS expectancy, round(avg((result = 'win')::INT), 6) AS win_rate FROM dec GROUP BY 1", "dec"))

@@ -158,10 +158,19 @@ def run_document(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rev.read_document(rev.run_document(done, met.ordered_balances(done))), "symbol", "candidate_id", "exit_reason", r="r")
 
 
-@register("negative_horizons")
+@register(
+    "negative_horizons",
+    sql.query(
+        """, w AS (SELECT max(n) AS n, max(n) / ((epoch_us(max(exit_ts)) - epoch_us(min(exit_ts))) / (365.25 * 86400e6)) AS rate FROM dec),
+        g AS (SELECT sim, k, n, rate, ('0x' || substr(md5('42:' || sim || ':' || k), 1, 8))::BIGINT % n AS j FROM range(1000) s(sim), w, range(greatest(1, round(5 * (SELECT rate FROM w)))::BIGINT) q(k)),
+        e AS (SELECT sim, years, sum(CASE WHEN 1 + 0.01 * r <= 0 THEN '-inf'::DOUBLE ELSE ln(1 + 0.01 * r) END) AS lg FROM g JOIN dec ON i = j, (VALUES (1), (3), (5)) v(years) WHERE k < greatest(1, round(years * rate)) GROUP BY ALL)
+        SELECT years, round(avg((lg < 0)::INT), 6) AS p_negative FROM e GROUP BY years""",
+        "dec",
+    ),
+)
 def negative_horizons(spark: SparkSession, d: str) -> DataFrame:
-    """How often one, three and five years of trades end under the start."""
-    return rounded(res.negative_share(res.numbered(trades(spark, d)), (1, 3, 5), 20.0, 100), "years", p_negative="p_negative")
+    """How often one, three and five years of trades, drawn at the history's rate, end under the start."""
+    return rounded(res.negative_share(trades(spark, d), (1, 3, 5)), "years", p_negative="p_negative")
 
 
 @register("price_texts", sql.query("SELECT candidate_id, CASE WHEN abs(entry) >= 100 THEN rtrim(rtrim(printf('%.2f', entry), '0'), '.') WHEN abs(entry) >= 1 THEN rtrim(rtrim(printf('%.4f', entry), '0'), '.') ELSE rtrim(rtrim(printf('%.6f', entry), '0'), '.') END AS price, printf('%.2f%%', r) AS pct, symbol || strftime(submit_ts, '_%Y-%m-%d_trade_') || direction || '_' || result || '_' || printf('%+.2f', r) AS name FROM trades", "trades"))
