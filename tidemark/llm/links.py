@@ -3,7 +3,8 @@
 Copies make large buckets, in which all pairs are out of the question. Each bucket's members are held against its hub, the
 member that shares buckets with most others, and confirmed links give components. Only where a bucket still holds several components
 can a link be missing; there, a prefix filter over the sets finds every further pair that can reach the threshold and whose ends
-are in different components. It orders elements by rarity, so what a copy alone has prunes it. No pair within a component is made.
+are in different components. It orders elements by rarity, so what a copy alone has prunes it. No pair within a component is made. Of those
+pairs, each set's likeliest is confirmed first, and then all whose ends are still in different components.
 """
 
 from __future__ import annotations
@@ -77,14 +78,16 @@ def _sized(percent: int) -> Column:
     return F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, sketches: HyperMinHash | None) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= ``percent`` * union, from their whole sets.
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, sketches: HyperMinHash | None, sized: bool = False) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= ``percent`` * union, from their whole sets. sized: their sizes are known to allow it.
 
     sets: id, n, elements (sorted 64-bit numbers, as bytes) and, with ``sketches``, sketch. A sketch's estimate that is lower
     than the threshold by over six standard deviations spares the comparison.
     """
     size = sets.select("id", "n")
-    near = pairs.join(size.select(F.col("id").alias("a"), F.col("n").alias("n_a")), "a").join(size.select(F.col("id").alias("b"), F.col("n").alias("n_b")), "b").where(_sized(percent)).select("a", "b")
+    near = pairs
+    if not sized:
+        near = pairs.join(size.select(F.col("id").alias("a"), F.col("n").alias("n_a")), "a").join(size.select(F.col("id").alias("b"), F.col("n").alias("n_b")), "b").where(_sized(percent)).select("a", "b")
     side = lambda k: sets.select(F.col("id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in sets.columns if c not in ("id", "n")])
     rows = near.join(side("a"), "a").join(side("b"), "b")
     t = percent / 100
@@ -126,7 +129,7 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def further_pairs(buckets: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame | None:
-    """Pairs (a, b) in different components of ``found`` that may link, or None where every bucket is in one component.
+    """Pairs (a, b) in different components of ``found`` that may link, with the most that they can share, or None where every bucket is in one component.
 
     Two sets that reach the threshold share one of their rarest elements, at places that leave enough to share, and each has few bits
     that the other lacks (a bit that only one set has is an element that only it has): bounds that no link can fail.
@@ -160,7 +163,16 @@ def further_pairs(buckets: DataFrame, sets: DataFrame, found: DataFrame, percent
     fits &= ((F.col("n") - lacking("", "_2")) * both >= need) & ((F.col("n_2") - lacking("_2", "")) * both >= need)
     pairs = mine.alias("s").join(other.alias("o"), (F.col("s.x") == F.col("o.x")) & fits)
     a, b = in_order(F.col("id"), F.col("id_2"))
-    return pairs.select(a.alias("a"), b.alias("b")).distinct()
+    most = F.least(F.col("n") - lacking("", "_2"), F.col("n_2") - lacking("_2", "")) / (F.col("n") + F.col("n_2"))
+    return pairs.select(a.alias("a"), b.alias("b"), most.alias("most")).distinct()
+
+
+def likeliest(pairs: DataFrame) -> DataFrame:
+    """Of the pairs (a, b, most), for each id the one that may share most."""
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))).alias("x"), "most")
+    best = ends.groupBy("x.id").agg(F.max(F.struct("most", "x.other")).alias("_b")).select("id", F.col("_b.other").alias("other"))
+    a, b = in_order(F.col("id"), F.col("other"))
+    return best.select(a.alias("a"), b.alias("b")).distinct()
 
 
 def linked(buckets: DataFrame, sets: DataFrame, percent: int, sketches: HyperMinHash | None = None) -> DataFrame:
@@ -173,8 +185,15 @@ def linked(buckets: DataFrame, sets: DataFrame, percent: int, sketches: HyperMin
     more = further_pairs(buckets, sets, found, percent)
     if more is None:
         return found
-    extra = written(confirmed(more, sets, percent, sketches), "links")
-    release(links)
-    if extra.isEmpty():
-        return found
-    return written(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(extra)), "components")
+    more = written(more, "pairs")
+    # The likeliest partner of each first: what is in one component then needs no further comparison.
+    for pairs in (likeliest(more), None):
+        if pairs is None:
+            of = lambda k: found.select(F.col("id").alias(f"_{k}"), F.col("component").alias(f"c_{k}"))  # noqa: B023, E731
+            known = more.join(of("a"), F.col("a") == F.col("_a"), "left").join(of("b"), F.col("b") == F.col("_b"), "left")
+            pairs = known.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+        extra = written(confirmed(pairs, sets, percent, sketches, True), "links")
+        if not extra.isEmpty():
+            found = written(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(extra)), "components")
+    release(links, more)
+    return found
