@@ -112,10 +112,16 @@ def levels(swings: DataFrame, tolerance: float = 0.5, min_touches: int = 2, with
     return found.select(*by[:-1], kind.alias("kind"), "level", "touches")
 
 
-def nearest_levels(found: DataFrame) -> DataFrame:
+def levels_in_view(frames: DataFrame, at: DataFrame, tolerance: float = 0.5, min_touches: int = 2) -> DataFrame:
+    """The levels of each frame (symbol, frame_idx and its visible ``swings``), from what is confirmed by then alone; ``at``: symbol, bar_idx, atr."""
+    rows = frames.select("symbol", "frame_idx", F.explode("swings").alias("s")).select("symbol", "frame_idx", F.col("s.bar_idx").alias("bar_idx"), F.col("s.type").alias("type"), F.col("s.price").alias("price"))
+    return levels(rows.join(at.select("symbol", "bar_idx", "atr"), ["symbol", "bar_idx"]), tolerance, min_touches, ["symbol", "frame_idx"])
+
+
+def nearest_levels(found: DataFrame, *by: str) -> DataFrame:
     """The highest support and the lowest resistance, whatever the price."""
     of = lambda kind: F.when(F.col("kind") == kind, F.col("level"))
-    return found.groupBy("symbol").agg(F.max(of("support")).alias("highest_support"), F.min(of("resistance")).alias("lowest_resistance"))
+    return found.groupBy(*(by or ("symbol",))).agg(F.max(of("support")).alias("highest_support"), F.min(of("resistance")).alias("lowest_resistance"))
 
 
 def _last_two(swings: Column, kind: str) -> tuple[Column, Column]:

@@ -43,9 +43,19 @@ def read_document(documents: DataFrame) -> DataFrame:
     return rows.select("symbol", F.explode("d.trades").alias("t")).select("symbol", "t.*")
 
 
-def causality(bars: DataFrame, facts: Callable[[DataFrame], DataFrame], until: str) -> DataFrame:
-    """n_changed: facts before ``until`` that differ when the bars from then on are left out; n_checks, 1."""
-    early = F.col("ts") < F.lit(until).cast("timestamp")
-    whole, cut = facts(bars).where(early), facts(bars.where(early))
-    changed = whole.exceptAll(cut).unionByName(cut.exceptAll(whole))
-    return changed.agg(F.count(F.lit(1)).alias("n_changed"), F.lit(1).cast("long").alias("n_checks"))
+def causality(bars: DataFrame, facts: dict[str, Callable[[DataFrame], DataFrame]], until: list[str]) -> DataFrame:
+    """For each kind of facts, how many of those before each of the times ``until`` differ when the bars from then on are left out.
+
+    facts: functions from bars to symbol, ts and any columns of values, which are compared as JSON.
+    """
+    def told(b: DataFrame) -> DataFrame:
+        rows = [f(b) for f in facts.values()]
+        return reduce(DataFrame.unionByName, [r.select(F.lit(k).alias("fact"), "symbol", "ts", F.to_json(F.struct(*[c for c in r.columns if c not in ("symbol", "ts")])).alias("value")) for k, r in zip(facts, rows, strict=True)])
+
+    times = F.array(*[F.lit(u).cast("timestamp") for u in until])
+    sides = [told(bars).withColumn("until", F.explode(times)).where(F.col("ts") < F.col("until")).withColumn("side", F.lit(1))]
+    for u in until:
+        end = F.lit(u).cast("timestamp")
+        sides.append(told(bars.where(F.col("ts") < end)).withColumns({"until": end, "side": F.lit(-1)}))
+    seen = reduce(DataFrame.unionByName, sides).groupBy("fact", "until", "symbol", "ts", "value").agg(F.sum("side").alias("left"))
+    return seen.groupBy("fact").agg(F.sum(F.abs("left")).alias("n_changed"))

@@ -367,10 +367,27 @@ def evidence(spark: SparkSession, d: str) -> DataFrame:
     return rev.evidence_summary(with_facts(hourly(spark, d)).withColumn("evidence", said), "strong")
 
 
-@register("causality_audit", "SELECT 0::BIGINT AS n_changed, 1::BIGINT AS n_checks")
-def causality_audit(spark: SparkSession, d: str) -> DataFrame:
-    """Facts of the first bars must not change when later bars are added."""
+def _facts_in_time() -> dict:
+    """Everything that a strategy reads at a bar, from hourly bars."""
+    from tidemark.operators import pivots as piv
+    from tidemark.plans import trade_queries as tq
     from tidemark.plans.bar_queries import with_facts
 
-    bars = hourly(spark, d)
-    return rev.causality(bars, lambda b: with_facts(b).select("symbol", "ts", F.round("ema_20", 9).alias("a"), F.round("atr_wilder", 9).alias("b"), "trend_direction"), "2024-01-05")
+    base = lambda b: tq.ind.with_atr_sma(tq.ind.indexed(b))
+    time_of = lambda rows, b: rows.join(base(b).select("symbol", "bar_idx", "ts"), ["symbol", "bar_idx"])
+    level = F.array_sort(F.collect_list(F.round("level", 9))).alias("levels")
+    return {
+        "trend": lambda b: with_facts(b).select("symbol", "ts", F.round("ema_20", 9).alias("a"), F.round("atr_wilder", 9).alias("b"), "trend_direction"),
+        "swings": lambda b: piv.visible_swings(piv.with_pivots(base(b)), 20).select("symbol", "ts", "swings"),
+        "levels": lambda b: time_of(tq.levels_of(base(b)).groupBy("symbol", F.col("frame_idx").alias("bar_idx")).agg(level), b).drop("bar_idx"),
+        "pullbacks": lambda b: tq.pullbacks_of(with_facts(b)).select("symbol", "ts", "direction", F.round("confidence", 9).alias("c"), "reject_reason"),
+        "breakouts": lambda b: tq.breakout_signals_of(with_facts(b)).select("symbol", "ts", "direction", F.round("confidence", 9).alias("c"), "reject_reason"),
+        "reversions": lambda b: tq.reversions_of(base(b)).select("symbol", "ts", "direction", "pivot_idx"),
+        "candidates": lambda b: tq.judged_of(base(b)).select("symbol", "ts", "direction", F.round("entry", 9).alias("e"), F.round("rr", 9).alias("rr"), "reject_reason"),
+    }
+
+
+@register("causality_audit", "SELECT unnest(['trend', 'swings', 'levels', 'pullbacks', 'breakouts', 'reversions', 'candidates']) AS fact, 0::BIGINT AS n_changed")
+def causality_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Facts, swings, levels, signals and candidates of the first bars must not change when later bars are added."""
+    return rev.causality(hourly(spark, d), _facts_in_time(), ["2024-01-09 13:00:00", "2024-01-20"])

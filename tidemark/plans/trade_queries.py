@@ -89,7 +89,10 @@ def _recursive(text: str) -> str:
 
 def swings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Hourly bars with facts, and their magnitude swings by the ATR at the confirmation bar."""
-    bars = base(spark, d)
+    return swings_of(base(spark, d))
+
+
+def swings_of(bars: DataFrame) -> tuple[DataFrame, DataFrame]:
     at = bars.select("symbol", F.col("bar_idx").alias("confirm_idx"), "atr")
     return bars, piv.magnitude_swings(piv.pivots(bars, 2, 2).join(at, ["symbol", "confirm_idx"]), TRAVEL)
 
@@ -143,6 +146,37 @@ def sr_nearest(spark: SparkSession, d: str) -> DataFrame:
     return rounded(piv.nearest_levels(sr(spark, d)[1]), "symbol", highest_support="highest_support", lowest_resistance="lowest_resistance")
 
 
+#: Bars back to which a frame sees swings for its levels.
+VIEW = 100
+sql.define(
+    "flv",
+    f"""SELECT symbol, frame_idx, CASE type WHEN 'L' THEN 'support' ELSE 'resistance' END AS kind, avg(price) AS level, count(*) AS touches FROM (
+    SELECT *, sum(CASE WHEN reach IS NULL OR price - 0.02 * atr > reach THEN 1 ELSE 0 END) OVER (PARTITION BY symbol, frame_idx, type ORDER BY price, bar_idx) AS island FROM (
+    SELECT b.bar_idx AS frame_idx, p.*, max(price + 0.02 * p.atr) OVER (PARTITION BY b.symbol, b.bar_idx, type ORDER BY price, p.bar_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
+    FROM a1h b JOIN pp p ON p.symbol = b.symbol AND p.confirm_idx <= b.bar_idx AND p.bar_idx > b.bar_idx - {VIEW}))
+    GROUP BY symbol, frame_idx, type, island HAVING count(*) >= 2""",
+    "a1h",
+    "pp",
+)
+
+
+def levels_of(bars: DataFrame, frames: DataFrame | None = None) -> DataFrame:
+    """Each bar's levels, as of the bar; of those in ``frames`` (symbol, frame_idx) alone, where they are given."""
+    seen = piv.visible_swings(piv.with_pivots(bars), VIEW).select("symbol", F.col("bar_idx").alias("frame_idx"), "swings")
+    return piv.levels_in_view(seen if frames is None else seen.join(frames.distinct(), ["symbol", "frame_idx"], "left_semi"), bars, TOLERANCE)
+
+
+def with_levels(rows: DataFrame, bars: DataFrame) -> DataFrame:
+    """Candidates (symbol, bar_idx) with ``levels``, those known at their bar."""
+    found = levels_of(bars, rows.select("symbol", F.col("bar_idx").alias("frame_idx"))).groupBy("symbol", F.col("frame_idx").alias("bar_idx")).agg(F.collect_list("level").alias("levels"))
+    return rows.join(found, ["symbol", "bar_idx"], "left").withColumn("levels", F.coalesce("levels", F.array().cast("array<double>")))
+
+
+@register("frame_levels", sql.query("SELECT symbol, frame_idx, kind, round(level, 6) AS level, touches FROM flv", "flv"))
+def frame_levels(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(levels_of(base(spark, d)), "symbol", "frame_idx", "kind", "touches", level="level")
+
+
 _LAST = "list({c} ORDER BY p.seq DESC) FILTER (p.type = '{t}')"
 sql.define(
     "pull",
@@ -174,13 +208,17 @@ def pullback_pattern(spark: SparkSession, d: str) -> DataFrame:
     ),
 )
 def pullback_signal(spark: SparkSession, d: str) -> DataFrame:
-    rows = piv.with_pullback(piv.visible_swings(piv.with_pivots(with_facts(hourly(spark, d))), 20)).withColumn("pullback_strength", F.lit(None).cast("double"))
-    return rounded(sig.pullback_signal(rows), "symbol", "ts", "direction", "reject_reason", confidence="confidence")
+    return rounded(pullbacks_of(with_facts(hourly(spark, d))), "symbol", "ts", "direction", "reject_reason", confidence="confidence")
+
+
+def pullbacks_of(facts: DataFrame) -> DataFrame:
+    rows = piv.with_pullback(piv.visible_swings(piv.with_pivots(facts), 20)).withColumn("pullback_strength", F.lit(None).cast("double"))
+    return sig.pullback_signal(rows)
 
 
 @register("pullback_strength")
 def pullback_strength(spark: SparkSession, d: str) -> DataFrame:
-    """The patterns' strengths and their confirmation bars' failures; the brute-force version is in the tests."""
+    """The patterns' strengths and their confirmation bars' failures."""
     rows = piv.with_pattern_strength(piv.with_pullback(piv.visible_swings(piv.with_pivots(base(spark, d)), 20), retest=True)).where("pullback_direction is not null")
     return rounded(rows.withColumn("failures", F.array_join(piv.confirmation_failures(F.col("pullback_direction")), "|")), "symbol", "ts", "failures", strength="pullback_strength")
 
@@ -196,8 +234,11 @@ sql.define(
 
 @register("breakout_signal", sql.query("SELECT symbol, ts, CASE WHEN why IS NULL THEN dir END AS direction, CASE WHEN why IS NULL THEN round(trend_strength, 6) END AS confidence, why AS reject_reason FROM brk", "brk"))
 def breakout_signal(spark: SparkSession, d: str) -> DataFrame:
-    rows = ind.with_breakout_age(ind.with_channel(with_facts(hourly(spark, d))))
-    return rounded(sig.breakout_signal(rows), "symbol", "ts", "direction", "reject_reason", confidence="confidence")
+    return rounded(breakout_signals_of(with_facts(hourly(spark, d))), "symbol", "ts", "direction", "reject_reason", confidence="confidence")
+
+
+def breakout_signals_of(facts: DataFrame) -> DataFrame:
+    return sig.breakout_signal(ind.with_breakout_age(ind.with_channel(facts)))
 
 
 sql.define("rev", "SELECT b.symbol, b.ts, b.bar_idx, b.close, s.bar_idx AS pivot_idx, CASE s.type WHEN 'H' THEN 'bearish' ELSE 'bullish' END AS direction, q.atr AS pivot_atr FROM swings s JOIN a1h b ON b.symbol = s.symbol AND b.bar_idx = s.confirm_idx JOIN a1h q ON q.symbol = s.symbol AND q.bar_idx = s.bar_idx WHERE s.accepted", "swings", "a1h")
@@ -205,7 +246,11 @@ sql.define("rev", "SELECT b.symbol, b.ts, b.bar_idx, b.close, s.bar_idx AS pivot
 
 def reversion(spark: SparkSession, d: str) -> DataFrame:
     """Reversion signals with the close, the bar's and the pivot's ATR; no short filter."""
-    bars, found = swings(spark, d)
+    return reversions_of(base(spark, d))
+
+
+def reversions_of(bars: DataFrame) -> DataFrame:
+    bars, found = swings_of(bars)
     s = sig.reversion_signal(bars.withColumn("position", F.lit(0.5)), found, None)
     at = bars.select("symbol", F.col("bar_idx").alias("pivot_idx"), F.col("atr").alias("pivot_atr"))
     return s.join(bars.select("symbol", "bar_idx", "close", "atr"), ["symbol", "bar_idx"]).join(at, ["symbol", "pivot_idx"])
@@ -231,7 +276,11 @@ HORIZON = 15
 
 def breakouts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """All closes through the channel, followed and faded in turn, each with an ATR bracket, and the bars."""
-    bars = ind.with_channel(base(spark, d))
+    return breakouts_of(base(spark, d))
+
+
+def breakouts_of(bars: DataFrame) -> tuple[DataFrame, DataFrame]:
+    bars = ind.with_channel(bars)
     rows = bars.where((F.col("bar_idx") >= 20) & (F.col("atr") > 0) & ((F.col("close") > F.col("channel_high")) | (F.col("close") < F.col("channel_low"))))
     rows = rows.withColumns({"direction": F.when((F.col("close") > F.col("channel_high")) == (F.col("bar_idx") % 2 == 0), "bullish").otherwise("bearish"), "candidate_id": F.concat_ws(":", "symbol", "bar_idx")})
     return cand.atr_bracket(rows, atr="atr").select("symbol", "ts", "bar_idx", "candidate_id", "direction", "entry", "stop", "target", "atr"), bars
@@ -356,21 +405,22 @@ def shared_ledger(spark: SparkSession, d: str) -> DataFrame:
 @register(
     "risk_candidates",
     sql.query(
-        f""", lv AS (SELECT symbol, list(level) AS levels FROM levels GROUP BY symbol),
-        c AS (SELECT *, coalesce(levels, []) AS lv, {_SIGN} AS s FROM cand LEFT JOIN lv USING (symbol)),
+        f""", lv AS (SELECT symbol, frame_idx, list(level) AS levels FROM flv GROUP BY ALL),
+        c AS (SELECT c.*, coalesce(levels, []) AS lv, {_SIGN} AS s FROM cand c LEFT JOIN lv ON lv.symbol = c.symbol AND lv.frame_idx = c.bar_idx),
         g AS (SELECT *, list_filter(list_transform(range(0, 21), lambda i: round(2 + 0.1 * i, 10)), lambda k: len(list_filter(lv, lambda x: (x > least(entry, entry + s * k * abs(entry - stop)) AND x < greatest(entry, entry + s * k * abs(entry - stop))) OR abs(x - (entry + s * k * abs(entry - stop))) < 0.05 * atr)) = 0)[1] AS rr,
         len(list_filter(lv, lambda x: x > least(entry, stop) AND x < greatest(entry, stop))) > 0 AS crosses FROM c)
         SELECT candidate_id, round(rr, 6) AS rr, crosses, CASE WHEN crosses THEN 'stop_crosses_level' WHEN rr IS NULL THEN 'no_clear_target' END AS reject_reason FROM g""",
         "cand",
-        "levels",
+        "flv",
     ),
 )
 def risk_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """The least clear reward of the breakouts' brackets, given the symbol's levels."""
-    rows, _ = breakouts(spark, d)
-    found = sr(spark, d)[1].groupBy("symbol").agg(F.collect_list("level").alias("levels"))
-    rows = rows.join(found, "symbol", "left").withColumn("levels", F.coalesce("levels", F.array().cast("array<double>")))
+    """The least clear reward of the breakouts' brackets, given the levels that are known at their bars."""
+    return rounded(judged_of(base(spark, d)), "candidate_id", "crosses", "reject_reason", rr="rr")
+
+
+def judged_of(bars: DataFrame) -> DataFrame:
+    rows = with_levels(breakouts_of(bars)[0], bars)
     lv, e, s = F.col("levels"), F.col("entry"), F.col("stop")
     rows = rows.withColumns({"rr": cand.reward(lv, e, s, F.col("atr"), 0.05), "crosses": F.exists(lv, lambda x: (x > F.least("entry", "stop")) & (x < F.greatest("entry", "stop")))})
-    why = F.when(F.col("crosses"), "stop_crosses_level").when(F.col("rr").isNull(), "no_clear_target")
-    return rounded(rows.withColumn("reject_reason", why), "candidate_id", "crosses", "reject_reason", rr="rr")
+    return rows.withColumn("reject_reason", F.when(F.col("crosses"), "stop_crosses_level").when(F.col("rr").isNull(), "no_clear_target"))

@@ -17,7 +17,7 @@ from tidemark.operators import review as rev
 from tidemark.plans import sql
 from tidemark.plans.bar_queries import daily, hourly, rounded
 from tidemark.plans.registry import register
-from tidemark.plans.trade_queries import TRAVEL, base, breakouts, sr, trades
+from tidemark.plans.trade_queries import TRAVEL, base, breakouts, breakouts_of, trades, with_levels
 from tidemark.sources import bars as src
 
 _B = "round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume"
@@ -101,26 +101,22 @@ def sized_candidates(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rows, "candidate_id", risk_amount="risk_amount", size="size", reward_amount="reward_amount")
 
 
-@register("level_relations", sql.query("""SELECT candidate_id, (SELECT count(*) FROM levels l WHERE l.symbol = c.symbol AND (level - entry) * s > 0 AND (level - entry) * s <= 4.0 * abs(entry - stop)) AS n_blocking,
-    round((SELECT arg_min(level, abs(level - target)) FROM levels l WHERE l.symbol = c.symbol AND (level - target) * s > 0 AND (level - target) * s <= 1.0 * atr), 6) AS anchor FROM (SELECT *, CASE direction WHEN 'bullish' THEN 1 ELSE -1 END AS s FROM cand) c""", "cand", "levels"))
+@register("level_relations", sql.query("""SELECT candidate_id, (SELECT count(*) FROM flv l WHERE l.symbol = c.symbol AND l.frame_idx = c.bar_idx AND (level - entry) * s > 0 AND (level - entry) * s <= 4.0 * abs(entry - stop)) AS n_blocking,
+    round((SELECT arg_min(level, abs(level - target)) FROM flv l WHERE l.symbol = c.symbol AND l.frame_idx = c.bar_idx AND (level - target) * s > 0 AND (level - target) * s <= 1.0 * atr), 6) AS anchor FROM (SELECT *, CASE direction WHEN 'bullish' THEN 1 ELSE -1 END AS s FROM cand) c""", "cand", "flv"))
 def level_relations(spark: SparkSession, d: str) -> DataFrame:
     """The levels within a candidate's reward grid, and the nearest one beyond its target."""
-    rows = _with_levels(spark, d)
+    bars = base(spark, d)
+    rows = with_levels(breakouts_of(bars)[0], bars)
     lv = F.col("levels")
     return rounded(rows.select("candidate_id", F.size(cand.blocking(lv, F.col("entry"), F.col("stop"))).cast("long").alias("n_blocking"), cand.anchor_level(lv, F.col("target"), F.col("direction"), F.col("atr")).alias("a")), "candidate_id", "n_blocking", anchor="a")
 
 
-def _with_levels(spark: SparkSession, d: str) -> DataFrame:
-    found = sr(spark, d)[1].groupBy("symbol").agg(F.collect_list("level").alias("levels"))
-    rows = breakouts(spark, d)[0].join(found, "symbol", "left")
-    return rows.withColumn("levels", F.coalesce("levels", F.array().cast("array<double>")))
-
-
 @register("swing_stop_candidates")
 def swing_stop_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates with swing stops, clear rewards and the widest-stop fallback; held against a loop in the tests."""
-    bars = piv.visible_swings(piv.with_pivots(base(spark, d)), 20).select("symbol", "bar_idx", "swings", "close")
-    rows = _with_levels(spark, d).drop("stop", "target", "entry").join(bars, ["symbol", "bar_idx"])
+    """Candidates with swing stops, clear rewards and the widest-stop fallback."""
+    bars = base(spark, d)
+    seen = piv.visible_swings(piv.with_pivots(bars), 20).select("symbol", "bar_idx", "swings", "close")
+    rows = with_levels(breakouts_of(bars)[0], bars).drop("stop", "target", "entry").join(seen, ["symbol", "bar_idx"])
     out = cand.risk_candidates(rows, buffer=0.05)
     return rounded(out, "candidate_id", "spaced", "reject_reason", entry="entry", stop="stop", target="target", rr="rr")
 
@@ -145,7 +141,7 @@ def weekly_context(spark: SparkSession, d: str) -> DataFrame:
 
 @register("study_legs")
 def study_legs(spark: SparkSession, d: str) -> DataFrame:
-    """The study's legs: by the ATR at the pivot, rejected pivots dropped and not folded; held against a loop in the tests."""
+    """The study's legs: by the ATR at the pivot, rejected pivots dropped and not folded."""
     bars = base(spark, d)
     rows = piv.pivots(bars, 2, 2).join(bars.select("symbol", "bar_idx", "atr"), ["symbol", "bar_idx"])
     return rounded(piv.magnitude_swings(rows, TRAVEL, fold_rejected=False).where("kept"), "symbol", "seq", "type", price="price")
