@@ -39,3 +39,4 @@ from tidemark.plans import trade_queries  # noqa: E402, F401
 from tidemark.plans import metric_queries  # noqa: E402, F401
 from tidemark.plans import stream_queries  # noqa: E402, F401
 from tidemark.plans import upkeep_queries  # noqa: E402, F401
+from tidemark.plans import report_queries  # noqa: E402, F401
