@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as txt
+from tidemark.functions import timeframes as tfs
 from tidemark.operators import dashboards as dash
+from tidemark.operators import documents as doc
 from tidemark.operators import metrics as met
+from tidemark.operators import signals as sig
+from tidemark.operators.joins import asof_backward
 from tidemark.plans import sql
-from tidemark.plans.bar_queries import rounded
+from tidemark.plans.bar_queries import hourly, rounded, with_facts
 from tidemark.plans.metric_queries import COSTS
 from tidemark.plans.registry import oracle_sql, queries, register
-from tidemark.plans.trade_queries import trades
+from tidemark.plans.stream_queries import folder
+from tidemark.plans.trade_queries import base, breakout_signals_of, pullbacks_of, reversions_of, trades
+from tidemark.sources import bars as src
 
 
 def _same(*names: str) -> dict[str, str]:
@@ -120,3 +127,182 @@ _DRAGS = ["return_drag_pct", "cagr_drag_pct", "expectancy_drag_r", "profit_facto
 )
 def gross_vs_net(spark: SparkSession, d: str) -> DataFrame:
     return rounded(dash.gross_vs_net(met.with_costs(trades(spark, d), **COSTS), "symbol"), "symbol", "sign_flips", **_same(*_DRAGS))
+
+
+@register(
+    "cost_schedules",
+    """SELECT key, error FROM (VALUES ('a', NULL), ('b', 'not_json'), ('c', 'unknown_key'), ('d', 'not_a_number'), ('e', 'negative'), ('f', 'rate_over_1')) v(k, error) JOIN (SELECT ['a', 'b', 'c', 'd', 'e', 'f'][n_nationkey % 6 + 1] AS k, n_name AS key FROM nation) USING (k)""",
+)
+def cost_schedules(spark: SparkSession, d: str) -> DataFrame:
+    """Schedules of nations, in turn sound and faulty."""
+    texts = ['{"flat": 0.5, "rate": "0.001"}', "{flat", '{"fee": 1}', '{"flat": "much"}', '{"slip_exit": -1}', '{"rate": 1.5}']
+    rows = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_name").alias("key"), F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col("n_nationkey") % 6 + 1).cast("int")).alias("schedule"))
+    return dash.cost_schedules(rows).select("key", "error")
+
+
+@register("break_even", sql.query("SELECT symbol, round(1 / (1 + avg(r) FILTER (result = 'win') / abs(avg(r) FILTER (result = 'loss'))), 6) AS win_rate FROM trades GROUP BY symbol", "trades"))
+def break_even(spark: SparkSession, d: str) -> DataFrame:
+    rows = met.r_summary(trades(spark, d), "symbol").withColumn("w", met.break_even_win_rate(F.col("payoff")))
+    return rounded(rows, "symbol", win_rate="w")
+
+
+sql.define(
+    "sigs",
+    """SELECT p.symbol, ts, 'pullback' AS source, 0 AS priority, CASE WHEN s < 0.6 THEN 'weak_pattern' WHEN trend_direction <> direction THEN 'against_trend' WHEN s * trend_strength <= 0 THEN 'zero_confidence' END AS why, direction
+      FROM (SELECT p.*, t.trend_direction, t.trend_strength, coalesce(abs(pattern[4] - pattern[3]) / nullif(abs(pattern[3] - pattern[2]), 0), 0) AS s FROM pull p JOIN t1h t USING (symbol, ts) WHERE direction IS NOT NULL) p
+    UNION ALL SELECT symbol, ts, 'breakout', 1, why, dir FROM brk""",
+    "pull",
+    "t1h",
+    "brk",
+)
+
+
+def _signals(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    facts = with_facts(hourly(spark, d))
+    return sig.evaluated([pullbacks_of(facts), breakout_signals_of(facts)])
+
+
+@register("evaluated_signals", sql.query("SELECT symbol, ts, source, CASE WHEN why IS NULL THEN direction END AS direction, why AS reject_reason FROM sigs", "sigs"))
+def evaluated_signals(spark: SparkSession, d: str) -> DataFrame:
+    """All strategies' signals, and the reasons of those that give none."""
+    kept, lost = _signals(spark, d)
+    return kept.unionByName(lost).select("symbol", "ts", "source", "direction", "reject_reason")
+
+
+@register("first_accepted", sql.query("SELECT symbol, ts, arg_min(source, priority) AS source, arg_min(direction, priority) AS direction FROM sigs WHERE why IS NULL GROUP BY symbol, ts", "sigs"))
+def first_accepted(spark: SparkSession, d: str) -> DataFrame:
+    return sig.first_accepted(_signals(spark, d)[0]).select("symbol", "ts", "source", "direction")
+
+
+def _said(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    kept, lost = _signals(spark, d)
+    what = lambda *c: F.concat_ws(" ", *c).alias("what")
+    return kept.select("symbol", "ts", what("source", "direction")), lost.select("symbol", "ts", what("source", "reject_reason"))
+
+
+@register("evidence_by_time", sql.query("SELECT symbol, ts, coalesce(string_agg(source || ' ' || direction, '; ' ORDER BY source) FILTER (why IS NULL), '') AS patterns, coalesce(string_agg(source || ' ' || why, '; ' ORDER BY source) FILTER (why IS NOT NULL), '') AS rejections FROM sigs GROUP BY symbol, ts", "sigs"))
+def evidence_by_time(spark: SparkSession, d: str) -> DataFrame:
+    return doc.by_time(*_said(spark, d)).select("symbol", "ts", *[F.array_join(c, "; ").alias(c) for c in ("patterns", "rejections")])
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    facts = with_facts(hourly(spark, d))
+    long = facts.unpivot(["symbol", "ts"], ["ema_20", "atr_wilder"], "name", "value")
+    done = trades(spark, d)
+    return doc.run_documents(facts, long, *_said(spark, d), done, met.ordered_balances(done))
+
+
+sql.define(
+    "sections",
+    """SELECT symbol, 'fact' AS section, ts, unnest(['ema_20', 'atr_wilder']) AS name, round(unnest([ema_20, atr_wilder]), 6) AS value FROM t1h
+    UNION ALL SELECT symbol, 'candle', ts, 'close', round(close, 6) FROM b1h UNION ALL SELECT symbol, 'trade', submit_ts, candidate_id, round(r, 6) FROM trades
+    UNION ALL SELECT symbol, CASE WHEN why IS NULL THEN 'pattern' ELSE 'rejection' END, ts, source || ' ' || coalesce(why, direction), NULL FROM sigs""",
+    "t1h",
+    "b1h",
+    "trades",
+    "sigs",
+)
+
+
+def _sections(opened: DataFrame) -> DataFrame:
+    row = lambda rows, kind, ts, name, value: rows.select("symbol", F.lit(kind).alias("section"), F.col(ts).alias("ts"), F.col(name).alias("name"), F.round(value, 6).alias("value"))
+    none = F.lit(None).cast("double")
+    parts = [row(doc.facts_of(opened), "fact", "ts", "name", F.col("value")), row(doc.candles_of(opened).withColumn("name", F.lit("close")), "candle", "ts", "name", F.col("close")), row(doc.trades_of(opened), "trade", "submit_ts", "candidate_id", F.col("r"))]
+    parts += [row(doc.texts_of(opened, f"{k}s_by_ts"), k, "ts", "what", none) for k in ("pattern", "rejection")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("run_document_sections", sql.query("SELECT * FROM sections", "sections"))
+def run_document_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Candles, facts, patterns, rejections and trades, written as a document for each instrument and week and read back; what is no document is skipped."""
+    documents = _documents(spark, d)
+    torn = documents.select("symbol", "part", F.expr("left(document, 40)").alias("document"))
+    return _sections(doc.opened(documents.unionByName(torn)))
+
+
+@register(
+    "portfolio_document",
+    sql.query(
+        """, w AS (SELECT symbol, date_trunc('week', ts)::TIMESTAMP AS part, dense_rank() OVER (PARTITION BY date_trunc('week', ts) ORDER BY symbol) - 1 AS position FROM b1h),
+        t AS (SELECT symbol, date_trunc('week', submit_ts)::TIMESTAMP AS part, candidate_id, row_number() OVER (PARTITION BY symbol, date_trunc('week', submit_ts) ORDER BY submit_ts, candidate_id) - 1 AS place FROM trades)
+        SELECT symbol, part, position, place, candidate_id FROM t JOIN (SELECT DISTINCT symbol, part, position FROM w) USING (symbol, part)""",
+        "trades",
+        "b1h",
+    ),
+)
+def portfolio_document(spark: SparkSession, d: str) -> DataFrame:
+    """All instruments in one document a week; the trades come back in the instruments' order."""
+    opened = doc.opened(doc.portfolio_documents(_documents(spark, d)))
+    return doc.trades_of(opened).select("symbol", "part", F.col("position").cast("long"), F.col("place").cast("long"), "candidate_id")
+
+
+@register("fact_context", sql.query("SELECT candidate_id, CASE WHEN minute(submit_ts) = 0 THEN 'atr_wilder,ema_20,ema_50' ELSE '' END AS names, round(atr_wilder, 6) AS first_value FROM trades JOIN t1h ON t1h.symbol = trades.symbol AND ts = submit_ts", "trades", "t1h"))
+def fact_context(spark: SparkSession, d: str) -> DataFrame:
+    facts = with_facts(hourly(spark, d)).unpivot(["symbol", "ts"], ["ema_20", "ema_50", "atr_wilder"], "name", "value")
+    rows = doc.fact_context(trades(spark, d).select("symbol", F.col("submit_ts").alias("ts"), "candidate_id"), facts)
+    return rounded(rows.withColumns({"names": F.array_join(F.transform("context", lambda x: x["name"]), ","), "v": F.try_element_at("context", F.lit(1))["value"]}), "candidate_id", "names", first_value="v")
+
+
+@register("latest_frame", sql.query("SELECT candidate_id, f.ts AS frame_ts, round(f.ema_20, 6) AS ema_20 FROM (SELECT symbol, candidate_id, exit_ts + INTERVAL 30 MINUTES AS at FROM trades) t ASOF LEFT JOIN t1h f ON f.symbol = t.symbol AND f.ts <= t.at", "trades", "t1h"))
+def latest_frame(spark: SparkSession, d: str) -> DataFrame:
+    """The latest frame at or before half an hour past each trade's exit."""
+    points = trades(spark, d).select("symbol", "candidate_id", (F.col("exit_ts") + F.expr("INTERVAL 30 MINUTES")).alias("at"))
+    rows = asof_backward(points, with_facts(hourly(spark, d)), ["symbol"], "at", "ts", ["ema_20"])
+    return rounded(rows.withColumnRenamed("ts_asof", "frame_ts"), "candidate_id", "frame_ts", ema_20="ema_20")
+
+
+@register("frame_lookup", sql.query("SELECT symbol, ts, 'slice' AS how, round(close, 6) AS close FROM a1h WHERE bar_idx >= 100 AND bar_idx < 120 UNION ALL SELECT symbol, ts, 'exact', round(close, 6) FROM a1h WHERE ts IN (TIMESTAMP '2024-01-09 12:00:00', TIMESTAMP '2024-01-20 00:00:00')", "a1h"))
+def frame_lookup(spark: SparkSession, d: str) -> DataFrame:
+    frames = base(spark, d)
+    rows = doc.frame_slice(frames, 100, 120).withColumn("how", F.lit("slice")).unionByName(doc.frame_at(frames, ["2024-01-09 12:00:00", "2024-01-20 00:00:00"]).withColumn("how", F.lit("exact")))
+    return rounded(rows, "symbol", "ts", "how", close="close")
+
+
+def _logged(spark: SparkSession, d: str, after: str | None) -> DataFrame:
+    """The trades' exits through a log of JSON lines, with torn lines among them."""
+    path = folder(spark)
+    exits = trades(spark, d).select("symbol", F.col("exit_ts").alias("ts"), F.lit("exit").alias("kind"), "candidate_id", "r")
+    doc.append_events(exits, path)
+    exits.select(F.lit('{"symbol": "x", "ts').alias("value")).write.mode("append").text(path)
+    return doc.tail_events(spark, path, "symbol string, ts timestamp, kind string, candidate_id string, r double", F.lit(after).cast("timestamp") if after else None)
+
+
+@register("event_log_tail", sql.query("SELECT symbol, exit_ts AS ts, candidate_id, round(r, 6) AS r FROM trades WHERE exit_ts > TIMESTAMP '2024-01-15'", "trades"))
+def event_log_tail(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_logged(spark, d, "2024-01-15"), "symbol", "ts", "candidate_id", r="r")
+
+
+@register("live_compare", sql.query("SELECT symbol, round(avg(r), 6) AS expectancy, max(exit_ts) AS last_ts, round(arg_max(r, (exit_ts, r)) - avg(r), 6) AS difference FROM trades GROUP BY symbol", "trades"))
+def live_compare(spark: SparkSession, d: str) -> DataFrame:
+    logged = _logged(spark, d, None).groupBy("symbol", "ts").agg(F.max("r").alias("r"))
+    rows = doc.live_compare(logged, trades(spark, d).groupBy("symbol").agg(F.avg("r").alias("expectancy")))
+    return rounded(rows, "symbol", "last_ts", expectancy="expectancy", difference="difference")
+
+
+@register("data_requirements", "SELECT DISTINCT event_type AS symbol, timeframe FROM events, (VALUES ('1h'), ('4h'), ('1d')) v(timeframe)")
+def data_requirements(spark: SparkSession, d: str) -> DataFrame:
+    symbols = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("symbol"))
+    return src.requirements(symbols, spark.createDataFrame([("1h",), ("4h",), ("1d",), ("4h",)], "timeframe string")).select("symbol", "timeframe")
+
+
+@register("zone_times", sql.query("SELECT symbol, ts, (ts AT TIME ZONE 'America/New_York') AT TIME ZONE 'UTC' AS utc FROM b4h", "b4h"))
+def zone_times(spark: SparkSession, d: str) -> DataFrame:
+    """Four-hour bars' times, read as New York's wall clock."""
+    rows = src.resample(hourly(spark, d), "4h", "1h")
+    return rows.select("symbol", "ts", tfs.to_utc(F.col("ts"), "America/New_York").alias("utc"))
+
+
+@register(
+    "note_texts",
+    """SELECT doc_id, CASE WHEN text IS NULL THEN 'none' WHEN trim(text) = '' THEN 'empty' ELSE 'text' END AS state, CASE WHEN doc_id % 3 = 0 THEN 'note ' || doc_id END AS tag,
+    printf('%.1f', n_chars / 100.0 / (CASE WHEN doc_id % 2 = 0 THEN 0.01 ELSE 0.0001 END)) || ' pips' AS distance FROM documents""",
+)
+def note_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Review cells' tags, whether a note has a text, and distances in pips, over the documents."""
+    rows = spark.read.parquet(f"{d}/documents.parquet")
+    cell = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("# x\n<!-- REVIEW: note "), F.col("doc_id").cast("string"), F.lit(" -->"))).otherwise("plain")
+    symbol = F.when(F.col("doc_id") % 2 == 0, "USDJPY").otherwise("EURUSD")
+    return rows.select("doc_id", txt.note_state(F.col("text")).alias("state"), txt.review_tag(cell).alias("tag"), txt.distance_text(symbol, F.col("n_chars") / 100.0, F.lit(0.0)).alias("distance"))

@@ -16,21 +16,34 @@ from tidemark.streaming import positions, resample
 
 def folder(spark: SparkSession) -> str:
     """A new folder in the one that all executors share (spark.checkpoint.dir; unset in tests, where a local one serves)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-stream-")
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir")
+    if base is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-stream-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def drained(df: DataFrame, mode: str) -> DataFrame:
-    """What the stream gives for all there is, as a table."""
-    spark, name = df.sparkSession, f"stream_{uuid.uuid4().hex}"
-    df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", folder(spark)).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+def drained(df: DataFrame, mode: str, *key: str) -> DataFrame:
+    """What the stream gives for all there is, through a table in the shared folder. ``key``: of an update stream, what its last row counts for."""
+    at = folder(df.sparkSession)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{at}/rows/part={number}")  # run again, a batch replaces its own
+
+    df.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = df.sparkSession.read.parquet(f"{at}/rows").drop("part")
+    if not key:
+        return rows.drop("_batch")
+    values = [c for c in df.columns if c not in key]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*values), "_batch").alias("_v")).select(*key, "_v.*")
 
 
 @register("stream_resample", sql.query("SELECT symbol, ts, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume FROM b1h", "b1h"))
 def stream_resample(spark: SparkSession, d: str) -> DataFrame:
     """Hourly bars of the events as a stream: in the end, the same as from the table."""
-    rows = drained(resample.resampled(resample.event_stream(spark, d)), "complete")
+    rows = drained(resample.resampled(resample.event_stream(spark, d)), "update", "symbol", "ts")
     return rounded(rows, "symbol", "ts", "volume", open="open", high="high", low="low", close="close")
 
 

@@ -78,9 +78,11 @@ def clip(bars: DataFrame, start: Column, end: Column) -> DataFrame:
 def feed_rows(pages: DataFrame, end_ms: Column) -> tuple[DataFrame, DataFrame]:
     """Bars and rejected rows of landed feed pages (symbol, timeframe, page, body: JSON rows [ms, open, high, low, close, volume]).
 
-    Rows at or after the end stop; a boundary row that two pages share counts once; rows with a null or of another length are rejected.
+    Rows at or after the end stop; a boundary row that two pages share counts once; rows with a null or of another length are rejected, and so
+    is a page that is no such JSON (i = -1).
     """
-    rows = pages.select(*KEYS, "page", F.posexplode(F.from_json("body", "array<array<double>>")).alias("i", "r"), end_ms.alias("_end"))
+    read = pages.select(*KEYS, "page", F.from_json("body", "array<array<double>>").alias("_a"), end_ms.alias("_end")).where("_a is null or size(_a) > 0")
+    rows = read.select(*KEYS, "page", F.posexplode_outer("_a").alias("i", "r"), "_end").withColumn("i", F.coalesce("i", F.lit(-1)))
     bad = F.col("r").isNull() | (F.size("r") != 6) | F.exists("r", lambda x: x.isNull())
     good = rows.where(~F.coalesce(bad, F.lit(True))).where(F.col("r")[0] < F.col("_end"))
     bars = good.select(*KEYS, F.timestamp_millis(F.col("r")[0].cast("long")).alias("ts"), *[F.col("r")[i + 1].alias(c) for i, c in enumerate(PRICES)], "page", "i")
