@@ -563,6 +563,15 @@ def test_probabilities_of_words_and_of_spelling_sum_to_one(spark):
     assert n > 100 and sums == pytest.approx(1.0, abs=1e-3)
 
 
+def test_scores_do_not_depend_on_how_spelling_is_looked_up(spark, monkeypatch):
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, words(rng, 30)) for i in range(20)], "doc_id long, text string")
+    monkeypatch.setattr(lm, "SWEEPS", 3)
+    one = {r["doc_id"]: r["score"] for r in lm.scores(docs).collect()}
+    monkeypatch.setattr(lm, "BROADCAST_KEYS", 0)
+    assert {r["doc_id"]: r["score"] for r in lm.scores(docs).collect()} == pytest.approx(one, rel=1e-4)
+
+
 def test_scores_depend_on_word_order_and_hold_in_all_cases(spark):
     rng = random.Random(5)
     pool = words(rng, 30).split()
