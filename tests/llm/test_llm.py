@@ -292,6 +292,22 @@ def test_near_duplicates_equal_brute_force(spark, corpus, percent):
     assert neardup.near_duplicates(empty(spark), percent).count() == 0
 
 
+def test_near_duplicates_equal_sql(spark):
+    import duckdb
+
+    from tidemark.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    if not Path(folder).is_dir():
+        pytest.skip("the tables are not here")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    expected = con.execute(queries.ORACLE_SQL["op8_near_duplicates"]).df().sort_values("doc_id")
+    got = queries.op8_near_duplicates(spark, folder).toPandas().sort_values("doc_id")
+    assert got[sorted(got)].to_numpy().tolist() == expected[sorted(expected)].to_numpy().tolist()
+    assert not expected["kept"].all()
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(4)
     a = rng.integers(0, 2**64, 3000, dtype=np.uint64)
