@@ -616,16 +616,71 @@ def test_scores_depend_on_word_order_and_hold_in_all_cases(spark):
     assert lm.scores(docs.limit(0)).count() == 0
 
 
-def test_pipeline_stages_keep_columns(spark, corpus, tmp_path):
+def test_pipeline_equals_brute_force(spark, corpus, tmp_path):
+    """Each stage once more in plain Python, over what the one before it keeps."""
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
     texts, docs = corpus
+    items = {0: texts[7], 1: words(random.Random(77), 30)}
     docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    spark.createDataFrame([(0, texts[7])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    out = corpus_pipeline.run(spark, str(tmp_path))
-    assert {"doc_id", "piece", "sequence_id", "offset"} <= {*out.columns}
-    ids = {r["doc_id"] for r in out.select("doc_id").distinct().collect()}
-    sets = {i: shingled(t) for i, t in enumerate(texts)}
-    assert ids <= {*sets} and 7 not in ids
-    assert docs.where(F.col("doc_id").isin(*ids)).count() == len(ids)
+    spark.createDataFrame([*items.items()], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    # One label proves nothing: the base rules alone reject.
+    kept = {i: t for i, t in enumerate(texts) if t and (m := quality.measure(t.encode()))[0] >= 10 and 100 * m[4] <= 20 * m[0]}
+    found = components({i: shingled(t) for i, t in kept.items()}, 80)
+    kept = {i: t.encode() for i, t in kept.items() if found[i] == i}
+    seen = collections.Counter(t[k : k + 240] for t in kept.values() for k in range(len(t) - 239))
+    cut = {}
+    for i, t in kept.items():
+        gone = bytearray(len(t))
+        for k in range(len(t) - 239):
+            if seen[t[k : k + 240]] > 1:
+                gone[k : k + 240] = b"\1" * 240
+        if left := bytes(b for b, g in zip(t, gone, strict=True) if not g).decode("utf-8", "ignore"):
+            cut[i] = left
+    assert sum(len(t) for t in cut.values()) < sum(len(t.decode()) for t in kept.values())
+    clean = {}
+    for i, t in cut.items():
+        for item in items.values():
+            code = {w: k for k, w in enumerate(decontaminate.words_of(f"{item} {t}".encode()))}
+            own, passage = (np.array([code[w] for w in decontaminate.words_of(x.encode())]) for x in (item, t))
+            if len(passage) and decontaminate.align(own, passage)[0] >= len(own):
+                break
+        else:
+            clean[i] = t
+    assert set(cut) - set(clean) == {7}
+    plain = Tokenizer.from_buffer(Path(tokenizer_path()).read_bytes())
+    plain.encode_special_tokens = True
+    pieces = {}
+    for i, t in clean.items():
+        ids = np.array([*plain.encode(t, add_special_tokens=False).ids, 1], dtype="<u4")
+        pieces |= {(i, k // 4096): (len(ids[k : k + 4096]), zlib.crc32(ids[k : k + 4096].tobytes())) for k in range(0, len(ids), 4096)}
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {(r["doc_id"], r["piece"]): (r["length"], r["ids_crc32"]) for r in out} == pieces and len(out) == len(pieces)
+    left = []
+    for n in sorted((n for n, _ in pieces.values()), reverse=True):
+        fit = min((x for x in left if x >= n), default=None)
+        if fit is not None:
+            left.remove(fit)
+        left.append((4096 if fit is None else fit) - n)
+    assert len({r["sequence_id"] for r in out}) == len(left)
+
+
+def test_pipeline_and_operators_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    empty(spark).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    docs, items = docs_of(spark, ["a b c d e f g h i j", None]), spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.contaminated(docs, items).count() == 0 and decontaminate.without_contaminated(docs, items).count() == 2
+    same = spark.createDataFrame([(1, "a b c d e f g h i j"), (1, "a b c d e f g h i j"), (2, "a b c d e f g h i j")], "item_id long, text string")
+    twice = decontaminate.contaminated(docs.unionByName(docs), same).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in twice) == [(0, 1), (0, 1), (0, 2), (0, 2)]
+    pieces = wordpieces.vocabulary(tokenizer_path())
+    assert wordpieces.token_counts(empty(spark), pieces).count() == 0
+    assert len({tuple(r)[1:] for r in wordpieces.token_counts(docs.unionByName(docs), pieces).where("doc_id = 0").collect()}) == 1
+    packed = packing.pack(docs.unionByName(docs), Path(tokenizer_path()).read_bytes(), 64, 1).collect()
+    assert len(packed) == 4 and len({r["ids_crc32"] for r in packed}) == 2
