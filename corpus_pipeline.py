@@ -61,5 +61,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Learned cutoffs, tokenization and alignment are beyond SQL.
+#: Learned cutoffs, tokenization and alignment are beyond SQL; tests/llm holds every stage against a brute-force version.
 ORACLE_SQL = None
