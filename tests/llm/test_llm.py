@@ -183,6 +183,19 @@ def test_best_fit_plan_is_best_fit_decreasing():
         assert sorted(64 - used[b] for b in range(bins)) == sorted(left)
 
 
+def test_tokenizers_that_see_more_than_words_read_whole_texts():
+    import json
+
+    plain = Path(tokenizer_path()).read_bytes()
+    assert packing.by_words(plain)
+    odd = json.loads(plain)
+    odd["normalizer"] = {"type": "NFC"}  # capitals count
+    assert not packing.by_words(json.dumps(odd).encode())
+    odd["pre_tokenizer"] = {"type": "Metaspace", "replacement": "_", "prepend_scheme": "always"}
+    whole = packing._ids_of(json.dumps(odd).encode())
+    assert isinstance(whole, packing._Whole) and len(whole.text(b"A b")) % 4 == 0
+
+
 def test_packing_round_trip(spark, corpus):
     from tokenizers import Tokenizer
 
@@ -396,7 +409,7 @@ def test_contaminated_documents_are_found_and_clean_ones_are_not(spark):
     for i in range(3, len(edited), 8):
         edited[i] = "changed"
     texts.append(words(rng, 20) + " " + ", ".join(edited))
-    rows = decontaminate.contaminated(docs_of(spark, [*texts, None, ""]), spark.createDataFrame([*items, (99, None), (98, "too short"), (None, "x")], "item_id long, text string")).collect()
+    rows = decontaminate.contaminated(docs_of(spark, [*texts, None, ""]), spark.createDataFrame([*items, (99, None), (98, "too short"), (None, "x"), (12, "another text of the item that no document holds at all")], "item_id long, text string")).collect()
     assert {(r["doc_id"], r["item_id"]) for r in rows} == {(30 + i, i) for i in range(10)} | {(40, 12)}
     a, b = np.array([1, 2, 3, 4]), np.array([9, 1, 2, 7, 3, 4, 9])
     assert decontaminate.align(a, b) == (7, 1, 6)
@@ -416,6 +429,12 @@ def test_short_lines_are_compared(spark):
         assert one.tolist() == shingles.windows(run).tolist()
 
 
+def test_short_items_are_found_whole_only(spark):
+    items = spark.createDataFrame([(1, "what makes the sea salt"), (2, "two words"), (None, "an item without any id of its own"), (3, "salt sea pepper"), (3, "sugar cane juice fresh")], "item_id long, text string")
+    docs = docs_of(spark, ["x what makes the sea Salt? y", "what makes the deep sea salt", "two words", "so an item without any id of its own is", "sugar cane, juice fresh"])
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, items).collect()} == {(0, 1), (3, None), (4, 3)}
+
+
 def test_no_number_of_edited_copies_hides_them(spark):
     rng = random.Random(18)
     items = [(i, words(rng, n)) for i, n in enumerate((40, 40, 8, 23))]

@@ -20,8 +20,8 @@ from tidemark.llm.common import row_of, texts
 
 #: Characters of test items in a block: what goes to an executor at once.
 BLOCK_CHARS = 8_000_000
-#: Shorter items say too little to be recognised; they match nothing.
-LEAST_WORDS = 8
+#: Shorter items must be there whole, word for word; those of under LEAST_WHOLE words are no passages and match nothing.
+LEAST_WORDS, LEAST_WHOLE = 8, 3
 #: Occurrences of items' words in a text that are looked at together.
 OCCURRENCES = 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -91,11 +91,12 @@ class Searcher:
     """
 
     def __init__(self, block: list[tuple[int | None, list[str]]], n_docs: np.ndarray, least: float) -> None:
-        self.least, self.code = least, _codes(block)
+        self.code = _codes(block)
         self.names = [name for name, _ in block]
         self.items = [np.array([self.code[w] for w in words], dtype=np.int64) for _, words in block]
         size = np.array([len(x) for x in self.items])
-        score = np.ceil(least * MATCH * size).astype(np.int64)
+        self.least = np.where(size < LEAST_WORDS, 1.0, least)
+        score = np.ceil(self.least * MATCH * size).astype(np.int64)
         self.need, self.width = np.maximum(1, -(-score // MATCH)), np.maximum(1, (1 + MATCH) * size - score)
         self.sure = -(-self.need // 4)
         own = [np.unique(x, return_counts=True) for x in self.items]
@@ -125,7 +126,7 @@ class Searcher:
         for i, spans in self._near(np.flatnonzero(likely), place, known, first, n, len(words)):
             own = self.items[i]
             score, a, b = max(((_best(own, codes[a:b])[0], a, b) for a, b in spans), key=lambda x: x[0])
-            if score >= self.least * MATCH * len(own):
+            if score >= self.least[i] * MATCH * len(own):
                 _, s, e = align(own, codes[a:b])
                 key = ("", i) if self.names[i] is None else self.names[i]
                 best[key] = max(best.get(key, (i, 0.0, 0, 0)), (i, score / (MATCH * len(own)), a + s, a + e), key=lambda x: x[1])
@@ -172,9 +173,9 @@ class Searcher:
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5) -> DataFrame:
     """A row for each document and test item of which it holds a copy, edited or not: doc_id, item_id, score, first_word, end_word.
 
-    ``score`` is the alignment's share of what the whole item would score. Whole texts are searched; null or empty texts and
-    items of under LEAST_WORDS words match nothing; repeated rows of ``docs`` give rows each, repeated items one; other columns
-    are left behind.
+    ``score`` is the alignment's share of what the whole item would score. Whole texts are searched. An item of under LEAST_WORDS words must be there
+    word for word; null or empty texts and items of under LEAST_WHOLE words match nothing. All texts of an item_id are searched, and the best one
+    counts; items without an id are told apart by their texts. Repeated rows of ``docs`` give rows each, repeated items one; other columns are left behind.
     """
     plain, out = texts(docs), None
     for block in _blocks(benchmark):
@@ -184,12 +185,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5) -> D
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, list[str]]]]:
-    rows = benchmark.where("item_id is not null and text is not null").groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.min("text").alias("text"))
+    rows = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     block: list[tuple[int | None, list[str]]] = []
     held = 0
     for r in rows.toLocalIterator():
         words = words_of(r["text"].encode())
-        if len(words) >= LEAST_WORDS:
+        if len(words) >= LEAST_WHOLE:
             block.append((r["item_id"], words))
             held += len(r["text"])
         if held > BLOCK_CHARS:

@@ -8,6 +8,8 @@ The plan says which ranks of a length go to which bins; executors look theirs up
 
 from __future__ import annotations
 
+import json
+import random
 import zlib
 from collections.abc import Iterator
 
@@ -138,13 +140,36 @@ def place(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
 
 
 _MARKS = (b".", b",")
+#: Steps of tokenizers that look at words alone, whatever stands around them.
+_BY_WORD = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "Replace", "Split", "ByteLevel", "Whitespace", "WhitespaceSplit", "Punctuation", "Digits", "BertNormalizer", "BertPreTokenizer"}
+_PROBES = "a Z b. c, . , d.e f,g 7 8. é Éa ß. 's don't we'll x'S \t \n  \r\n () a) (b 3.5 1,000 _ -- a-b ö, é. zz.. qq,, ".split(" ")
 
 
-class _Ids(dict):
-    """The ids of words, lower-cased A-Z, as little-endian unsigned 32-bit numbers.
+def by_words(tokenizer_json: bytes) -> bool:
+    """Whether a text's ids are those of its words, lower-cased A-Z, in a row, and a word's last full stop or comma parts from the letter before it.
 
-    The tokenizer lower-cases, never joins across white space, and splits one full stop or comma from the letters before it.
+    All steps must be known to look at words alone, and many mixtures of odd words must come out the same either way.
     """
+    from tokenizers import Tokenizer
+
+    parts = json.loads(tokenizer_json)
+    steps = [x["type"] for k in ("normalizer", "pre_tokenizer") for x in ((parts.get(k) or {}).get("normalizers") or (parts.get(k) or {}).get("pretokenizers") or [parts.get(k) or {"type": None}])]
+    if not {*steps} <= _BY_WORD or parts.get("post_processor"):
+        return False
+    tokenizer = Tokenizer.from_buffer(tokenizer_json)
+    tokenizer.encode_special_tokens = True
+    ids = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
+    known = _Ids(tokenizer_json)
+    rng = random.Random(1)
+    for _ in range(300):
+        text = " ".join(rng.choices(_PROBES, k=8))
+        if np.array(ids(text), "<u4").tobytes() != b"".join(known.of(text.encode().lower().split())):
+            return False
+    return True
+
+
+class _Ids(dict):
+    """The ids of words, lower-cased A-Z, as little-endian unsigned 32-bit numbers, by a tokenizer that is ``by_words``."""
 
     def __init__(self, tokenizer_json: bytes) -> None:
         from tokenizers import Tokenizer
@@ -165,16 +190,32 @@ class _Ids(dict):
                 self[w] = self[w[:-1]] + self[w[-1:]]
         return [*map(self.__getitem__, words)]
 
+    def text(self, text: bytes) -> bytes:
+        return b"".join(self.of(text.lower().split()))
+
+
+_worker: dict[int, _Ids | _Whole] = {}
+
+
+class _Whole:
+    """The ids of whole texts, by any tokenizer."""
+
+    def __init__(self, tokenizer_json: bytes) -> None:
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_buffer(tokenizer_json)
+        self.tokenizer.encode_special_tokens = True
 
-_worker: dict[int, _Ids] = {}
+    def text(self, text: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
 
 
-def _ids_of(tokenizer_json: bytes) -> _Ids:
+def _ids_of(tokenizer_json: bytes) -> _Ids | _Whole:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is what Spark has given it
     if (key := zlib.crc32(tokenizer_json)) not in _worker:
-        _worker[key] = _Ids(tokenizer_json)
+        _worker[key] = (_Ids if by_words(tokenizer_json) else _Whole)(tokenizer_json)
     return _worker[key]
 
 
@@ -196,7 +237,7 @@ def _pieces(docs: DataFrame, tokenizer_json: bytes, capacity: int, end_id: int,
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = b"".join([*known.of(text.as_py().lower().split()), end])
+                ids = known.text(text.as_py()) + end
                 for i in range(0, len(ids) // 4, capacity):
                     part = ids[4 * i : 4 * (i + capacity)]
                     rows.append((doc_id, i // capacity, i, len(part) // 4, zlib.crc32(part) if digest else part))
