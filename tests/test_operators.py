@@ -2,11 +2,13 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import note_state, pip_size, review_tag
-from tidemark.operators import extension, labels, pivots, resampling, sweeps
+from tidemark.operators import dashboards, documents, extension, indicators, labels, metrics, pivots, resampling, review, sweeps
 from tidemark.operators.indicators import indexed
 from tidemark.sources import bars as src
 from tidemark.streaming import positions
@@ -68,6 +70,104 @@ def test_shuffles_keep_the_return(spark):
     assert len({round(e["max_drawdown"], 9) for e in ends}) > 1
 
 
+def test_draws_are_independent(spark):
+    """The bootstrap's spread is the analytic standard error, and every trade is drawn equally often."""
+    r = [(-1.0) ** i * (1 + i % 7) for i in range(60)]
+    rows = spark.createDataFrame([(f"c{i:03}", T0 + dt.timedelta(hours=5 * i), x, "win" if x > 0 else "loss") for i, x in enumerate(r)], "candidate_id string, exit_ts timestamp, r double, result string")
+    numbered = resampling.numbered(rows).cache()
+    assert [x["r"] for x in numbered.orderBy("i").collect()] == r and numbered.agg(F.max("n")).first()[0] == 60
+    drawn = resampling.simulated(numbered, 1000)
+    sd = np.std(r)
+    spread = drawn.groupBy("sim").agg(F.avg("r").alias("m")).agg(F.stddev("m")).first()[0]
+    assert spread == pytest.approx(sd / 60**0.5, rel=0.1)
+    often = [x["n"] for x in drawn.groupBy("r").agg(F.count("*").alias("n")).collect()]
+    assert sum(often) == 60_000
+    lag = drawn.withColumn("b", F.lag("r").over(Window.partitionBy("sim").orderBy("k"))).agg(F.corr("r", "b")).first()[0]
+    assert abs(lag) < 0.02
+
+
+def test_long_horizons_draw_more_trades_than_there_are(spark):
+    """A game with a small edge seldom ends under the start in the long run; the rate of the history tells how many trades that is."""
+    rows = spark.createDataFrame([(f"c{i:03}", T0 + dt.timedelta(days=9 * i), [1.3, -1.0][i % 2], ["win", "loss"][i % 2]) for i in range(41)], "candidate_id string, exit_ts timestamp, r double, result string")
+    got = {x["years"]: x["p_negative"] for x in resampling.negative_share(rows, (1, 3, 5), 1000).collect()}
+    logs = np.log(1 + 0.01 * np.array([[1.3, -1.0][i % 2] for i in range(41)]))
+    rng = np.random.default_rng(5)
+    for years, p in got.items():
+        n = round(years * 41 / (360 / 365.25))
+        expected = (rng.choice(logs, (4000, n)).sum(axis=1) < 0).mean()
+        assert p == pytest.approx(expected, abs=0.05)
+    assert got[5] < got[1]
+
+
+def test_ruin_is_minus_infinity(spark):
+    row = spark.createDataFrame([(-200.0,), (1.0,)], "r double").select(resampling.log_growth(F.col("r"), 0.01).alias("g")).collect()
+    assert row[0]["g"] == float("-inf") and row[1]["g"] == pytest.approx(np.log(1.01))
+
+
+def test_audit_finds_a_look_ahead(spark):
+    bars = bars_of(spark, noise(60))
+    ahead = F.lead("close").over(Window.partitionBy("symbol").orderBy("ts"))
+    facts = {"close": lambda b: b.select("symbol", "ts", "close"), "next": lambda b: b.select("symbol", "ts", ahead.alias("next"))}
+    got = {r["fact"]: r["n_changed"] for r in review.causality(bars, facts, [str(T0 + dt.timedelta(hours=30))]).collect()}
+    assert got["close"] == 0 and got["next"] > 0
+
+
+def test_levels_in_view_see_confirmed_swings_only(spark):
+    bars = indicators.with_atr_sma(indicators.indexed(bars_of(spark, noise(80))))
+    frames = pivots.visible_swings(pivots.with_pivots(bars), 40).select("symbol", F.col("bar_idx").alias("frame_idx"), "swings")
+    found = {(r["frame_idx"], r["kind"], round(r["level"], 9), r["touches"]) for r in pivots.levels_in_view(frames, bars, 0.3).collect()}
+    rows = {r["bar_idx"]: r for r in bars.collect()}
+    expected = set()
+    for n in rows:
+        for kind, name in (("L", "support"), ("H", "resistance")):
+            seen = []
+            for i in range(max(2, n - 39), n):  # a pivot needs the bar after it
+                side = (lambda j: -rows[j]["low"]) if kind == "L" else (lambda j: rows[j]["high"])
+                if side(i) > max(side(i - 1), side(i - 2)) and side(i) > side(i + 1):
+                    seen.append((abs(side(i)), i))
+            island, reach = [], None
+            for price, i in [*sorted(seen), (None, None)]:
+                band = rows[i]["atr"] * 0.3 if i is not None else 0
+                if price is None or reach is not None and price - band > reach:
+                    if len(island) > 1:
+                        expected.add((n, name, round(sum(island) / len(island), 9), len(island)))
+                    island, reach = [], None
+                if price is not None:
+                    island.append(price)
+                    reach = max(reach or price + band, price + band)
+    assert found == expected and found
+
+
+def test_documents_survive_torn_and_odd_ones(spark):
+    t = F.lit(T0)
+    bars = bars_of(spark, noise(200))
+    none = bars.limit(0).select("symbol", "ts", F.lit("x").alias("what"))
+    facts = bars.select("symbol", "ts", F.lit("close").alias("name"), F.col("close").alias("value"))
+    trades = bars.limit(0).select("symbol", t.alias("submit_ts"), F.lit("c").alias("candidate_id"), F.lit("bullish").alias("direction"), *[F.lit(1.0).alias(c) for c in ("entry", "stop", "target", "r")], t.alias("exit_ts"), F.lit("stop").alias("exit_reason"), F.lit("loss").alias("result"))
+    balances = bars.limit(1).select("symbol", "ts", F.lit(0).cast("long").alias("seq"), F.lit(100.0).alias("balance"))
+    written = documents.run_documents(bars, facts, bars.limit(3).select("symbol", "ts", F.lit("p").alias("what")), none, trades, balances)
+    odd = spark.createDataFrame([("y", None, "{"), ("y", None, ""), ("y", None, None), ("y", None, "[1, 2]"), ("y", None, '{"other": 1}')], "symbol string, part timestamp, document string")
+    opened = documents.opened(written.unionByName(odd))
+    assert opened.select("symbol").distinct().count() == 1
+    assert documents.facts_of(opened).exceptAll(facts).isEmpty() and documents.facts_of(opened).count() == 200
+    assert documents.candles_of(opened).select("ts", "close").exceptAll(bars.select("ts", "close")).isEmpty()
+    assert documents.texts_of(opened, "patterns_by_ts").count() == 3 and documents.trades_of(opened).count() == 0
+
+
+def test_costs_and_balances_of_odd_books(spark):
+    rows = spark.createDataFrame([("a", "bullish", "win", "target", 2.0, 100.0, 97.0, 30.0, 60.0, T0, T0 + dt.timedelta(days=100)), ("a", "bullish", "loss", "stop", -1.0, 100.0, 97.0, 30.0, -30.0, T0, T0 + dt.timedelta(days=200))], "symbol string, direction string, result string, exit_reason string, r double, entry double, stop double, risk_amount double, pnl double, submit_ts timestamp, exit_ts timestamp").withColumn("candidate_id", F.col("exit_reason"))
+    assert metrics.risk_fraction(rows, 1000.0, "symbol").first()["risk_fraction"] == pytest.approx(0.03)
+    assert metrics.risk_fraction(rows.withColumn("risk_amount", F.lit(None).cast("double")), 1000.0, "symbol").first()["risk_fraction"] == 0.01
+    curve = spark.createDataFrame([("a", T0, 1030.0)], "symbol string, ts timestamp, balance double")
+    assert [dashboards.initial_balance(rows, c, e, "symbol").first()[1:] for c, e in ((curve, None), (None, None), (None, 5.0))] == [(1000.0, "derived_final_minus_pnl"), (100.0, "default_index"), (5.0, "explicit")]
+    free = dashboards.gross_vs_net(metrics.with_costs(rows, risk=1.0), "symbol").first()
+    assert (free["return_drag_pct"], free["expectancy_drag_r"], free["sign_flips"]) == (0.0, 0.0, "")
+    dear = dashboards.gross_vs_net(metrics.with_costs(rows, flat=1.0), "symbol").first()
+    assert dear["expectancy_drag_r"] == pytest.approx(1.0) and "expectancy" in dear["sign_flips"] and dear["break_even_gross"] == pytest.approx(1 / 3)
+    record = dashboards.portfolio(rows, "symbol").first()
+    assert record["final_balance"] == pytest.approx(101.0) and record["cagr_pct"] == pytest.approx((1.01 ** (365.25 / 100) - 1) * 100) and record["max_drawdown_pct"] == pytest.approx(100 / 102)
+
+
 def test_store_round_trip(spark, tmp_path):
     bars = bars_of(spark, noise(30)).withColumn("timeframe", F.lit("1h"))
     src.write_store(bars, str(tmp_path / "s"))
