@@ -69,17 +69,20 @@ _KEPT, _BACK = "f.kept[len(f.kept)]", "f.kept[len(f.kept) - 1]"
 _ME = "{'seq': p.seq, 'type': p.type, 'price': p.price}"
 sql.define("pa", "SELECT p.*, a.atr FROM p22 p JOIN a1h a ON a.symbol = p.symbol AND a.bar_idx = p.confirm_idx", "p22", "a1h")
 #: A step's case: a first, b same type and beyond, c same type, d far enough, e folded and beyond, g folded, h dropped.
-_CASE = f"""CASE WHEN len(f.kept) = 0 THEN 'a' WHEN {_KEPT}.type = p.type THEN CASE WHEN {_TOP.format(k=_KEPT + '.price')} THEN 'b' ELSE 'c' END
+CASE = f"""CASE WHEN len(f.kept) = 0 THEN 'a' WHEN {_KEPT}.type = p.type THEN CASE WHEN {_TOP.format(k=_KEPT + '.price')} THEN 'b' ELSE 'c' END
     WHEN NOT coalesce(p.atr > 0, false) OR abs(p.price - {_KEPT}.price) >= {TRAVEL} * p.atr THEN 'd'
     WHEN len(f.kept) > 1 THEN CASE WHEN {_TOP.format(k=_BACK + '.price')} THEN 'e' ELSE 'g' END ELSE 'h' END"""
-sql.define(
-    "fold",
-    f"""SELECT DISTINCT symbol, 0::BIGINT AS k, []::STRUCT(seq BIGINT, type VARCHAR, price DOUBLE)[] AS kept, ''::VARCHAR AS step FROM pa
+
+
+def fold_sql(name: str, rows: str, case: str) -> str:
+    """The stack of kept swings after each pivot of ``rows``."""
+    return f"""SELECT DISTINCT symbol, 0::BIGINT AS k, []::STRUCT(seq BIGINT, type VARCHAR, price DOUBLE)[] AS kept, ''::VARCHAR AS step FROM {rows}
     UNION ALL SELECT symbol, k, CASE step WHEN 'a' THEN [me] WHEN 'b' THEN list_append(kept[:len(kept) - 1], me) WHEN 'd' THEN list_append(kept, me)
       WHEN 'e' THEN list_append(kept[:len(kept) - 2], me) WHEN 'g' THEN kept[:len(kept) - 1] ELSE kept END, step
-    FROM (SELECT f.symbol, f.k + 1 AS k, f.kept, {_ME} AS me, {_CASE} AS step FROM fold f JOIN pa p ON p.symbol = f.symbol AND p.seq = f.k + 1)""",
-    "pa",
-)
+    FROM (SELECT f.symbol, f.k + 1 AS k, f.kept, {_ME} AS me, {case} AS step FROM {name} f JOIN {rows} p ON p.symbol = f.symbol AND p.seq = f.k + 1)"""
+
+
+sql.define("fold", fold_sql("fold", "pa", CASE), "pa")
 sql.define("swings", "SELECT p.*, f.step IN ('a', 'b', 'd', 'e') AS accepted, list_contains(list_transform(z.kept, lambda x: x.seq), p.seq) AS kept FROM pa p JOIN fold f ON f.symbol = p.symbol AND f.k = p.seq JOIN (SELECT symbol, arg_max(kept, k) AS kept FROM fold GROUP BY symbol) z ON z.symbol = p.symbol", "pa", "fold")
 
 
@@ -395,11 +398,29 @@ def equity_curve(spark: SparkSession, d: str) -> DataFrame:
     return rounded(lab.compounded(lab.lanes(trades(spark, d))), "symbol", "candidate_id", "seq", balance="balance", peak="peak")
 
 
-@register("shared_ledger")
+sql.define("lt", "SELECT t.* FROM lane l JOIN trades t USING (candidate_id)", "lane", "trades")
+sql.define(
+    "lev",
+    """SELECT e.*, s.place FROM (SELECT *, row_number() OVER (PARTITION BY book ORDER BY t, kind, candidate_id) AS k FROM (
+      SELECT direction AS book, candidate_id, r, submit_ts AS t, 1 AS kind FROM lt UNION ALL SELECT direction, candidate_id, r, exit_ts, CASE WHEN exit_ts > submit_ts THEN 0 ELSE 2 END FROM lt)) e
+    JOIN (SELECT candidate_id, row_number() OVER (PARTITION BY direction ORDER BY submit_ts, candidate_id) AS place FROM lt) s USING (candidate_id)""",
+    "lt",
+)
+sql.define(
+    "led",
+    """SELECT DISTINCT book, 0::BIGINT AS k, ''::VARCHAR AS candidate_id, 1 AS kind, 0.0::DOUBLE AS risk, 100.0::DOUBLE AS balance, 100.0::DOUBLE AS peak, []::DOUBLE[] AS risks FROM lev
+    UNION ALL SELECT l.book, e.k, e.candidate_id, e.kind, l.risks[e.place], CASE WHEN e.kind = 1 THEN l.balance ELSE l.balance + e.r * l.risks[e.place] END,
+      greatest(l.peak, CASE WHEN e.kind = 1 THEN l.balance ELSE l.balance + e.r * l.risks[e.place] END), CASE WHEN e.kind = 1 THEN list_append(l.risks, greatest(0.0, l.balance) * 0.01) ELSE l.risks END
+    FROM led l JOIN lev e ON e.book = l.book AND e.k = l.k + 1""",
+    "lev",
+)
+
+
+@register("shared_ledger", _recursive(sql.query("SELECT book AS direction, candidate_id, row_number() OVER (PARTITION BY book ORDER BY k) AS seq, round(risk, 6) AS risk, round(balance, 6) AS balance, round(peak, 6) AS peak FROM led WHERE kind <> 1", "led")))
 def shared_ledger(spark: SparkSession, d: str) -> DataFrame:
-    """One book for all symbols' lanes, where trades overlap; an ordered fold, held against a loop in the tests."""
-    rows = lab.ledger(lab.lanes(trades(spark, d)).withColumnRenamed("submit_ts", "ts"))
-    return rounded(rows, "candidate_id", "seq", risk="risk", balance="balance", peak="peak")
+    """A long and a short book over all symbols' lanes, in which trades overlap."""
+    rows = lab.ledger(lab.lanes(trades(spark, d)).withColumnRenamed("submit_ts", "ts"), by=["direction"])
+    return rounded(rows, "direction", "candidate_id", "seq", risk="risk", balance="balance", peak="peak")
 
 
 @register(

@@ -15,6 +15,7 @@ from tidemark.operators import pivots as piv
 from tidemark.operators import resampling as res
 from tidemark.operators import review as rev
 from tidemark.plans import sql
+from tidemark.plans import trade_queries as tq
 from tidemark.plans.bar_queries import daily, hourly, rounded
 from tidemark.plans.registry import register
 from tidemark.plans.trade_queries import TRAVEL, base, breakouts, breakouts_of, trades, with_levels
@@ -139,12 +140,19 @@ def weekly_context(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rows.withColumn("p", F.when(span > 0, (F.col("close") - F.col("lo")) / span)), "symbol", "ts", position="p")
 
 
-@register("study_legs")
-def study_legs(spark: SparkSession, d: str) -> DataFrame:
-    """The study's legs: by the ATR at the pivot, rejected pivots dropped and not folded."""
-    bars = base(spark, d)
-    rows = piv.pivots(bars, 2, 2).join(bars.select("symbol", "bar_idx", "atr"), ["symbol", "bar_idx"])
-    return rounded(piv.magnitude_swings(rows, TRAVEL, fold_rejected=False).where("kept"), "symbol", "seq", "type", price="price")
+sql.define("pa_p", "SELECT p.*, a.atr FROM p22 p JOIN a1h a ON a.symbol = p.symbol AND a.bar_idx = p.bar_idx", "p22", "a1h")
+_UNFOLDED = tq.CASE[: tq.CASE.index("WHEN len(f.kept) > 1 THEN")] + "ELSE 'h' END"
+for _name, _case in (("fold_pf", tq.CASE), ("fold_p", _UNFOLDED)):
+    sql.define(_name, tq.fold_sql(_name, "pa_p", _case), "pa_p")
+
+for _name, _fold, _folded in (("study_legs", "fold_p", False), ("study_legs_folded", "fold_pf", True)):
+
+    @register(_name, "WITH RECURSIVE " + sql.query(f"SELECT p.symbol, p.seq, p.type, round(p.price, 6) AS price FROM pa_p p JOIN (SELECT symbol, arg_max(kept, k) AS kept FROM {_fold} GROUP BY symbol) z ON z.symbol = p.symbol WHERE list_contains(list_transform(z.kept, lambda x: x.seq), p.seq)", "pa_p", _fold).removeprefix("WITH "))
+    def study_legs(spark: SparkSession, d: str, folded: bool = _folded) -> DataFrame:
+        """The study's legs by the ATR at the pivot; rejected pivots are folded into the swings before them, or dropped."""
+        bars = base(spark, d)
+        rows = piv.pivots(bars, 2, 2).join(bars.select("symbol", "bar_idx", "atr"), ["symbol", "bar_idx"])
+        return rounded(piv.magnitude_swings(rows, TRAVEL, fold_rejected=folded).where("kept"), "symbol", "seq", "type", price="price")
 
 
 @register("run_document", sql.query("SELECT symbol, candidate_id, exit_reason, round(r, 6) AS r FROM trades", "trades"))
