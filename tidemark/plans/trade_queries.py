@@ -219,7 +219,28 @@ def pullbacks_of(facts: DataFrame) -> DataFrame:
     return sig.pullback_signal(rows)
 
 
-@register("pullback_strength")
+_P = "{'i': p.bar_idx, 'u': p.ts, 't': p.type, 'price': p.price}"
+_AT = "list({v} ORDER BY p.bar_idx DESC, p.ts DESC, p.type DESC) FILTER (p.type = '{t}')"
+sql.define(
+    "strong",
+    f"""SELECT *, [abs(q[2].price - q[1].price), abs(q[3].price - q[2].price), abs(q[4].price - q[3].price)] AS legs, z[4].i - z[1].i AS span FROM (
+    SELECT *, list_sort([h[2], h[1], l[2], l[1]]) AS q, list_sort(a[1:4]) AS z, CASE WHEN h[1].price > h[2].price AND (l[1].price > l[2].price OR coalesce(l[1].price > l[3].price, false)) THEN 'bullish' WHEN h[1].price < h[2].price AND l[1].price < l[2].price THEN 'bearish' END AS direction FROM (
+    SELECT b.symbol, b.ts, b.open, b.high, b.low, b.close, b.atr, {_AT.format(v=_P, t='H')} AS h, {_AT.format(v=_P, t='L')} AS l, list({_P} ORDER BY p.bar_idx DESC, p.ts DESC, p.type DESC) AS a
+    FROM a1h b JOIN p21 p ON p.symbol = b.symbol AND p.confirm_idx <= b.bar_idx AND p.bar_idx > b.bar_idx - 20 GROUP BY ALL) WHERE len(h) > 1 AND len(l) > 1)""",
+    "a1h",
+    "p21",
+)
+_UNIT = "greatest(0.0, least(1.0, {x}))"
+
+
+@register(
+    "pullback_strength",
+    sql.query(
+        f"""SELECT symbol, ts, concat_ws('|', CASE WHEN NOT (CASE direction WHEN 'bullish' THEN close > open ELSE close < open END) THEN 'against' END, CASE WHEN coalesce(abs(close - open) / nullif(high - low, 0), 0) < 0.6 THEN 'small_body' END) AS failures,
+        round(CASE WHEN span IS NOT NULL THEN power({_UNIT.format(x='1 - span / 40')} * list_min(legs) / nullif(list_max(legs), 0) * {_UNIT.format(x='list_min(legs) / nullif(atr, 0)')} * {_UNIT.format(x='abs(q[4].price - q[1].price) / nullif(list_max(legs), 0)')}, 0.25) END, 6) AS strength FROM strong WHERE direction IS NOT NULL""",
+        "strong",
+    ),
+)
 def pullback_strength(spark: SparkSession, d: str) -> DataFrame:
     """The patterns' strengths and their confirmation bars' failures."""
     rows = piv.with_pattern_strength(piv.with_pullback(piv.visible_swings(piv.with_pivots(base(spark, d)), 20), retest=True)).where("pullback_direction is not null")
