@@ -188,8 +188,9 @@ def evidence_by_time(spark: SparkSession, d: str) -> DataFrame:
 def _documents(spark: SparkSession, d: str) -> DataFrame:
     facts = with_facts(hourly(spark, d))
     long = facts.unpivot(["symbol", "ts"], ["ema_20", "atr_wilder"], "name", "value")
-    done = trades(spark, d)
-    return doc.run_documents(facts, long, *_said(spark, d), done, met.ordered_balances(done))
+    done, at = trades(spark, d), folder(spark)
+    doc.run_documents(facts, long, *_said(spark, d), done, met.ordered_balances(done)).write.parquet(at)
+    return spark.read.parquet(at)
 
 
 sql.define(
