@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, lm, neardup, packing, paragraphs, quality, repeats, sharding, shingles, toxicity, wordpieces
+from tidemark.llm import common, decontaminate, lm, neardup, packing, paragraphs, quality, repeats, sharding, shingles, toxicity, wordpieces
 from tidemark.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept int, shard string, _n int"
@@ -305,6 +305,22 @@ def test_near_duplicates_equal_brute_force(spark, corpus, percent):
     assert neardup.near_duplicates(empty(spark), percent).count() == 0
 
 
+def test_near_duplicates_with_hot_elements_equal_brute_force(spark, corpus, monkeypatch):
+    """Chains of copies whose ends don't link; every shared element counts as hot."""
+    rng = random.Random(31)
+    texts = [words(rng, 84)]
+    for _ in range(60):
+        w = rng.choice(texts[-12:]).split()
+        for _ in range(rng.choice([1, 1, 4])):
+            w[rng.randrange(len(w))] = words(rng, 1)
+        texts.append(" ".join(w))
+    expected = components({i: shingled(t) for i, t in enumerate(texts)}, 85)
+    monkeypatch.setattr(common, "HOT_LEAST", 1)
+    monkeypatch.setattr(common, "HOT_SHARE", 10**6)
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs_of(spark, texts), 85).collect()} == expected
+    assert 1 < len({*expected.values()}) < len(texts)
+
+
 def test_near_duplicates_equal_sql(spark):
     import duckdb
 

@@ -17,11 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import in_order, release, written
+from tidemark.llm import common
+from tidemark.llm.common import in_order, release, salted_join, written
 from tidemark.llm.shingles import HyperMinHash
 
 #: A list of ids up to this length is broadcast; a longer one is joined by a shuffle.
 BROADCAST_IDS = 200_000
+#: Tasks over which the pairs of a hot element are dealt.
+SPREAD = 8
 #: 64-bit words of a set's bitmap.
 WORDS = 8
 _BITS = [f"b{k}" for k in range(WORDS)]
@@ -150,9 +153,15 @@ def further_pairs(buckets: DataFrame, sets: DataFrame, found: DataFrame, percent
     prefix = ordered.select("id", "c", *_BITS, n.alias("n"), F.posexplode(F.slice("_all", 1, head.cast("int"))).alias("at", "_e")).where("_e.f > 1")
     prefix = written(prefix.select("id", "c", "n", "at", F.col("_e.x").alias("x"), *_BITS), "prefixes")
     by_c = prefix.groupBy("x", "c").agg(F.count(F.lit(1)).alias("k"))
-    main = by_c.groupBy("x").agg(F.max(F.struct("k", "c")).alias("_m"), F.count(F.lit(1)).alias("_cs")).where("_cs > 1").select("x", F.col("_m.c").alias("main"))
-    mine = prefix.join(main, "x").where("c <> main")
-    other = prefix.join(main, "x").select("x", *[F.col(k).alias(f"{k}_2") for k in ("id", "n", "at", "c", *_BITS)])
+    main = by_c.groupBy("x").agg(F.max(F.struct("k", "c")).alias("_m"), F.count(F.lit(1)).alias("_cs"), F.sum("k").alias("_n")).where("_cs > 1")
+    main = written(main.select("x", F.col("_m.c").alias("main"), "_n"), "mains")
+    total = main.agg(F.sum("_n")).first()[0] or 0
+    # Elements that many sets share are dealt over several tasks: one side by its ids, the other side is repeated.
+    parts = F.when(F.col("_n") > max(common.HOT_LEAST, total // common.HOT_SHARE), SPREAD).otherwise(1)
+    rows = written(salted_join(prefix, main.withColumn("_parts", parts), ["x"], "_n", "inner", ["id"]), "prefixes")
+    release(prefix, main)
+    mine = rows.where("c <> main").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("_parts") - 1).cast("long"))))
+    other = rows.select("x", F.pmod(F.xxhash64("id"), F.col("_parts")).alias("_part"), *[F.col(k).alias(f"{k}_2") for k in ("id", "n", "at", "c", *_BITS)])
 
     def lacking(one: str, two: str) -> Column:
         return reduce(Column.__add__, [F.bit_count(F.col(f"{b}{one}").bitwiseAND(F.bitwise_not(F.col(f"{b}{two}")))) for b in _BITS])
@@ -161,7 +170,7 @@ def further_pairs(buckets: DataFrame, sets: DataFrame, found: DataFrame, percent
     fits = (F.col("c") != F.col("c_2")) & ((F.col("c_2") == F.col("main")) | (F.col("id") < F.col("id_2")))
     fits &= (F.least("n", "n_2") * 100 >= F.greatest("n", "n_2") * percent) & (F.least(F.col("n") - F.col("at"), F.col("n_2") - F.col("at_2")) * both >= need)
     fits &= ((F.col("n") - lacking("", "_2")) * both >= need) & ((F.col("n_2") - lacking("_2", "")) * both >= need)
-    pairs = mine.alias("s").join(other.alias("o"), (F.col("s.x") == F.col("o.x")) & fits)
+    pairs = mine.alias("s").join(other.alias("o"), (F.col("s.x") == F.col("o.x")) & (F.col("s._part") == F.col("o._part")) & fits)
     a, b = in_order(F.col("id"), F.col("id_2"))
     most = F.least(F.col("n") - lacking("", "_2"), F.col("n_2") - lacking("_2", "")) / (F.col("n") + F.col("n_2"))
     return pairs.select(a.alias("a"), b.alias("b"), most.alias("most")).distinct()
