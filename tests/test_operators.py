@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import note_state, pip_size, review_tag
-from tidemark.operators import dashboards, documents, extension, indicators, labels, metrics, pivots, resampling, review, sweeps
+from tidemark.operators import candidates, dashboards, documents, extension, indicators, labels, metrics, pivots, resampling, review, sweeps
 from tidemark.operators.indicators import indexed
 from tidemark.sources import bars as src
 from tidemark.streaming import positions
@@ -154,6 +154,50 @@ def test_documents_survive_torn_and_odd_ones(spark):
     assert documents.texts_of(opened, "patterns_by_ts").count() == 3 and documents.trades_of(opened).count() == 0
 
 
+def test_swing_stops_and_clear_rewards_equal_a_loop(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(150):
+        swings = [(k, T0, "LH"[int(rng.integers(2))], float(100 + rng.normal(0, 4))) for k in range(int(rng.integers(0, 6)))]
+        rows.append((f"c{i}", ["bullish", "bearish"][i % 2], float(100 + rng.normal()), float(abs(rng.normal(1.5, 0.7))) + 0.1, swings, [float(x) for x in 100 + rng.normal(0, 7, int(rng.integers(0, 5)))]))
+    df = spark.createDataFrame(rows, f"candidate_id string, direction string, close double, atr double, swings array<{pivots.PIVOT}>, levels array<double>")
+    got = {r["candidate_id"]: r for r in candidates.risk_candidates(df, 3.0, 0.3).collect()}
+    reasons = set()
+    for name, direction, entry, atr, swings, levels in rows:
+        s = 1 if direction == "bullish" else -1
+
+        def reward(stop, s=s, entry=entry, atr=atr, levels=levels):
+            for rr in candidates.REWARDS:
+                target = entry + s * rr * abs(entry - stop)
+                if not any(min(entry, target) < x < max(entry, target) or abs(x - target) < 0.3 * atr for x in levels):
+                    return rr
+            return None
+
+        own = [p[3] for p in swings if p[2] == ("L" if s > 0 else "H") and (entry - p[3]) * s > 0]
+        stop = own[-1] - s * 0.1 * atr if own else entry - s * 2 * atr
+        rr, why = reward(stop), None
+        if abs(entry - stop) > 3 * atr:
+            why = "stop_too_wide"
+        elif any(min(entry, stop) < x < max(entry, stop) for x in levels):
+            why = "stop_crosses_level"
+        elif rr is None:
+            why = "no_clear_target"
+        spaced = False
+        if why:
+            for w in [round(0.1 * k, 10) for k in range(30, 4, -1)]:
+                at = entry - s * w * atr
+                if (found := reward(at)) is not None and not any(abs(x - at) < 0.3 * atr for x in levels):
+                    stop, rr, why, spaced = at, found, None, True
+                    break
+        reasons.add((why, spaced))
+        r = got[name]
+        assert (r["reject_reason"], bool(r["spaced"])) == (why, spaced), name
+        assert r["stop"] == pytest.approx(stop) and r["rr"] == pytest.approx(rr)
+        if rr:
+            assert r["target"] == pytest.approx(entry + s * rr * abs(entry - stop))
+    assert len(reasons) >= 4
+
+
 def test_costs_and_balances_of_odd_books(spark):
     rows = spark.createDataFrame([("a", "bullish", "win", "target", 2.0, 100.0, 97.0, 30.0, 60.0, T0, T0 + dt.timedelta(days=100)), ("a", "bullish", "loss", "stop", -1.0, 100.0, 97.0, 30.0, -30.0, T0, T0 + dt.timedelta(days=200))], "symbol string, direction string, result string, exit_reason string, r double, entry double, stop double, risk_amount double, pnl double, submit_ts timestamp, exit_ts timestamp").withColumn("candidate_id", F.col("exit_reason"))
     assert metrics.risk_fraction(rows, 1000.0, "symbol").first()["risk_fraction"] == pytest.approx(0.03)

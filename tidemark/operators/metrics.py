@@ -227,3 +227,11 @@ def study_stats(trades: DataFrame, cost_r: float, *by: str) -> DataFrame:
     out = trades.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), (100 * F.try_divide(F.count_if(won()), F.count_if(decided()))).alias("win_pct"), F.avg("r").alias("mean_r"), F.stddev_samp("r").alias("_sd"))
     se = F.try_divide(F.col("_sd"), F.sqrt("n"))
     return out.select(*by, "n", "win_pct", "mean_r", (F.col("mean_r") - cost_r).alias("mean_net_r"), (1.96 * se).alias("half_width"), F.try_divide(F.col("mean_r"), se).alias("t_value"))
+
+
+def study_costs(trades: DataFrame, spread: float = 0.001, stop_atr: float = 1.5, *by: str) -> DataFrame:
+    """A spread in units of R, by the median of atr / entry; the shares of exits in percent; mean R with and without what ran out of time, before and after the cost."""
+    cost = spread / (stop_atr * F.median(F.col("atr") / F.col("entry")))
+    part = lambda r: (100 * F.avg((F.col("exit_reason") == r).cast("double"))).alias(f"{r}_pct")
+    out = trades.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), cost.alias("cost_r"), *[part(r) for r in ("target", "stop", "timeout")], F.avg("r").alias("mean_r"), F.avg(F.when(F.col("exit_reason") != "timeout", F.col("r"))).alias("mean_in_time_r"))
+    return out.withColumn("mean_net_r", F.col("mean_r") - F.col("cost_r"))

@@ -307,3 +307,20 @@ def note_texts(spark: SparkSession, d: str) -> DataFrame:
     cell = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("# x\n<!-- REVIEW: note "), F.col("doc_id").cast("string"), F.lit(" -->"))).otherwise("plain")
     symbol = F.when(F.col("doc_id") % 2 == 0, "USDJPY").otherwise("EURUSD")
     return rows.select("doc_id", txt.note_state(F.col("text")).alias("state"), txt.review_tag(cell).alias("tag"), txt.distance_text(symbol, F.col("n_chars") / 100.0, F.lit(0.0)).alias("distance"))
+
+
+_STUDY = ["cost_r", "target_pct", "stop_pct", "timeout_pct", "mean_r", "mean_in_time_r", "mean_net_r"]
+
+
+@register(
+    "study_costs",
+    sql.query(
+        f"""SELECT symbol, n, {_r(*_STUDY)} FROM (SELECT t.symbol, count(*) AS n, 0.001 / (1.5 * median(c.atr / c.entry)) AS cost_r, {", ".join(f"100 * avg((exit_reason = '{x}')::INT) AS {x}_pct" for x in ("target", "stop", "timeout"))},
+        avg(r) AS mean_r, avg(r) FILTER (exit_reason <> 'timeout') AS mean_in_time_r, avg(r) - cost_r AS mean_net_r FROM trades t JOIN cand c USING (candidate_id) GROUP BY t.symbol)""",
+        "trades",
+        "cand",
+    ),
+)
+def study_costs(spark: SparkSession, d: str) -> DataFrame:
+    """A tenth of a percent as a cost of the study's trades."""
+    return rounded(met.study_costs(trades(spark, d), 0.001, 1.5, "symbol"), "symbol", "n", **_same(*_STUDY))

@@ -114,7 +114,7 @@ def level_relations(spark: SparkSession, d: str) -> DataFrame:
 
 @register("swing_stop_candidates")
 def swing_stop_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates with swing stops, clear rewards and the widest-stop fallback."""
+    """Candidates with swing stops, clear rewards and the widest-stop fallback; the operator is held against a loop in the tests."""
     bars = base(spark, d)
     seen = piv.visible_swings(piv.with_pivots(bars), 20).select("symbol", "bar_idx", "swings", "close")
     rows = with_levels(breakouts_of(bars)[0], bars).drop("stop", "target", "entry").join(seen, ["symbol", "bar_idx"])
