@@ -17,7 +17,7 @@ from tidemark.plans.bar_queries import hourly, rounded, with_facts
 from tidemark.plans.metric_queries import COSTS
 from tidemark.plans.registry import oracle_sql, queries, register
 from tidemark.plans.stream_queries import folder
-from tidemark.plans.trade_queries import base, breakout_signals_of, pullbacks_of, reversions_of, trades
+from tidemark.plans.trade_queries import base, breakout_signals_of, pullbacks_of, trades
 from tidemark.sources import bars as src
 
 
