@@ -544,7 +544,7 @@ def test_arcs_are_learned_from_clauses(spark):
     assert low["negated"] * 0.95 < 0.3 and low["reported"] == 0.25
 
 
-def test_scores_beat_the_base_on_held_out_documents(spark):
+def test_scores_beat_the_base_on_held_out_documents(spark, few_sweeps):
     rng = random.Random(3)
     texts = [words(rng, rng.randint(20, 80)) for _ in range(150)]
     docs = spark.createDataFrame([*enumerate(texts), (500, None), (501, "")], "doc_id long, text string")
@@ -562,6 +562,12 @@ def test_scores_beat_the_base_on_held_out_documents(spark):
     assert sum(out[i]["score"] for i in held) > sum(out[i]["base_score"] for i in held)
 
 
+@pytest.fixture
+def few_sweeps(monkeypatch):
+    monkeypatch.setattr(lm, "SWEEPS", 3)
+    monkeypatch.setattr(lm, "BURN_IN", 1)
+
+
 def test_tables_are_drawn_from_their_exact_conditional():
     """Against the enumerated seatings, and against a sampler that takes one customer out and seats it again."""
     rng = np.random.default_rng(2)
@@ -586,7 +592,7 @@ def test_tables_are_drawn_from_their_exact_conditional():
     assert lm.tables_drawn(np.array([0, 1, 10**7]), np.array([0, 9, 3000]), np.array([0.5, 0.5, 0.03]), np.array([0.5, 0.5, 0.5]))[:2].tolist() == [0, 1]
 
 
-def test_probabilities_of_words_and_of_spelling_sum_to_one(spark):
+def test_probabilities_of_words_and_of_spelling_sum_to_one(spark, few_sweeps):
     p = lm.Shared()
     p.data = {(32 << 8) | 97: 5, (32 << 8) | 98: 1}
     p.sweep({(97 << 8) | 32: 4}, 0)
@@ -614,16 +620,15 @@ def test_probabilities_of_words_and_of_spelling_sum_to_one(spark):
     assert n > 100 and sums == pytest.approx(1.0, abs=1e-3)
 
 
-def test_scores_do_not_depend_on_how_spelling_is_looked_up(spark, monkeypatch):
+def test_scores_do_not_depend_on_how_spelling_is_looked_up(spark, few_sweeps, monkeypatch):
     rng = random.Random(6)
     docs = spark.createDataFrame([(i, words(rng, 30)) for i in range(20)], "doc_id long, text string")
-    monkeypatch.setattr(lm, "SWEEPS", 3)
     one = {r["doc_id"]: r["score"] for r in lm.scores(docs).collect()}
     monkeypatch.setattr(lm, "BROADCAST_KEYS", 0)
     assert {r["doc_id"]: r["score"] for r in lm.scores(docs).collect()} == pytest.approx(one, rel=1e-4)
 
 
-def test_scores_depend_on_word_order_and_hold_in_all_cases(spark):
+def test_scores_depend_on_word_order_and_hold_in_all_cases(spark, few_sweeps):
     rng = random.Random(5)
     pool = words(rng, 30).split()
     held = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
