@@ -47,12 +47,28 @@ def stream_resample(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rows, "symbol", "ts", "volume", open="open", high="high", low="low", close="close")
 
 
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def position_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Entries and exits of a stream over the files of the hourly bars; its keyed state needs the RocksDB store."""
+    at, before = folder(spark), spark.conf.get(_STORE)
+    hourly(spark, d).select("symbol", "ts", "high", "low", "close").write.parquet(at)
+    bars = spark.readStream.schema("symbol string, ts timestamp, high double, low double, close double").parquet(at)
+    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return drained(positions.stream_events(bars), "append")
+    finally:
+        spark.conf.set(_STORE, before)
+
+
 @register("position_events")
 def position_events(spark: SparkSession, d: str) -> DataFrame:
-    """Entries and exits over hourly bars; the tests hold the stream's against these."""
-    return rounded(positions.batch_events(hourly(spark, d)), "symbol", "ts", "kind", "direction", "reason", price="price", r="r")
+    """Entries and exits over hourly bars; the tests hold the stream's against those of a table."""
+    return rounded(position_stream(spark, d), "symbol", "ts", "kind", "direction", "reason", price="price", r="r")
 
 
 @register("position_alerts")
 def position_alerts(spark: SparkSession, d: str) -> DataFrame:
-    return positions.alerts(positions.batch_events(hourly(spark, d))).select("symbol", "ts", F.col("line"))
+    """The lines of the stream's entries and exits."""
+    return positions.alerts(position_stream(spark, d)).select("symbol", "ts", F.col("line"))
