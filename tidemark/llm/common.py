@@ -91,19 +91,19 @@ def unused(name: str, *tables: DataFrame) -> str:
 def salted_join(rows: DataFrame, keys: DataFrame, on: list[str], n: str, how: str, by: list[str]) -> DataFrame:
     """``rows`` joined with ``keys`` (written; a row for each value of ``on``, whose column ``n`` says how many of ``rows`` have it).
 
-    A value that over one in HOT_SHARE of these rows have (so there are fewer than HOT_SHARE such values, and they are
+    The keys' side is hashed, not sorted: no value fills it. A value that over one in HOT_SHARE of these rows have (so there are fewer than HOT_SHARE such values, and they are
     broadcast) is dealt over SALTS tasks, by a hash of the columns ``by``, and stands in ``keys`` as often.
     """
     total = keys.agg(F.sum(n)).first()[0] or 0
     hot = keys.where(F.col(n) > max(HOT_LEAST, total // HOT_SHARE)).select(*on)
     keys = keys.drop(n)
     if hot.isEmpty():
-        return rows.join(keys, on, how)
+        return rows.join(keys.hint("shuffle_hash"), on, how)
     hot = F.broadcast(hot.withColumn("_hot", F.lit(SALTS)))
     parts = lambda t: t.join(hot, on, "left").withColumn("_hot", F.coalesce("_hot", F.lit(1)))
     left = parts(rows).withColumn("_salt", F.pmod(F.xxhash64(*by), F.col("_hot"))).drop("_hot")
     right = parts(keys).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("_hot") - 1).cast("long")))).drop("_hot")
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+    return left.join(right.hint("shuffle_hash"), [*on, "_salt"], how).drop("_salt")
 
 
 def numbered(df: DataFrame, within: list[str], by: list[str], name: str, buckets: int = 1024) -> DataFrame:
