@@ -3,8 +3,8 @@
 Copies make large buckets, in which all pairs are out of the question. Each bucket's members are held against its hub, the
 member that shares buckets with most others, and confirmed links give components. Only where a bucket still holds several components
 can a link be missing; there, a prefix filter over the sets finds every further pair that can reach the threshold and whose ends
-are in different components. It orders elements by rarity, so what a copy alone has prunes it. No pair within a component is made. Of those
-pairs, each set's likeliest is confirmed first, and then all whose ends are still in different components.
+are in different components. It orders elements by rarity, so what a copy alone has prunes it. No pair within a component is made. For each
+element, the sets outside its main component meet one set of it first, a few times: groups of near copies grow together by that, before any pairs are made.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from tidemark.llm.shingles import HyperMinHash
 
 #: A list of ids up to this length is broadcast; a longer one is joined by a shuffle.
 BROADCAST_IDS = 200_000
+#: Rounds in which each element's sets meet one of its main component.
+WITNESSES = 2
 #: Tasks over which the pairs of a hot element are dealt.
 SPREAD = 8
 #: 64-bit words of a set's bitmap.
@@ -131,11 +133,9 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(packed[:, k]) for k in range(WORDS))], ["id", *_BITS])
 
 
-def further_pairs(buckets: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame | None:
-    """Pairs (a, b) in different components of ``found`` that may link, with the most that they can share, or None where every bucket is in one component.
-
-    Two sets that reach the threshold share one of their rarest elements, at places that leave enough to share, and each has few bits
-    that the other lacks (a bit that only one set has is an element that only it has): bounds that no link can fail.
+def prefixes(buckets: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame | None:
+    """id, n, at, x and bitmap: the rarest elements of each set in a bucket of several components, as many as any two sets that link must share
+    one of, at their places in the order of rarity. Elements of one set alone are left out. Written; None where no bucket has several components.
     """
     own = F.coalesce("component", "id")
     several = buckets.join(found, "id", "left").groupBy("key").agg(F.min(own).alias("_low"), F.max(own).alias("_high")).where("_low < _high").select("key")
@@ -149,39 +149,58 @@ def further_pairs(buckets: DataFrame, sets: DataFrame, found: DataFrame, percent
     n = F.size("_all")
     head = n - F.ceil(n * percent / 100) + 1
     bits = some.mapInArrow(_bitmaps, "id long, " + ", ".join(f"{b} long" for b in _BITS))
-    ordered = ordered.join(bits, "id").join(found, "id", "left").withColumn("c", own)
-    prefix = ordered.select("id", "c", *_BITS, n.alias("n"), F.posexplode(F.slice("_all", 1, head.cast("int"))).alias("at", "_e")).where("_e.f > 1")
-    prefix = written(prefix.select("id", "c", "n", "at", F.col("_e.x").alias("x"), *_BITS), "prefixes")
-    by_c = prefix.groupBy("x", "c").agg(F.count(F.lit(1)).alias("k"))
-    main = by_c.groupBy("x").agg(F.max(F.struct("k", "c")).alias("_m"), F.count(F.lit(1)).alias("_cs"), F.sum("k").alias("_n")).where("_cs > 1")
+    prefix = ordered.join(bits, "id").select("id", *_BITS, n.alias("n"), F.posexplode(F.slice("_all", 1, head.cast("int"))).alias("at", "_e")).where("_e.f > 1")
+    return written(prefix.select("id", "n", "at", F.col("_e.x").alias("x"), *_BITS), "prefixes")
+
+
+def at_mains(prefix: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of elements that sets of several components share, with their component c, the element's main one (most of its sets) and _parts.
+
+    Elements that many sets share are dealt over _parts tasks. Written.
+    """
+    rows = prefix.join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    main = rows.groupBy("x", "c").agg(F.count(F.lit(1)).alias("k"))
+    main = main.groupBy("x").agg(F.max(F.struct("k", "c")).alias("_m"), F.count(F.lit(1)).alias("_cs"), F.sum("k").alias("_n")).where("_cs > 1")
     main = written(main.select("x", F.col("_m.c").alias("main"), "_n"), "mains")
     total = main.agg(F.sum("_n")).first()[0] or 0
-    # Elements that many sets share are dealt over several tasks: one side by its ids, the other side is repeated.
     parts = F.when(F.col("_n") > max(common.HOT_LEAST, total // common.HOT_SHARE), SPREAD).otherwise(1)
-    rows = written(salted_join(prefix, main.withColumn("_parts", parts), ["x"], "_n", "inner", ["id"]), "prefixes")
-    release(prefix, main)
-    mine = rows.where("c <> main").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("_parts") - 1).cast("long"))))
-    other = rows.select("x", F.pmod(F.xxhash64("id"), F.col("_parts")).alias("_part"), *[F.col(k).alias(f"{k}_2") for k in ("id", "n", "at", "c", *_BITS)])
+    out = written(salted_join(rows, main.withColumn("_parts", parts), ["x"], "_n", "inner", ["id"]), "prefixes")
+    release(main)
+    return out
+
+
+def _fits(percent: int) -> Column:
+    """Bounds that no link can fail: two sets share an element at places that leave enough to share, and each has few bits that the other lacks
+    (a bit that only one set has is an element that only it has)."""
 
     def lacking(one: str, two: str) -> Column:
         return reduce(Column.__add__, [F.bit_count(F.col(f"{b}{one}").bitwiseAND(F.bitwise_not(F.col(f"{b}{two}")))) for b in _BITS])
 
     need, both = (F.col("n") + F.col("n_2")) * percent, 100 + percent
-    fits = (F.col("c") != F.col("c_2")) & ((F.col("c_2") == F.col("main")) | (F.col("id") < F.col("id_2")))
-    fits &= (F.least("n", "n_2") * 100 >= F.greatest("n", "n_2") * percent) & (F.least(F.col("n") - F.col("at"), F.col("n_2") - F.col("at_2")) * both >= need)
-    fits &= ((F.col("n") - lacking("", "_2")) * both >= need) & ((F.col("n_2") - lacking("_2", "")) * both >= need)
-    pairs = mine.alias("s").join(other.alias("o"), (F.col("s.x") == F.col("o.x")) & (F.col("s._part") == F.col("o._part")) & fits)
+    fits = (F.least("n", "n_2") * 100 >= F.greatest("n", "n_2") * percent) & (F.least(F.col("n") - F.col("at"), F.col("n_2") - F.col("at_2")) * both >= need)
+    return fits & ((F.col("n") - lacking("", "_2")) * both >= need) & ((F.col("n_2") - lacking("_2", "")) * both >= need)
+
+
+_OTHER = ("id", "n", "at", "c", *_BITS)
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
     a, b = in_order(F.col("id"), F.col("id_2"))
-    most = F.least(F.col("n") - lacking("", "_2"), F.col("n_2") - lacking("_2", "")) / (F.col("n") + F.col("n_2"))
-    return pairs.select(a.alias("a"), b.alias("b"), most.alias("most")).distinct()
+    return rows.select(a.alias("a"), b.alias("b")).distinct()
 
 
-def likeliest(pairs: DataFrame) -> DataFrame:
-    """Of the pairs (a, b, most), for each id the one that may share most."""
-    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))).alias("x"), "most")
-    best = ends.groupBy("x.id").agg(F.max(F.struct("most", "x.other")).alias("_b")).select("id", F.col("_b.other").alias("other"))
-    a, b = in_order(F.col("id"), F.col("other"))
-    return best.select(a.alias("a"), b.alias("b")).distinct()
+def witness_pairs(rows: DataFrame, percent: int, turn: int) -> DataFrame:
+    """For each element, its sets outside the main component beside one of the main component: no more pairs than rows."""
+    one = rows.where("c = main").groupBy("x").agg(F.max_by(F.struct(*_OTHER), F.xxhash64("id", "x", F.lit(turn))).alias("_w")).select(F.col("x").alias("_x"), *[F.col(f"_w.{k}").alias(f"{k}_2") for k in _OTHER])
+    return _pairs(rows.where("c <> main").join(one, (F.col("x") == F.col("_x")) & _fits(percent)))
+
+
+def further_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of different components that may link."""
+    mine = rows.where("c <> main").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("_parts") - 1).cast("long"))))
+    other = rows.select("x", F.pmod(F.xxhash64("id"), F.col("_parts")).alias("_part"), *[F.col(k).alias(f"{k}_2") for k in _OTHER])
+    apart = (F.col("c") != F.col("c_2")) & ((F.col("c_2") == F.col("main")) | (F.col("id") < F.col("id_2")))
+    return _pairs(mine.alias("s").join(other.alias("o"), (F.col("s.x") == F.col("o.x")) & (F.col("s._part") == F.col("o._part")) & apart & _fits(percent)))
 
 
 def linked(buckets: DataFrame, sets: DataFrame, percent: int, sketches: HyperMinHash | None = None) -> DataFrame:
@@ -191,18 +210,16 @@ def linked(buckets: DataFrame, sets: DataFrame, percent: int, sketches: HyperMin
     """
     links = written(confirmed(hub_pairs(buckets), sets, percent, sketches), "links")
     found = written(components(links), "components")
-    more = further_pairs(buckets, sets, found, percent)
-    if more is None:
+    prefix = prefixes(buckets, sets, found, percent)
+    if prefix is None:
         return found
-    more = written(more, "pairs")
-    # The likeliest partner of each first: what is in one component then needs no further comparison.
-    for pairs in (likeliest(more), None):
-        if pairs is None:
-            of = lambda k: found.select(F.col("id").alias(f"_{k}"), F.col("component").alias(f"c_{k}"))  # noqa: B023, E731
-            known = more.join(of("a"), F.col("a") == F.col("_a"), "left").join(of("b"), F.col("b") == F.col("_b"), "left")
-            pairs = known.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+    # Witnesses first: what they bring into one component needs no further comparison. Then all that is left.
+    for turn in range(WITNESSES + 1):
+        rows = at_mains(prefix, found)
+        pairs = witness_pairs(rows, percent, turn) if turn < WITNESSES else further_pairs(rows, percent)
         extra = written(confirmed(pairs, sets, percent, sketches, True), "links")
         if not extra.isEmpty():
             found = written(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(extra)), "components")
-    release(links, more)
+        release(rows, extra)
+    release(links, prefix)
     return found
