@@ -6,15 +6,15 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, lm, neardup, packing, paragraphs, quality, repeats, sharding, toxicity, wordpieces
+from tidemark.llm import decontaminate, lm, neardup, packing, paragraphs, quality, repeats, sharding, tokenfiles, toxicity, wordpieces
 from tidemark.llm.common import read
 
 
-def tokenizer_path() -> str:
-    """The public 49k word vocabulary; any other file of the tokenizers library will do."""
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """A public vocabulary; any other file of the tokenizers library will do."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op10_decontaminate": op10_decontaminate, "op2_quality": op2_quality, "op3_scores": op3_scores, "op4_packing": op4_packing, "op5_repeats": op5_repeats, "op6_token_counts": op6_token_counts, "op7_paragraphs": op7_paragraphs, "op8_near_duplicates": op8_near_duplicates, "op9_sharding": op9_sharding}
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.token_files(read(spark, sf_dir, "documents"), Path(tokenizer_path("byte_bpe_50k.json")).read_bytes(), 2)
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op10_decontaminate": op10_decontaminate, "op13_token_files": op13_token_files, "op2_quality": op2_quality, "op3_scores": op3_scores, "op4_packing": op4_packing, "op5_repeats": op5_repeats, "op6_token_counts": op6_token_counts, "op7_paragraphs": op7_paragraphs, "op8_near_duplicates": op8_near_duplicates, "op9_sharding": op9_sharding}
 #: The others learn, tokenize, align or count bytes beyond SQL's means: the tests hold them against brute-force versions.
 ORACLE_SQL: dict[str, str] = {
     "op8_near_duplicates": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
