@@ -17,6 +17,7 @@ the next block; a document never leaves its file.
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import struct
@@ -34,10 +35,9 @@ from tidemark.llm.common import release, shared_dir, texts, written
 
 #: Longest code in bits (more where a vocabulary needs them), tokens of a block, tokens from checkpoint to checkpoint, tokens of a file (about).
 LIMIT, BLOCK, STRIDE, FILE = 16, 65_536, 64, 4_000_000
-#: Chunks whose ids a worker remembers at once, and the longest that it remembers.
-REMEMBERED, LONGEST = 1_000_000, 64
+#: Chunks whose ids a worker remembers at once, the longest (in bytes) that it remembers, and texts that are encoded together.
+REMEMBERED, LONGEST, TEXTS = 1_200_000, 64, 10_000
 _HEADER, _BLOCK, _END = struct.Struct("<4sIBII"), struct.Struct("<4sIIIIB"), struct.Struct("<4sIQQ")
-_CHUNK = re.compile(r"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 #: Characters that are or may be taken for white space beyond ASCII's.
 _ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
 
@@ -115,9 +115,9 @@ class Code:
 class _Encoder:
     """Ids of texts as little-endian numbers of ``width`` bytes.
 
-    Where the tokenizer is byte-level BPE under its library's fixed pattern, no match of the pattern holds white space after anything else, and
-    what white space matches depends on the next character at most. So each run of white space with the run after it has its ids
-    to itself, and they are remembered. Texts with white space beyond ASCII's, and all texts of other tokenizers, are encoded whole.
+    Where the tokenizer is byte-level BPE under its library's fixed pattern, no match of the pattern holds white space after anything else, and what white
+    space matches depends on the next character at most. So each run of white space with the run after it has its ids to itself; a batch's distinct
+    ones are looked up and, where new, encoded and remembered. Texts with white space beyond ASCII's, and all texts of other tokenizers, are encoded whole.
     """
 
     def __init__(self, tokenizer_json: bytes, width: int) -> None:
@@ -126,30 +126,83 @@ class _Encoder:
         parts = json.loads(tokenizer_json)
         before = parts.get("pre_tokenizer") or {}
         self.by_chunk = parts.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
-        self.tokenizer, self.kind, self.known = Tokenizer.from_buffer(tokenizer_json), f"<u{width}", {}
+        self.tokenizer, self.kind, self.known = Tokenizer.from_buffer(tokenizer_json), np.dtype(f"<u{width}"), {}
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
 
-    def _encode(self, some: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-
-    def of(self, text: str) -> bytes:
-        if not self.by_chunk or _ODD.search(text):
-            return self._encode([text])[0]
-        chunks, known = _CHUNK.findall(text), self.known
-        try:
-            return b"".join(map(known.__getitem__, chunks))
-        except KeyError:
-            new = [*{c for c in chunks if c not in known}]
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = [*{*chunks}]
-        now = dict(zip(new, self._encode(new), strict=True))
-        known.update((c, v) for c, v in now.items() if len(c) <= LONGEST)
-        return b"".join([known[c] if c in known else now[c] for c in chunks])
-
-
+    def _encode(self, some: list[bytes]) -> list[bytes]:
+        """A space and letters are one match whatever stands around: the library's model takes them directly. All else goes through all its steps."""
+        words = [bool(self.by_chunk and _WORD.match(x)) for x in some]
+        rest = iter(self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x, w in zip(some, words, strict=True) if not w], add_special_tokens=False))
+        of = self.tokenizer.model.tokenize
+        ids = [[t.id for t in of((x.decode() if x.isascii() else x.decode("latin-1").translate(_BYTES)).replace(" ", _BYTES[32]))] if w else next(rest).ids for x, w in zip(some, words, strict=True)]
+        flat = np.fromiter(itertools.chain.from_iterable(ids), self.kind).tobytes()
+        ends = [0, *itertools.accumulate(self.kind.itemsize * len(x) for x in ids)]
+        return [flat[a:b] for a, b in itertools.pairwise(ends)]
+
+    def _learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of new chunks. A letter and a full stop or comma at the end of one are always two matches, so words are encoded without it."""
+        marked = [x for x in chunks if x[-1:] in _MARKS and x[-2:-1].isalpha()] if self.by_chunk else []
+        known = self.known
+        whole = {*chunks}.difference(marked).union([x[:-1] for x in marked], _MARKS if marked else ())
+        now = {x: known[x] for x in whole if x in known}
+        new = [*whole.difference(now)]
+        now.update(zip(new, self._encode(new), strict=True))
+        marks = {m: now[m] for m in _MARKS} if marked else {}
+        now.update([(x, now[x[:-1]] + marks[x[-1:]]) for x in marked])
+        return now
+
+    def of(self, distinct: list[bytes]) -> list[bytes]:
+        known = self.known
+        found = [known.get(x) for x in distinct]
+        if new := [x for x, v in zip(distinct, found, strict=True) if v is None]:
+            now = self._learn(new)
+            if len(known) + len(now) > REMEMBERED:
+                known.clear()
+            known.update((x, v) for x, v in now.items() if len(x) <= LONGEST)
+            found = [now[x] if v is None else v for x, v in zip(distinct, found, strict=True)]
+        return found
+
+    def ids(self, texts: pa.BinaryArray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, ``end`` after each, and how many each text has."""
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets -= offsets[0]
+        starts = np.zeros(len(data) + 1, dtype=bool)
+        if self.by_chunk:
+            space = (data == 32) | ((data >= 9) & (data <= 13))
+            starts[1:-1] = space[1:] & ~space[:-1]
+            doubtful = ((data >= 0x1C) & (data <= 0x1F)) | (data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3)) | (data == 0xEF)
+            for i in np.unique(np.searchsorted(offsets, np.flatnonzero(doubtful), side="right") - 1):
+                if _ODD.search(texts[int(i)].as_py().decode("utf-8", "replace")):
+                    starts[offsets[i] : offsets[i + 1]] = False
+        starts[offsets] = True
+        starts[-1] = False
+        at = np.flatnonzero(starts)
+        chunks = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.append(at, len(data)).astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
+        distinct = self.of(_slices(chunks.dictionary))
+        # the end stands as one more chunk behind each text's
+        order = np.insert(chunks.indices.to_numpy(), np.searchsorted(at, offsets[1:]), len(distinct))
+        pool = np.frombuffer(b"".join([*distinct, end.to_bytes(self.kind.itemsize, "little")]), self.kind)
+        sizes = np.array([*map(len, distinct), self.kind.itemsize], dtype=np.int64) // self.kind.itemsize
+        firsts, each = np.cumsum(sizes) - sizes, sizes[order]
+        ends = np.cumsum(each)
+        ids = pool[np.repeat(firsts[order] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, np.diff(ends[np.flatnonzero(order == len(distinct))], prepend=0)
+
+
+def _slices(values: pa.BinaryArray) -> list[bytes]:
+    raw, ends = (values.buffers()[2] or pa.py_buffer(b"")).to_pybytes(), np.frombuffer(values.buffers()[1], np.int32)[: len(values) + 1].tolist()
+    return [raw[a:b] for a, b in itertools.pairwise(ends)]
+
+
+_MARKS = (b".", b",")
+#: A space at most, then letters of which no Unicode version doubts that they are: A-Z, and U+00C0 to U+023F without the two signs.
+_WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf])+\Z")
+#: Byte-level BPE's letters for bytes (a fixed rule): visible ones stand for themselves, the others for U+0100 on, in order.
+_VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 _worker: dict[tuple[int, int], _Encoder] = {}
 
 
@@ -167,10 +220,13 @@ def token_rows(docs: DataFrame, tokenizer_json: bytes, end_id: int) -> DataFrame
         key = (zlib.crc32(held.value), width)
         if key not in _worker:
             _worker[key] = _Encoder(held.value, width)
-        of, last = _worker[key].of, end.to_bytes(width, "little")
-        for batch in batches:
-            ids = [of(t.as_py().decode("utf-8", "replace")) + last for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+        for whole in batches:
+            for i in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(i, TEXTS)
+                ids, n = _worker[key].ids(batch.column("text"), end)
+                offsets = (np.cumsum(np.append(0, n)) * width).astype(np.int32)
+                values = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), values], ["doc_id", "n_tokens", "ids"])
 
     return texts(docs).mapInArrow(encode, "doc_id long, n_tokens long, ids binary")
 
@@ -275,7 +331,7 @@ def documents_of(content: bytes) -> Iterator[tuple[int, int | None, int, np.ndar
         _, size, n_docs, n_ids, stride, goes_on = _BLOCK.unpack_from(content, at + 1)
         at += 1 + _BLOCK.size
         body = memoryview(content)[at : at + size]
-        if zlib.crc32(body) != struct.unpack_from("<I", content, at + size)[0]:
+        if at + size + 4 > len(content) or zlib.crc32(body) != struct.unpack_from("<I", content, at + size)[0]:
             raise ValueError("a damaged block")
         at += size + 4
         doc_ids, nulls, counts = np.frombuffer(body, "<i8", n_docs), np.frombuffer(body, np.uint8, n_docs, 8 * n_docs), np.frombuffer(body, "<u4", n_docs, 9 * n_docs)
