@@ -40,3 +40,6 @@ from tidemark.plans import metric_queries  # noqa: E402, F401
 from tidemark.plans import stream_queries  # noqa: E402, F401
 from tidemark.plans import upkeep_queries  # noqa: E402, F401
 from tidemark.plans import report_queries  # noqa: E402, F401
+from tidemark.plans import analysis_queries  # noqa: E402, F401
+from tidemark.plans import keyed_queries  # noqa: E402, F401
+from tidemark.plans import store_queries  # noqa: E402, F401
