@@ -269,3 +269,47 @@ def test_small_texts(spark):
     df = spark.createDataFrame([("USDJPY", "<!-- REVIEW: a b -->", ""), ("EURUSD", "none", None)], "s string, c string, n string")
     got = df.select(pip_size(F.col("s")).alias("p"), review_tag(F.col("c")).alias("t"), note_state(F.col("n")).alias("n")).collect()
     assert [tuple(r) for r in got] == [(0.01, "a b", "empty"), (0.0001, None, "none")]
+
+
+@pytest.mark.parametrize("exclusive", [True, False])
+def test_lanes_by_islands_are_the_walk_over_all(spark, exclusive):
+    import random
+
+    rng = random.Random(4)
+    rows = [(s, f"{s}{i}", b, b + rng.randint(0, 6)) for s in ("x", "y") for i, b in enumerate(sorted(rng.randint(0, 120) for _ in range(60)))]
+    expected, free = set(), {}
+    for s, c, a, b in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+        if s not in free or (a > free[s] if exclusive else a >= free[s]):
+            expected.add(c)
+            free[s] = b
+    got = labels.lanes(spark.createDataFrame(rows, "symbol string, candidate_id string, bar_idx long, exit_idx long"), exclusive)
+    assert got.columns == ["symbol", "candidate_id", "bar_idx", "exit_idx"] and {r["candidate_id"] for r in got.collect()} == expected
+
+
+@pytest.mark.parametrize("fraction", [0.05, 0.6])
+def test_ledger_by_islands_is_the_walk_over_all(spark, fraction):
+    """With the larger fraction some books lose everything on the way."""
+    import random
+
+    rng = random.Random(9)
+    rows = []
+    for b in ("a", "b", "c"):
+        for i in range(40):
+            start = rng.randint(0, 90)
+            rows.append((b, f"{b}{i:02d}", T0 + dt.timedelta(hours=start), T0 + dt.timedelta(hours=start + rng.choice([0, 1, 2, 5])), rng.choice([-1.0, -1.0, 0.5, 2.0])))
+    expected = {}
+    for b in ("a", "b", "c"):
+        own = [r for r in rows if r[0] == b]
+        events = sorted([(r[2], 1, r[1], r) for r in own] + [(r[3], 0 if r[3] > r[2] else 2, r[1], r) for r in own])
+        balance, peak, risk, seq = 100.0, 100.0, {}, 0
+        for _, kind, c, r in events:
+            if kind == 1:
+                risk[c] = max(0.0, balance) * fraction
+            else:
+                balance, seq = balance + r[4] * risk[c], seq + 1
+                peak = max(peak, balance)
+                expected[c] = (seq, risk[c], balance, peak)
+    got = labels.ledger(spark.createDataFrame(rows, "book string, candidate_id string, ts timestamp, exit_ts timestamp, r double"), fraction, by=["book"]).collect()
+    assert {r["candidate_id"]: r["seq"] for r in got} == {c: v[0] for c, v in expected.items()}
+    for r in got:
+        assert (r["risk"], r["balance"], r["peak"]) == pytest.approx(expected[r["candidate_id"]][1:], abs=1e-9)

@@ -119,9 +119,22 @@ def _take(exclusive: bool):
     return run
 
 
+def _islands(rows: DataFrame, by: list[str], start: str, end: str, order: list[str], touching: bool) -> DataFrame:
+    """``rows`` with _island: a new one begins where all before it in ``by`` have ended (at or, not ``touching``, before its start)."""
+    window = Window.partitionBy(*by).orderBy(start, *order)
+    reach = F.max(end).over(window.rowsBetween(Window.unboundedPreceding, -1))
+    free = F.col(start) >= reach if touching else F.col(start) > reach
+    return rows.withColumn("_new", F.coalesce(free, F.lit(True)).cast("int")).withColumn("_island", F.sum("_new").over(window)).drop("_new")
+
+
 def lanes(labelled: DataFrame, exclusive: bool = True) -> DataFrame:
-    """The candidates that a symbol's lane takes: in order, each that comes after the last one's exit (or, not ``exclusive``, on its bar)."""
-    return labelled.groupBy("symbol").applyInPandas(_take(exclusive), labelled.schema)
+    """The candidates that a symbol's lane takes: in order, each that comes after the last one's exit (or, not ``exclusive``, on its bar).
+
+    Where a candidate comes after all exits before it, the lane is free whatever was taken: the fold goes by such islands, not by whole symbols.
+    """
+    parts = _islands(labelled, ["symbol"], "bar_idx", "exit_idx", ["candidate_id"], not exclusive)
+    take = _take(exclusive)
+    return parts.groupBy("symbol", "_island").applyInPandas(lambda pdf: take(pdf).drop(columns="_island"), labelled.schema)
 
 
 def compounded(trades: DataFrame, fraction: float = 0.01, initial: float = 100.0, by: list[str] | None = None) -> DataFrame:
@@ -141,25 +154,36 @@ def compounded(trades: DataFrame, fraction: float = 0.01, initial: float = 100.0
 def ledger(trades: DataFrame, fraction: float = 0.01, initial: float = 100.0, by: list[str] | None = None) -> DataFrame:
     """As ``compounded``, but for trades that may overlap: risk is sized when a trade is submitted, closes before submits at one time.
 
-    An ordered fold of a book's events; a book is read in one go.
+    Between trades that all earlier ones have left behind, what is won or lost is a share of the balance there: each such island of overlapping trades is
+    folded from a balance of 1, wherever it lies, and a window over the islands multiplies them up. A balance of nothing or less stays.
     """
     books = by or ["book"]
     rows = trades if by else trades.withColumn("book", F.lit("all"))
     rows = rows.select(*books, "candidate_id", F.col("ts").alias("submit_ts"), "exit_ts", "r")
-    out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", seq long, risk double, balance double, peak double"
+    out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", _island long, _k long, _risk double, _share double, _end double"
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.reset_index(drop=True)
         events = sorted([(t, 1, i) for i, t in enumerate(pdf["submit_ts"])] + [(t, 0 if t > s else 2, i) for i, (s, t) in enumerate(zip(pdf["submit_ts"], pdf["exit_ts"], strict=True))], key=lambda e: (e[0], e[1], pdf["candidate_id"][e[2]]))
-        balance = peak = initial
-        risk, done = {}, []
+        share, risk, done = 1.0, {}, []
         for _, kind, i in events:
             if kind == 1:
-                risk[i] = max(0.0, balance) * fraction
+                risk[i] = max(0.0, share) * fraction
                 continue
-            balance += pdf["r"][i] * risk[i]
-            peak = max(peak, balance)
-            done.append((i, risk[i], balance, peak))
+            share += pdf["r"][i] * risk[i]
+            done.append((i, risk[i], share))
         at = pdf.iloc[[d[0] for d in done]].reset_index(drop=True)
-        return at.assign(seq=range(1, len(done) + 1), risk=[d[1] for d in done], balance=[d[2] for d in done], peak=[d[3] for d in done])
-
-    return rows.groupBy(*books).applyInPandas(fold, out)
+        return at.assign(_k=range(len(done)), _risk=[d[1] for d in done], _share=[d[2] for d in done], _end=share)
+
+    # one that is submitted as the last one closes stays in its island: a trade of no length closes after what is submitted with it
+    parts = _islands(rows, books, "submit_ts", "exit_ts", ["candidate_id"], False)
+    done = parts.groupBy(*books, "_island").applyInPandas(fold, out)
+    begun = Window.partitionBy(*books).orderBy("_island").rangeBetween(Window.unboundedPreceding, -1)  # all islands before
+    share = F.when(F.col("_k") == 0, F.col("_end"))  # once an island
+    own = initial * F.exp(F.coalesce(F.sum(F.log(F.when(share > 0, share))).over(begun), F.lit(0.0)))
+    done = done.withColumn("_own", own).withColumn("_left", F.first(F.when(share <= 0, F.col("_own") * share), ignorenulls=True).over(begun))
+    ruined = F.col("_left").isNotNull()
+    done = done.withColumns({"risk": F.when(ruined, 0.0).otherwise(F.col("_own") * F.col("_risk")), "balance": F.when(ruined, F.col("_left")).otherwise(F.col("_own") * F.col("_share"))})
+    order = Window.partitionBy(*books).orderBy("_island", "_k")
+    done = done.withColumns({"seq": F.row_number().over(order).cast("long"), "peak": F.greatest(F.lit(initial), F.max("balance").over(order))})
+    return done.select(*rows.columns, "seq", "risk", "balance", "peak")

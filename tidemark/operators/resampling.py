@@ -16,14 +16,14 @@ LOG_RANGE = 709.0
 
 
 def numbered(trades: DataFrame) -> DataFrame:
-    """The decided trades, numbered from 0 by exit, with their count: days are numbered apart, and each day's trades within it."""
+    """The decided trades, numbered from 0 by exit, with their count: each day's trades are numbered in a task, and the days' counts, a row a day, put before."""
     rows = trades.where(decided() & F.col("r").isNotNull() & F.col("exit_ts").isNotNull()).withColumn("_day", F.date_trunc("day", "exit_ts"))
-    days = rows.groupBy("_day").agg(F.count(F.lit(1)).alias("_of_day"))  # a row a day
-    earlier = days.select(F.col("_day").alias("_d"), F.col("_of_day").alias("_m"))
-    days = days.join(F.broadcast(earlier), F.col("_d") < F.col("_day"), "left").groupBy("_day").agg(F.coalesce(F.sum("_m"), F.lit(0)).alias("_first"))
-    total = earlier.agg(F.coalesce(F.sum("_m"), F.lit(0)).alias("n"))
+    days = rows.groupBy("_day").agg(F.count(F.lit(1)).alias("_m"))
+    order = Window.orderBy("_day")
+    before = F.coalesce(F.sum("_m").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = F.sum("_m").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     inside = F.row_number().over(Window.partitionBy("_day").orderBy("exit_ts", "candidate_id"))
-    rows = rows.withColumn("_i", inside).join(F.broadcast(days), "_day").crossJoin(F.broadcast(total))
+    rows = rows.withColumn("_i", inside).join(days.select("_day", before.alias("_first"), whole.alias("n")), "_day")
     return rows.withColumn("i", (F.col("_first") + F.col("_i") - 1).cast("long")).drop("_day", "_first", "_i")
 
 
@@ -95,7 +95,7 @@ def negative_share(trades: DataFrame, years: tuple[int, ...], sims: int = 1000,
     size = size.select("n", F.try_divide("n", "_years").alias("rate"))
     each = rows.sparkSession.range(sims).withColumnRenamed("id", "sim").crossJoin(F.broadcast(size)).where("n > 0 and rate is not null").repartition(F.col("sim"))
     each = each.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), long(max(years)) - 1))).withColumn("j", drawn_index(F.lit(seed), F.col("n")))
-    drawn = each.join(F.broadcast(rows.select(F.col("i").alias("j"), "r")), "j").withColumn("_lg", log_growth(F.col("r"), fraction))
+    drawn = each.join(rows.select(F.col("i").alias("j"), "r"), "j").withColumn("_lg", log_growth(F.col("r"), fraction))
     ends = drawn.groupBy("sim").agg(*[F.sum(F.when(F.col("k") < long(y), F.col("_lg"))).alias(f"y{y}") for y in years])
     return ends.select(F.explode(F.array(*[F.struct(F.lit(y).alias("years"), F.col(f"y{y}").alias("lg")) for y in years])).alias("x")).groupBy("x.years").agg(F.avg((F.col("x.lg") < 0).cast("double")).alias("p_negative"))
 

@@ -11,6 +11,7 @@ from tidemark.operators import review as rev
 from tidemark.plans import sql
 from tidemark.plans.bar_queries import hourly, rounded
 from tidemark.plans.registry import register
+from tidemark.plans.stream_queries import stored
 from tidemark.plans.trade_queries import breakouts, trades
 
 
@@ -233,7 +234,7 @@ _BANDS = {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
 
 @register("bootstrap_ci", sql.query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{m}' AS measure, " + ", ".join(f"round(quantile_cont({e}, {p}), 6) AS {a}" for a, p in _BANDS.items()) + " FROM ends" for m, e in (("total_return", "exp(lg) - 1"), ("max_drawdown", "max_dd"), ("expectancy_r", "expectancy"))) + ")", "ends"))
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(res.bands(res.simulated(res.numbered(trades(spark, d)), sims=SIMS)), "measure", **_same(*_BANDS))
+    return rounded(res.bands(res.simulated(res.numbered(stored(trades(spark, d))), sims=SIMS)), "measure", **_same(*_BANDS))
 
 
 sql.define("shuf", f"SELECT sim, k, r, {_HELD.format(x=f'sum({_LOG.format(f=0.01)}) OVER w')} AS lg FROM (SELECT sim, row_number() OVER (PARTITION BY sim ORDER BY md5('42:' || sim || ':' || i), i) AS k, r FROM range({SIMS}) s(sim), dec) WINDOW w AS (PARTITION BY sim ORDER BY k)", "dec")
@@ -243,17 +244,17 @@ sql.define("shuf_ends", "SELECT sim, arg_max(lg, k) AS lg, avg(r) AS expectancy,
 @register("shuffle_dd", sql.query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{m}' AS measure, " + ", ".join(f"round(quantile_cont({e}, {p}), 6) AS {a}" for a, p in _BANDS.items()) + " FROM shuf_ends" for m, e in (("total_return", "exp(lg) - 1"), ("max_drawdown", "max_dd"), ("expectancy_r", "expectancy"))) + ")", "shuf_ends"))
 def shuffle_dd(spark: SparkSession, d: str) -> DataFrame:
     """Drawdown bands over shuffled orders: the return is the same for each, which the tests check."""
-    return rounded(res.bands(res.shuffled(res.numbered(trades(spark, d)), sims=SIMS)), "measure", **_same(*_BANDS))
+    return rounded(res.bands(res.shuffled(res.numbered(stored(trades(spark, d))), sims=SIMS)), "measure", **_same(*_BANDS))
 
 
 @register("risk_sensitivity", sql.query(f"SELECT factor, round(quantile_cont(exp(lg) - 1, 0.5), 6) AS median_return, round(avg((lg < 0)::INT), 6) AS p_negative FROM (SELECT factor, sim, {_HELD.format(x='sum(' + _LOG.format(f='0.01 * factor') + ')')} AS lg FROM sims, (VALUES (0.5), (1.0), (2.0)) v(factor) GROUP BY factor, sim) GROUP BY factor", "sims"))
 def risk_sensitivity(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(res.sensitivity(res.numbered(trades(spark, d)), (0.5, 1.0, 2.0), sims=SIMS), "factor", median_return="median_return", p_negative="p_negative")
+    return rounded(res.sensitivity(res.numbered(stored(trades(spark, d))), (0.5, 1.0, 2.0), sims=SIMS), "factor", median_return="median_return", p_negative="p_negative")
 
 
 @register("oos_split", sql.query("SELECT CASE WHEN i < greatest(1, floor(0.7 * n)) THEN 'train' ELSE 'test' END AS role, count(*) AS n, round(avg(r), 6) AS expectancy, round(avg((result = 'win')::INT), 6) AS win_rate FROM dec GROUP BY 1", "dec"))
 def oos_split(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(res.split_stats(res.out_of_sample(res.numbered(trades(spark, d)), 0.3), "role"), "role", "n", expectancy="expectancy", win_rate="win_rate")
+    return rounded(res.split_stats(res.out_of_sample(res.numbered(stored(trades(spark, d))), 0.3), "role"), "role", "n", expectancy="expectancy", win_rate="win_rate")
 
 
 @register(
@@ -265,7 +266,7 @@ def oos_split(spark: SparkSession, d: str) -> DataFrame:
     ),
 )
 def walk_forward(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(res.split_stats(res.walk_forward(res.numbered(trades(spark, d)), 3, 0.4), "fold", "role"), "fold", "role", "n", expectancy="expectancy", win_rate="win_rate")
+    return rounded(res.split_stats(res.walk_forward(res.numbered(stored(trades(spark, d))), 3, 0.4), "fold", "role"), "fold", "role", "n", expectancy="expectancy", win_rate="win_rate")
 
 
 @register("date_splits", sql.query("SELECT CASE WHEN exit_ts < TIMESTAMP '2024-01-11' THEN 'train' WHEN exit_ts < TIMESTAMP '2024-01-21' THEN 'valid' ELSE 'test' END AS split, count(*) AS n, round(avg(r), 6) AS expectancy, round(avg((result = 'win')::INT), 6) AS win_rate FROM trades GROUP BY 1", "trades"))

@@ -131,13 +131,17 @@ def gross_vs_net(spark: SparkSession, d: str) -> DataFrame:
 
 @register(
     "cost_schedules",
-    """SELECT key, error FROM (VALUES ('a', NULL), ('b', 'not_json'), ('c', 'unknown_key'), ('d', 'not_a_number'), ('e', 'negative'), ('f', 'rate_over_1')) v(k, error) JOIN (SELECT ['a', 'b', 'c', 'd', 'e', 'f'][n_nationkey % 6 + 1] AS k, n_name AS key FROM nation) USING (k)""",
+    """SELECT s_name AS key, error, CASE WHEN error IS NULL THEN flat END AS flat, CASE WHEN error IS NULL THEN rate END AS rate FROM (SELECT *, round(s_acctbal / 1000, 6) AS flat, round((s_suppkey % 12) / 10.0, 6) AS rate,
+    CASE WHEN s_suppkey % 11 = 0 THEN 'not_json' WHEN s_suppkey % 7 = 0 THEN 'unknown_key' WHEN s_suppkey % 13 = 0 THEN 'not_a_number' WHEN s_acctbal < 0 THEN 'negative' WHEN s_suppkey % 12 = 11 THEN 'rate_over_1' END AS error FROM supplier)""",
 )
 def cost_schedules(spark: SparkSession, d: str) -> DataFrame:
-    """Schedules of nations, in turn sound and faulty."""
-    texts = ['{"flat": 0.5, "rate": "0.001"}', "{flat", '{"fee": 1}', '{"flat": "much"}', '{"slip_exit": -1}', '{"rate": 1.5}']
-    rows = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_name").alias("key"), F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col("n_nationkey") % 6 + 1).cast("int")).alias("schedule"))
-    return dash.cost_schedules(rows).select("key", "error")
+    """Schedules of the suppliers' balances, some of them torn, or with a name where a number should be, or an odd key."""
+    rows, k = spark.read.parquet(f"{d}/supplier.parquet"), F.col("s_suppkey")
+    flat = F.when(k % 13 == 0, F.col("s_name")).otherwise(F.round(F.col("s_acctbal") / 1000, 6).cast("string"))
+    text = F.to_json(F.create_map(F.when(k % 7 == 0, "fee").otherwise("flat"), flat, F.lit("rate"), F.round(k % 12 / 10, 6).cast("string")))
+    rows = dash.cost_schedules(rows.select(F.col("s_name").alias("key"), F.when(k % 11 == 0, F.substring(text, 1, 6)).otherwise(text).alias("schedule")))
+    sound = F.col("error").isNull()
+    return rows.select("key", "error", F.when(sound, F.round("flat", 6)).alias("flat"), F.when(sound, F.round("rate", 6)).alias("rate"))
 
 
 @register("break_even", sql.query("SELECT symbol, round(1 / (1 + avg(r) FILTER (result = 'win') / abs(avg(r) FILTER (result = 'loss'))), 6) AS win_rate FROM trades GROUP BY symbol", "trades"))

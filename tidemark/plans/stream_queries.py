@@ -25,6 +25,13 @@ def folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """``rows`` as a table in the shared folder, for plans that read them several times."""
+    at = folder(rows.sparkSession)
+    rows.write.parquet(at)
+    return rows.sparkSession.read.schema(rows.schema).parquet(at)
+
+
 def drained(df: DataFrame, mode: str, *key: str) -> DataFrame:
     """What the stream gives for all there is, through a table in the shared folder. ``key``: of an update stream, what its last row counts for."""
     at = folder(df.sparkSession)

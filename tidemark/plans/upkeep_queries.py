@@ -18,6 +18,7 @@ from tidemark.plans import sql
 from tidemark.plans import trade_queries as tq
 from tidemark.plans.bar_queries import daily, hourly, rounded
 from tidemark.plans.registry import register
+from tidemark.plans.stream_queries import stored
 from tidemark.plans.trade_queries import TRAVEL, base, breakouts, breakouts_of, trades, with_levels
 from tidemark.sources import bars as src
 
@@ -174,7 +175,7 @@ def run_document(spark: SparkSession, d: str) -> DataFrame:
 )
 def negative_horizons(spark: SparkSession, d: str) -> DataFrame:
     """How often one, three and five years of trades, drawn at the history's rate, end under the start."""
-    return rounded(res.negative_share(trades(spark, d), (1, 3, 5)), "years", p_negative="p_negative")
+    return rounded(res.negative_share(stored(trades(spark, d)), (1, 3, 5)), "years", p_negative="p_negative")
 
 
 @register("price_texts", sql.query("SELECT candidate_id, CASE WHEN abs(entry) >= 100 THEN rtrim(rtrim(printf('%.2f', entry), '0'), '.') WHEN abs(entry) >= 1 THEN rtrim(rtrim(printf('%.4f', entry), '0'), '.') ELSE rtrim(rtrim(printf('%.6f', entry), '0'), '.') END AS price, printf('%.2f%%', r) AS pct, symbol || strftime(submit_ts, '_%Y-%m-%d_trade_') || direction || '_' || result || '_' || printf('%+.2f', r) AS name FROM trades", "trades"))
