@@ -201,7 +201,7 @@ def search(held: Index, anchors: DataFrame, same: bool, k: int) -> DataFrame:
     while True:
         todo = visits(anchors, held, after, until)
         one = todo.groupBy("cell", "block", F.pmod(F.xxhash64("anchor_id"), F.lit(blocks)).alias("_b"))
-        groups = one.agg(F.collect_list(F.struct("anchor_id", "label", "vec", "windows")).alias("visitors")).join(held.blocks, ["cell", "block"])
+        groups = one.agg(F.collect_list(F.struct("anchor_id", "label", "vec", "windows")).alias("visitors")).hint("merge").join(held.blocks, ["cell", "block"])  # neither side has a bound that would let it be broadcast
         new = _scored(groups, same, k)
         found, old = written(_first(new if found is None else found.drop("rank").unionByName(new), k), "found"), found
         if old is not None:
