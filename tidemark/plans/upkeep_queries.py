@@ -113,9 +113,33 @@ def level_relations(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rows.select("candidate_id", F.size(cand.blocking(lv, F.col("entry"), F.col("stop"))).cast("long").alias("n_blocking"), cand.anchor_level(lv, F.col("target"), F.col("direction"), F.col("atr")).alias("a")), "candidate_id", "n_blocking", anchor="a")
 
 
-@register("swing_stop_candidates")
+_G = "(CASE WHEN entry > {t} THEN 1 ELSE -1 END)"
+_AIM = f"entry + {_G} * k * abs(entry - {{t}})"
+_CLEAR = f"list_filter(list_transform(range(0, 21), lambda i: round(2 + 0.1 * i, 10)), lambda k: len(list_filter(lv, lambda x: (x > least(entry, {_AIM}) AND x < greatest(entry, {_AIM})) OR abs(x - ({_AIM})) < 0.05 * atr)) = 0)[1]"
+
+
+@register(
+    "swing_stop_candidates",
+    sql.query(
+        f""", lv AS (SELECT symbol, frame_idx, list(level) AS levels FROM flv GROUP BY ALL),
+        sw AS (SELECT c.candidate_id, arg_max(p.price, p.bar_idx) AS anchor FROM cand c JOIN p21 p ON p.symbol = c.symbol AND p.confirm_idx <= c.bar_idx AND p.bar_idx > c.bar_idx - 20
+          WHERE p.type = CASE c.direction WHEN 'bullish' THEN 'L' ELSE 'H' END AND (c.close - p.price) * (CASE c.direction WHEN 'bullish' THEN 1 ELSE -1 END) > 0 GROUP BY c.candidate_id),
+        x AS (SELECT c.candidate_id, c.close AS entry, c.atr, CASE c.direction WHEN 'bullish' THEN 1 ELSE -1 END AS s, coalesce(lv.levels, []) AS lv, sw.anchor FROM cand c LEFT JOIN lv ON lv.symbol = c.symbol AND lv.frame_idx = c.bar_idx LEFT JOIN sw USING (candidate_id)),
+        y AS (SELECT *, coalesce(anchor - s * 0.1 * atr, entry - s * 2.0 * atr) AS stop FROM x),
+        z AS (SELECT *, {_CLEAR.format(t="stop")} AS rr, len(list_filter(lv, lambda x: x > least(entry, stop) AND x < greatest(entry, stop))) > 0 AS crosses FROM y),
+        v AS (SELECT *, CASE WHEN NOT abs(entry - stop) > 0 THEN 'no_risk' WHEN abs(entry - stop) > 4.0 * atr THEN 'stop_too_wide' WHEN crosses THEN 'stop_crosses_level' WHEN rr IS NULL THEN 'no_clear_target' END AS why,
+          list_transform(range(0, 36), lambda j: entry - s * round(4.0 - 0.1 * j, 10) * atr) AS stops FROM z),
+        w AS (SELECT candidate_id, u, j, {_CLEAR.format(t="u")} AS r FROM (SELECT candidate_id, entry, atr, lv, unnest(stops) AS u, generate_subscripts(stops, 1) AS j FROM v WHERE why IN ('stop_too_wide', 'stop_crosses_level', 'no_clear_target')) WHERE len(list_filter(lv, lambda x: abs(x - u) < 0.05 * atr)) = 0),
+        f AS (SELECT candidate_id, arg_min(u, j) AS u, arg_min(r, j) AS r FROM w WHERE r IS NOT NULL GROUP BY candidate_id),
+        o AS (SELECT v.candidate_id, entry, s, f.u IS NOT NULL AS spaced, CASE WHEN f.u IS NULL THEN why END AS reject_reason, coalesce(f.u, stop) AS stop, coalesce(f.r, rr) AS rr FROM v LEFT JOIN f USING (candidate_id))
+        SELECT candidate_id, spaced, reject_reason, round(entry, 6) AS entry, round(stop, 6) AS stop, round(entry + s * rr * abs(entry - stop), 6) AS target, round(rr, 6) AS rr FROM o""",
+        "cand",
+        "flv",
+        "p21",
+    ),
+)
 def swing_stop_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates with swing stops, clear rewards and the widest-stop fallback; the operator is held against a loop in the tests."""
+    """Candidates with swing stops, clear rewards and the widest-stop fallback."""
     bars = base(spark, d)
     seen = piv.visible_swings(piv.with_pivots(bars), 20).select("symbol", "bar_idx", "swings", "close")
     rows = with_levels(breakouts_of(bars)[0], bars).drop("stop", "target", "entry").join(seen, ["symbol", "bar_idx"])
@@ -190,3 +214,36 @@ def time_functions(spark: SparkSession, d: str) -> DataFrame:
     rows = trades(spark, d)
     cols = [tfs.hours_between(F.col("submit_ts"), F.col("exit_ts")).alias("h"), tfs.period_start(F.col("exit_ts"), "15m").alias("quarter"), tfs.period_start(F.col("exit_ts"), "1w").alias("week"), tfs.finite(F.try_divide("mfe_r", "mae_r")).alias("f")]
     return rounded(rows.select("candidate_id", *cols), "candidate_id", "quarter", "week", hours="h", ratio="f")
+
+
+@register(
+    "touch_expiry",
+    sql.query(
+        """SELECT candidate_id, CASE WHEN i IS NULL OR datediff('day', submit_ts, touched) >= 1 THEN 'expired' ELSE 'filled' END AS fill_state FROM (
+        SELECT c.candidate_id, any_value(c.ts) AS submit_ts, min(i) FILTER ((good - level) * f.s >= 0) AS i, min(bts) FILTER ((good - level) * f.s >= 0) AS touched
+        FROM cand c LEFT JOIN (SELECT *, entry + s * 0.5 * atr AS level FROM fut) f USING (candidate_id) GROUP BY c.candidate_id)""",
+        "cand",
+        "fut",
+    ),
+)
+def touch_expiry(spark: SparkSession, d: str) -> DataFrame:
+    """Orders half an ATR beyond the close, which count no more on the next calendar day."""
+    from tidemark.operators import labels as lab
+
+    rows, bars = breakouts(spark, d)
+    s = F.when(F.col("direction") == "bullish", 1.0).otherwise(-1.0)
+    rows = rows.withColumn("entry", F.col("entry") + s * 0.5 * F.col("atr"))
+    return lab.touch_fill(lab.with_future(rows, bars, tq.HORIZON), max_days=1).select("candidate_id", "fill_state")
+
+
+#: The depths, in percent, of the heuristic.
+RUIN = (5.0, 10.0, 15.0, 20.0, 25.0, 30.0, 40.0, 50.0)
+
+
+@register("risk_of_ruin", sql.query(f"SELECT s.symbol, threshold, round(coalesce(avg((depth_pct > threshold)::INT), 0), 6) AS share FROM (SELECT DISTINCT symbol FROM bal) s CROSS JOIN (SELECT unnest({list(RUIN)})::DOUBLE AS threshold) t LEFT JOIN dd ON dd.symbol = s.symbol GROUP BY ALL", "bal", "dd"))
+def risk_of_ruin(spark: SparkSession, d: str) -> DataFrame:
+    """The share of each book's drawdowns that were deeper than thresholds; 0 where there were none."""
+    balances = met.ordered_balances(trades(spark, d))
+    found = met.deeper_than(met.drawdowns(balances, "symbol"), RUIN, "symbol")
+    every = balances.select("symbol").distinct().withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in RUIN])))
+    return every.join(found, ["symbol", "threshold"], "left").select("symbol", "threshold", F.round(F.coalesce("share", F.lit(0.0)), 6).alias("share"))
