@@ -142,19 +142,23 @@ def place(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
 _MARKS = (b".", b",")
 #: Steps of tokenizers that look at words alone, whatever stands around them.
 _BY_WORD = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "Replace", "Split", "ByteLevel", "Whitespace", "WhitespaceSplit", "Punctuation", "Digits", "BertNormalizer", "BertPreTokenizer"}
+#: Patterns of Replace and Split steps that look at words alone (fixed values): a step with any other may look across them.
+_BY_WORD_PATTERNS = {r"\s+", r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
 _PROBES = "a Z b. c, . , d.e f,g 7 8. é Éa ß. 's don't we'll x'S \t \n  \r\n () a) (b 3.5 1,000 _ -- a-b ö, é. zz.. qq,, ".split(" ")
 
 
 def by_words(tokenizer_json: bytes) -> bool:
     """Whether a text's ids are those of its words, lower-cased A-Z, in a row, and a word's last full stop or comma parts from the letter before it.
 
-    All steps must be known to look at words alone, and many mixtures of odd words must come out the same either way.
+    All steps, and the patterns that they have, must be known to look at words alone, and many mixtures of odd words must come out the same either way.
     """
     from tokenizers import Tokenizer
 
     parts = json.loads(tokenizer_json)
-    steps = [x["type"] for k in ("normalizer", "pre_tokenizer") for x in ((parts.get(k) or {}).get("normalizers") or (parts.get(k) or {}).get("pretokenizers") or [parts.get(k) or {"type": None}])]
-    if not {*steps} <= _BY_WORD or parts.get("post_processor"):
+    steps = [x for k in ("normalizer", "pre_tokenizer") for x in ((parts.get(k) or {}).get("normalizers") or (parts.get(k) or {}).get("pretokenizers") or [parts.get(k) or {"type": None}])]
+    if not {x["type"] for x in steps} <= _BY_WORD or parts.get("post_processor"):
+        return False
+    if not {(x.get("pattern") or {}).get("Regex") for x in steps if x["type"] in ("Replace", "Split")} <= _BY_WORD_PATTERNS:
         return False
     tokenizer = Tokenizer.from_buffer(tokenizer_json)
     tokenizer.encode_special_tokens = True
