@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.plans import sql
 from tidemark.plans.bar_queries import hourly, rounded
 from tidemark.plans.registry import register
-from tidemark.streaming import positions, resample
+from tidemark.streaming import keyed, positions, resample
 
 
 def folder(spark: SparkSession) -> str:
@@ -54,19 +54,11 @@ def stream_resample(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rows, "symbol", "ts", "volume", open="open", high="high", low="low", close="close")
 
 
-_STORE = "spark.sql.streaming.stateStore.providerClass"
-
-
 def position_stream(spark: SparkSession, d: str) -> DataFrame:
-    """Entries and exits of a stream over the files of the hourly bars; its keyed state needs the RocksDB store."""
-    at, before = folder(spark), spark.conf.get(_STORE)
+    """Entries and exits of a stream over the files of the hourly bars."""
+    at, own = folder(spark), keyed.session(spark)
     hourly(spark, d).select("symbol", "ts", "high", "low", "close").write.parquet(at)
-    bars = spark.readStream.schema("symbol string, ts timestamp, high double, low double, close double").parquet(at)
-    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        return drained(positions.stream_events(bars), "append")
-    finally:
-        spark.conf.set(_STORE, before)
+    return drained(positions.stream_events(own.readStream.schema("symbol string, ts timestamp, high double, low double, close double").parquet(at)), "append")
 
 
 @register("position_events")
