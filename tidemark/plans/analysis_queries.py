@@ -13,6 +13,7 @@ from tidemark.operators.extension import CandidateOp, FactOp, SignalOp
 from tidemark.plans import sql
 from tidemark.plans.bar_queries import hourly, rounded, with_facts
 from tidemark.plans.registry import register
+from tidemark.plans.stream_queries import stored
 from tidemark.plans.trade_queries import base, breakout_signals_of, levels_of, trades
 from tidemark.sources import bars as src
 
@@ -99,7 +100,7 @@ _PCT = "CASE WHEN abs({x}) >= 1000 THEN printf('%.0f%%', {x}) WHEN abs({x}) >= 1
 )
 def report_verdict(spark: SparkSession, d: str) -> DataFrame:
     """The dispersion over weeks and instruments, and the verdict on the book's return within its weeks' band."""
-    found = report.sections(book(spark, d), "week", strategy="strategy")
+    found = stored(report.sections(book(spark, d), "week", strategy="strategy"))
     week, of_book = F.when(F.col("scope") == "period", F.col("return_pct")), F.when(F.col("scope") == "book", F.col("return_pct"))
     band = found.agg(F.max(of_book).alias("observed"), *[F.percentile(week, F.lit(p)).alias(f"p{100 * p:g}") for p in (0.05, 0.5, 0.95)])
     rows = report.judged(report.dispersion(found).join(F.broadcast(band)), "observed", "p5", "p50", "p95", 50)  # one row each

@@ -28,16 +28,16 @@ def _bars(spark: SparkSession, d: str) -> DataFrame:
 @register(
     "stream_heartbeats",
     sql.query(
-        """SELECT symbol, b.ts + INTERVAL 3 HOURS * k AS ts, b.ts AS last_ts, k::INTEGER AS missed FROM (SELECT symbol, ts, coalesce(lead(ts) OVER (PARTITION BY symbol ORDER BY ts), (SELECT max(ts) FROM b1h) - INTERVAL 1 HOUR + INTERVAL 1 SECOND) AS until FROM b1h) b, range(1, 300) r(k)
-        WHERE b.ts + INTERVAL 3 HOURS * k < until""",
+        """SELECT symbol, b.ts + INTERVAL 90 MINUTES * k AS ts, b.ts AS last_ts, k::INTEGER AS missed FROM (SELECT symbol, ts, coalesce(lead(ts) OVER (PARTITION BY symbol ORDER BY ts), (SELECT max(ts) FROM b1h) - INTERVAL 1 HOUR + INTERVAL 1 SECOND) AS until FROM b1h) b, range(1, 600) r(k)
+        WHERE b.ts + INTERVAL 90 MINUTES * k < until""",
         "b1h",
     ),
 )
 def stream_heartbeats(spark: SparkSession, d: str) -> DataFrame:
-    """A row for each three hours that a symbol is without a bar: from timers, and from the bars that end a silence. The bars land in three parts."""
+    """A row for each hour and a half that a symbol is without a bar: from timers, and from the bars that end a silence. The bars land in three parts."""
     at, ts = folder(spark), F.col("ts")
     cuts = [ts < _at("2024-01-10 05:00:00"), (ts >= _at("2024-01-10 05:00:00")) & (ts < _at("2024-01-20 17:00:00")), ts >= _at("2024-01-20 17:00:00")]
-    played(_bars(spark, d), cuts, keyed.heartbeats, ledger.sink(f"{at}/table", "beats"), at)
+    played(_bars(spark, d), cuts, lambda stream: keyed.heartbeats(stream, "90 minutes"), ledger.sink(f"{at}/table", "beats"), at)
     return ledger.taken(spark, f"{at}/table", "beats", keyed.BEATS)[0].select("symbol", "ts", "last_ts", "missed")
 
 

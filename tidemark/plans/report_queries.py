@@ -16,7 +16,7 @@ from tidemark.plans import sql
 from tidemark.plans.bar_queries import hourly, rounded, with_facts
 from tidemark.plans.metric_queries import COSTS
 from tidemark.plans.registry import oracle_sql, queries, register
-from tidemark.plans.stream_queries import folder
+from tidemark.plans.stream_queries import folder, stored
 from tidemark.plans.trade_queries import base, breakout_signals_of, pullbacks_of, trades
 from tidemark.sources import bars as src
 
@@ -49,7 +49,7 @@ sql.define(
 
 @register("portfolio_dashboard", f"SELECT symbol, periods, annualization_basis, n_episodes, {_r(*_RECORD)}, max_wins, max_losses FROM ({sql.query('SELECT * FROM rec', 'rec')}) JOIN ({oracle_sql()['streaks']}) USING (symbol)")
 def portfolio_dashboard(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(dash.portfolio(trades(spark, d), "symbol"), "symbol", "periods", "annualization_basis", "n_episodes", "max_wins", "max_losses", **_same(*_RECORD))
+    return rounded(dash.portfolio(stored(trades(spark, d)), "symbol"), "symbol", "periods", "annualization_basis", "n_episodes", "max_wins", "max_losses", **_same(*_RECORD))
 
 
 _PARTS = {"by_instrument": [], "book_summary": ["win_rate"], "streaks": []}
