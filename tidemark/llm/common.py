@@ -32,10 +32,10 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def written(df: DataFrame, name: str = "step") -> DataFrame:
+def written(df: DataFrame, name: str = "step", compression: str | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, without its lineage, whole if an executor is lost."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("compression", compression) if compression else df.write).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written = path
     for made in _making:

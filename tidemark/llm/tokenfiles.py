@@ -17,6 +17,7 @@ the next block; a document never leaves its file.
 
 from __future__ import annotations
 
+import gc
 import itertools
 import json
 import re
@@ -86,15 +87,17 @@ class Code:
     def encode(self, ids: np.ndarray, stride: int) -> tuple[np.ndarray, bytes]:
         """Bit offsets of each ``stride``-th id, and the bits."""
         n = self.lengths[ids]
-        if len(n) and not n.all():
+        if not len(n):
+            return np.empty(0, "<u4"), b""
+        if not n.all():
             raise ValueError("an id without a code")
         at = np.cumsum(n) - n
-        words = int(at[-1] + n[-1] + 31) // 32 if len(n) else 0
-        shifted = self.codes[ids] << (64 - n - (at & 31)).astype(np.uint64)
-        # codes fill different bits, so their sums are the words; below 2 ** 32 they are exact as doubles
-        high = np.bincount(at >> 5, weights=(shifted >> np.uint64(32)).astype(float), minlength=words + 1)
-        low = np.bincount((at >> 5) + 1, weights=(shifted & np.uint64(0xFFFFFFFF)).astype(float), minlength=words + 1)
-        return at[::stride].astype("<u4"), (high[:words] + low[:words]).astype(">u4").tobytes()
+        word = at >> 5
+        # codes fill different bits, so the sum of those that begin in a word is the word and what reaches into the next; each word has one that begins there
+        both = np.add.reduceat(self.codes[ids] << (64 - n - (at & 31)).astype(np.uint64), np.flatnonzero(np.diff(word, prepend=-1)))
+        bits = np.append(both >> np.uint64(32), np.uint64(0))
+        bits[1:] |= both & np.uint64(0xFFFFFFFF)
+        return at[::stride].astype("<u4"), bits[: (at[-1] + n[-1] + 31) // 32].astype(">u4").tobytes()
 
     def decode(self, n: int, stride: int, checkpoints: np.ndarray, bits: bytes) -> np.ndarray:
         """The ``n`` ids: all lanes step through the table together."""
@@ -131,37 +134,26 @@ class _Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
 
-    def _encode(self, some: list[bytes]) -> list[bytes]:
-        """A space and letters are one match whatever stands around: the library's model takes them directly. All else goes through all its steps."""
-        words = [bool(self.by_chunk and _WORD.match(x)) for x in some]
-        rest = iter(self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x, w in zip(some, words, strict=True) if not w], add_special_tokens=False))
-        of = self.tokenizer.model.tokenize
-        ids = [[t.id for t in of((x.decode() if x.isascii() else x.decode("latin-1").translate(_BYTES)).replace(" ", _BYTES[32]))] if w else next(rest).ids for x, w in zip(some, words, strict=True)]
+    def _learned(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of new chunks. A space and letters are one match whatever stands around: the library's model takes them directly. All else goes through all its steps."""
+        words = [x for x in new if _WORD.match(x)] if self.by_chunk else []
+        rest = [*{*new}.difference(words)] if words else new
+        of, space = self.tokenizer.model.tokenize, _BYTES[32]
+        ids = [[t.id for t in of((x.decode() if x.isascii() else x.decode("latin-1").translate(_BYTES)).replace(" ", space))] for x in words]
+        ids += [e.ids for e in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in rest], add_special_tokens=False)]
         flat = np.fromiter(itertools.chain.from_iterable(ids), self.kind).tobytes()
-        ends = [0, *itertools.accumulate(self.kind.itemsize * len(x) for x in ids)]
-        return [flat[a:b] for a, b in itertools.pairwise(ends)]
-
-    def _learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        """The ids of new chunks. A letter and a full stop or comma at the end of one are always two matches, so words are encoded without it."""
-        marked = [x for x in chunks if x[-1:] in _MARKS and x[-2:-1].isalpha()] if self.by_chunk else []
-        known = self.known
-        whole = {*chunks}.difference(marked).union([x[:-1] for x in marked], _MARKS if marked else ())
-        now = {x: known[x] for x in whole if x in known}
-        new = [*whole.difference(now)]
-        now.update(zip(new, self._encode(new), strict=True))
-        marks = {m: now[m] for m in _MARKS} if marked else {}
-        now.update([(x, now[x[:-1]] + marks[x[-1:]]) for x in marked])
-        return now
+        ends = [0, *itertools.accumulate(self.kind.itemsize * n for n in map(len, ids))]
+        return dict(zip(words + rest, [flat[a:b] for a, b in itertools.pairwise(ends)], strict=True))
 
     def of(self, distinct: list[bytes]) -> list[bytes]:
         known = self.known
-        found = [known.get(x) for x in distinct]
+        found = [*map(known.get, distinct)]
         if new := [x for x, v in zip(distinct, found, strict=True) if v is None]:
-            now = self._learn(new)
+            now = self._learned(new)
             if len(known) + len(now) > REMEMBERED:
                 known.clear()
-            known.update((x, v) for x, v in now.items() if len(x) <= LONGEST)
             found = [now[x] if v is None else v for x, v in zip(distinct, found, strict=True)]
+            known.update(now if max(map(len, now)) <= LONGEST else {x: v for x, v in now.items() if len(x) <= LONGEST})
         return found
 
     def ids(self, texts: pa.BinaryArray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,6 +165,10 @@ class _Encoder:
         if self.by_chunk:
             space = (data == 32) | ((data >= 9) & (data <= 13))
             starts[1:-1] = space[1:] & ~space[:-1]
+            # a full stop or comma between a letter and white space, or the end, is a match of its own
+            letter, last = ((data | 32) >= 97) & ((data | 32) <= 122), np.append(space[1:], True)
+            last[offsets[1:][np.diff(offsets) > 0] - 1] = True
+            starts[1:-1] |= ((data[1:] == 46) | (data[1:] == 44)) & letter[:-1] & last[1:]
             doubtful = ((data >= 0x1C) & (data <= 0x1F)) | (data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3)) | (data == 0xEF)
             for i in np.unique(np.searchsorted(offsets, np.flatnonzero(doubtful), side="right") - 1):
                 if _ODD.search(texts[int(i)].as_py().decode("utf-8", "replace")):
@@ -197,9 +193,8 @@ def _slices(values: pa.BinaryArray) -> list[bytes]:
     return [raw[a:b] for a, b in itertools.pairwise(ends)]
 
 
-_MARKS = (b".", b",")
 #: A space at most, then letters of which no Unicode version doubts that they are: A-Z, and U+00C0 to U+023F without the two signs.
-_WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf])+\Z")
+_WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf]){1,30}\Z")
 #: Byte-level BPE's letters for bytes (a fixed rule): visible ones stand for themselves, the others for U+0100 on, in order.
 _VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTES = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
@@ -223,7 +218,11 @@ def token_rows(docs: DataFrame, tokenizer_json: bytes, end_id: int) -> DataFrame
         for whole in batches:
             for i in range(0, whole.num_rows, TEXTS):
                 batch = whole.slice(i, TEXTS)
-                ids, n = _worker[key].ids(batch.column("text"), end)
+                gc.disable()  # a million remembered words have no cycles to look for
+                try:
+                    ids, n = _worker[key].ids(batch.column("text"), end)
+                finally:
+                    gc.enable()
                 offsets = (np.cumsum(np.append(0, n)) * width).astype(np.int32)
                 values = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), values], ["doc_id", "n_tokens", "ids"])
@@ -272,7 +271,7 @@ def write_tokens(docs: DataFrame, tokenizer_json: bytes, end_id: int, path: str,
     An empty table leaves no files. Other columns are left behind. The writer's commit makes all files appear, or none.
     """
     width, size = width_of(tokenizer_json, end_id), _vocabulary(tokenizer_json, end_id)
-    rows = written(token_rows(docs, tokenizer_json, end_id), "tokens")
+    rows = written(token_rows(docs, tokenizer_json, end_id), "tokens", "zstd")
     counts = id_counts(rows, width, size)
     limit = max(limit, int(np.count_nonzero(counts) - 1).bit_length())
     lengths = code_lengths(counts, limit)
