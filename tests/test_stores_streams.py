@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from tests.test_operators import T0, bars_of, noise
+from test_operators import T0, bars_of, noise
 from tidemark.operators import analyzers, bundle, charts, factcodec, replay, report
 from tidemark.operators.extension import FactOp
 from tidemark.operators.indicators import indexed

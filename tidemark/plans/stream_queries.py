@@ -61,13 +61,34 @@ def position_stream(spark: SparkSession, d: str) -> DataFrame:
     return drained(positions.stream_events(own.readStream.schema("symbol string, ts timestamp, high double, low double, close double").parquet(at)), "append")
 
 
-@register("position_events")
+_STEP = "symbol, k + 1 AS k, CASE WHEN pos = 0 THEN sig WHEN why IS NULL THEN pos ELSE 0 END AS pos, CASE WHEN opens THEN close ELSE entry END AS entry, CASE WHEN opens THEN close - sig * 1.5 * atr ELSE stop END AS stop, CASE WHEN opens THEN close + sig * 3.0 * atr ELSE target END AS target"
+sql.define("sig1h", "SELECT symbol, bar_idx, ts, high, low, close, atr, CASE WHEN bar_idx < 20 OR NOT coalesce(atr > 0, false) THEN 0 WHEN close > channel_high THEN 1 WHEN close < channel_low THEN -1 ELSE 0 END AS sig FROM c1h", "c1h")
+sql.define(
+    "held1h",
+    f"""SELECT DISTINCT symbol, -1::BIGINT AS k, 0::INTEGER AS pos, 0.0::DOUBLE AS entry, 0.0::DOUBLE AS stop, 0.0::DOUBLE AS target, 0::INTEGER AS n, NULL::TIMESTAMP AS ts, ''::VARCHAR AS kind, NULL::VARCHAR AS reason, 0::INTEGER AS side, NULL::DOUBLE AS price, NULL::DOUBLE AS r FROM sig1h
+    UNION ALL SELECT {_STEP}, CASE WHEN pos <> 0 THEN n + 1 ELSE 0 END, ts, CASE WHEN opens THEN 'entry' WHEN pos <> 0 AND why IS NOT NULL THEN 'exit' ELSE '' END, CASE WHEN pos <> 0 THEN why END, CASE WHEN pos <> 0 THEN pos ELSE sig END,
+      CASE WHEN opens THEN close WHEN pos <> 0 THEN paid END, CASE WHEN pos <> 0 AND why IS NOT NULL THEN (paid - entry) * pos / abs(entry - stop) END
+    FROM (SELECT *, pos = 0 AND sig <> 0 AS opens, CASE why WHEN 'stop' THEN stop WHEN 'target' THEN target ELSE close END AS paid FROM (
+      SELECT h.symbol, h.k, h.pos, h.entry, h.stop, h.target, h.n, b.ts, b.close, b.atr, b.sig, CASE WHEN (CASE WHEN h.pos > 0 THEN b.low ELSE b.high END - h.stop) * h.pos <= 0 THEN 'stop' WHEN (CASE WHEN h.pos > 0 THEN b.high ELSE b.low END - h.target) * h.pos >= 0 THEN 'target' WHEN h.n + 1 >= 15 THEN 'timeout' END AS why
+      FROM held1h h JOIN sig1h b ON b.symbol = h.symbol AND b.bar_idx = h.k + 1))""",
+    "sig1h",
+)
+sql.define("told1h", "SELECT *, CASE side WHEN 1 THEN 'bullish' ELSE 'bearish' END AS direction FROM held1h WHERE kind <> ''", "held1h")
+_PRICE = "CASE WHEN abs({x}) >= 100 THEN rtrim(rtrim(printf('%.2f', {x}), '0'), '.') WHEN abs({x}) >= 1 THEN rtrim(rtrim(printf('%.4f', {x}), '0'), '.') ELSE rtrim(rtrim(printf('%.6f', {x}), '0'), '.') END"
+_LINE = f"'ENTRY ' || symbol || ' ' || direction || ' @' || {_PRICE.format(x='price')} || ' SL ' || {_PRICE.format(x='stop')} || ' TP ' || {_PRICE.format(x='target')} || printf(' R:R %.2f', abs(target - price) / abs(price - stop))"
+
+
+def _recursive(text: str) -> str:
+    return "WITH RECURSIVE " + text.removeprefix("WITH ")
+
+
+@register("position_events", _recursive(sql.query("SELECT symbol, ts, kind, direction, reason, round(price, 6) AS price, round(r, 6) AS r FROM told1h", "told1h")))
 def position_events(spark: SparkSession, d: str) -> DataFrame:
-    """Entries and exits over hourly bars; the tests hold the stream's against those of a table."""
+    """Entries and exits over hourly bars."""
     return rounded(position_stream(spark, d), "symbol", "ts", "kind", "direction", "reason", price="price", r="r")
 
 
-@register("position_alerts")
+@register("position_alerts", _recursive(sql.query(f"SELECT symbol, ts, CASE kind WHEN 'entry' THEN {_LINE} ELSE 'EXIT ' || symbol || ' ' || direction || printf(' %+.2fR', r) END AS line FROM told1h", "told1h")))
 def position_alerts(spark: SparkSession, d: str) -> DataFrame:
     """The lines of the stream's entries and exits."""
     return positions.alerts(position_stream(spark, d)).select("symbol", "ts", F.col("line"))
