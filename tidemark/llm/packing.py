@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import numbered, texts, written
 
-#: Words whose ids a worker remembers at once.
-REMEMBERED = 1_200_000
+#: Words whose ids a worker remembers at once, at most: those of late, and half of them those that were looked up before.
+REMEMBERED = 600_000
 #: Rows of a plan at most: it goes to every executor. Counts of 4096 lengths give far fewer.
 PLAN_ROWS = 2_000_000
 
@@ -180,14 +180,18 @@ class _Ids(dict):
 
         self.tokenizer = Tokenizer.from_buffer(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
+        self.before: dict[bytes, bytes] = {}
 
     def of(self, words: list[bytes]) -> list[bytes]:
         if new := {w for w in {*words} if w not in self}:
-            if len(self) + len(new) > REMEMBERED:
+            if 2 * (len(self) + len(new)) > REMEMBERED:  # what is still in use comes back from there
+                self.before = dict(self)
                 self.clear()
                 new = {*words}
             marked = {w for w in new if len(w) > 1 and w[-1:] in _MARKS and 97 <= w[-2] <= 122}
-            plain = [w for w in {*(new - marked), *(w[:-1] for w in marked), *_MARKS} if w not in self]
+            plain = {*(new - marked), *(w[:-1] for w in marked), *_MARKS}
+            self.update([(w, self.before[w]) for w in plain if w not in self and w in self.before])
+            plain = [w for w in plain if w not in self]
             for w, e in zip(plain, self.tokenizer.encode_batch_fast([w.decode() for w in plain], add_special_tokens=False), strict=True):
                 self[w] = np.array(e.ids, dtype="<u4").tobytes()
             for w in marked:
