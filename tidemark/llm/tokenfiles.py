@@ -37,7 +37,7 @@ from tidemark.llm.common import release, shared_dir, texts, written
 #: Longest code in bits (more where a vocabulary needs them), tokens of a block, tokens from checkpoint to checkpoint, tokens of a file (about).
 LIMIT, BLOCK, STRIDE, FILE = 16, 65_536, 64, 4_000_000
 #: Chunks whose ids a worker remembers at once, the longest (in bytes) that it remembers, and texts that are encoded together.
-REMEMBERED, LONGEST, TEXTS = 1_200_000, 64, 10_000
+REMEMBERED, LONGEST, TEXTS = 1_200_000, 64, 4096
 _HEADER, _BLOCK, _END = struct.Struct("<4sIBII"), struct.Struct("<4sIIIIB"), struct.Struct("<4sIQQ")
 #: Characters that are or may be taken for white space beyond ASCII's.
 _ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
