@@ -76,11 +76,11 @@ def outcomes(sims: DataFrame) -> DataFrame:
 
 
 def bands(sims: DataFrame) -> DataFrame:
-    """The 5th to 95th percentiles of the outcomes."""
+    """The 5th to 95th percentiles of the outcomes, a row for each measure; nulls where there is nothing to simulate."""
     p = {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
     measures = ["total_return", "max_drawdown", "expectancy_r"]
-    long = outcomes(sims).select(F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("v")) for m in measures])).alias("x")).select("x.*")
-    q = long.groupBy("measure").agg(F.percentile("v", F.array(*[F.lit(x) for x in p.values()])).alias("_q"))
+    whole = outcomes(sims).agg(*[F.percentile(m, F.array(*[F.lit(x) for x in p.values()])).alias(m) for m in measures])
+    q = whole.select(F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("_q")) for m in measures])).alias("x")).select("x.*")
     return q.select("measure", *[F.col("_q")[i].alias(a) for i, a in enumerate(p)])
 
 
