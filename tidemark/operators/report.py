@@ -15,20 +15,21 @@ def sections(trades: DataFrame, unit: str = "year", fraction: float = 0.01, stra
     """scope (book, period, instrument, strategy, period_instrument), period, symbol, strategy and measures of each group, by grouping sets: the trades are read once.
 
     ``trades``: symbol, exit_ts, r, result; ``strategy``: a column of the strategies' names, if there is one. return_pct compounds ``fraction`` of the
-    balance a trade; win_rate and profit_factor_r are null without a decided trade and without a loss.
+    balance a trade; win_rate and profit_factor_r are null without a decided trade and without a loss. A book without trades has its row, too.
     """
     kept = [F.date_trunc(unit, "exit_ts").alias("period"), "symbol", F.col(strategy).alias("strategy") if strategy else F.lit(None).cast("string").alias("strategy"), "r", "result"]
-    rows = trades.where("result <> 'cancelled' AND r IS NOT NULL").select(*kept)
+    rows = trades.where("result <> 'cancelled' AND r IS NOT NULL").select(*kept, F.lit(True).alias("_trade"))
+    rows = rows.unionByName(rows.sparkSession.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema]))  # grouping sets give nothing of no rows
     period, symbol, by_strategy = F.col("period"), F.col("symbol"), F.col("strategy")
     sets = [[], [period], [symbol], [period, symbol]] + ([[by_strategy]] if strategy else [])
     win, loss = F.sum(F.when(won(), F.col("r"))), F.sum(F.when(lost(), F.col("r")))
     growth = F.sum(F.log(F.when(1 + fraction * F.col("r") > 0, 1 + fraction * F.col("r"))))
     found = rows.groupingSets(sets, period, symbol, by_strategy).agg(
-        F.grouping_id().alias("_g"), F.count(F.lit(1)).alias("n"), F.count_if(decided()).alias("n_decided"), F.try_divide(F.count_if(won()), F.count_if(decided())).alias("win_rate"),
+        F.grouping_id().alias("_g"), F.count("_trade").alias("n"), F.count_if(decided()).alias("n_decided"), F.try_divide(F.count_if(won()), F.count_if(decided())).alias("win_rate"),
         F.avg("r").alias("expectancy_r"), F.try_divide(win, F.abs(loss)).alias("profit_factor_r"), F.sum("r").alias("total_r"), (100 * (F.exp(growth) - 1)).alias("return_pct"),
     )
     scope = F.when(F.col("_g") == 7, "book").when(F.col("_g") == 3, "period").when(F.col("_g") == 5, "instrument").when(F.col("_g") == 6, "strategy").otherwise("period_instrument")
-    return found.select(scope.alias("scope"), "period", "symbol", "strategy", *_MEASURES)
+    return found.where("n > 0 OR _g = 7").select(scope.alias("scope"), "period", "symbol", "strategy", *_MEASURES)
 
 
 def spread(values: Column) -> Column:
