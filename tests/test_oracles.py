@@ -44,7 +44,7 @@ def test_query_equals_oracle(spark, duck, name):
 
 
 #: The queries that give rows where no bar breaks out of its channel, so that there are no trades.
-WITHOUT_TRADES = ["bootstrap_ci", "report_sections"]
+WITHOUT_TRADES = ["bootstrap_ci", "report_sections", "report_verdict"]
 
 
 @pytest.mark.parametrize("name", WITHOUT_TRADES)
@@ -56,6 +56,14 @@ def test_query_equals_oracle_without_trades(spark, tmp_path, name):
     assert got == expected and len(got[1]) > 0
 
 
+def test_verdict_equals_oracle_with_one_instrument(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * REPLACE ('view' AS event_type) FROM '{DIR}/events.parquet') TO '{tmp_path}/events.parquet'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got, expected = rows(registry.queries()["report_verdict"](spark, str(tmp_path)).toPandas()), rows(con.execute(registry.oracle_sql()["report_verdict"]).df())
+    assert got == expected and dict(zip(got[0], got[1][0], strict=True))["n_instruments"] == 1
+
+
 @pytest.mark.parametrize("name", sorted({*registry.queries()} - {*registry.oracle_sql()}))
 def test_query_without_oracle_runs(spark, name):
     assert registry.queries()[name](spark, DIR).count() > 0
