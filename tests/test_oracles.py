@@ -44,7 +44,7 @@ def test_query_equals_oracle(spark, duck, name):
 
 
 #: The queries that give rows where no bar breaks out of its channel, so that there are no trades.
-WITHOUT_TRADES = ["bootstrap_ci", "report_sections", "report_verdict"]
+WITHOUT_TRADES = ["bootstrap_ci", "report_sections", "report_verdict", "shuffle_dd"]
 
 
 @pytest.mark.parametrize("name", WITHOUT_TRADES)
