@@ -196,6 +196,22 @@ def test_tokenizers_that_see_more_than_words_read_whole_texts():
     assert isinstance(whole, packing._Whole) and len(whole.text(b"A b")) % 4 == 0
 
 
+def test_words_of_letters_skip_steps_that_leave_them_as_they_are(monkeypatch):
+    import json
+
+    plain = Path(tokenizer_path()).read_bytes()
+    parts = json.loads(plain)
+    assert packing.letters_alone(parts) is not None
+    assert packing.letters_alone(parts | {"normalizer": {"type": "NFD"}}) is None  # takes accents off
+    spaced = parts["pre_tokenizer"]["pretokenizers"][:-1] + [parts["pre_tokenizer"]["pretokenizers"][-1] | {"add_prefix_space": True}]
+    assert packing.letters_alone(parts | {"pre_tokenizer": {"type": "Sequence", "pretokenizers": spaced}}) is None
+    monkeypatch.setattr(packing, "REMEMBERED", 60)  # forgotten words are looked up again
+    words, whole, rng = packing._Ids(plain), packing._Whole(plain), random.Random(4)
+    for _ in range(200):
+        text = " ".join("".join(rng.choices("abxyzßàäçéñöøüÿ×œÉA.,'3", k=rng.randint(1, 6))) for _ in range(20)).encode()
+        assert words.text(text) == whole.text(text)
+
+
 def test_packing_round_trip(spark, corpus):
     from tokenizers import Tokenizer
 

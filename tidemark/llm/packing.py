@@ -10,8 +10,11 @@ from __future__ import annotations
 
 import json
 import random
+import re
+import struct
 import zlib
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import numbered, texts, written
+from tidemark.llm.wordpieces import byte_of_symbol
+
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
 
 #: Words whose ids a worker remembers at once, at most: those of late, and half of them those that were looked up before.
 REMEMBERED = 600_000
@@ -144,7 +151,7 @@ _MARKS = (b".", b",")
 _BY_WORD = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "Replace", "Split", "ByteLevel", "Whitespace", "WhitespaceSplit", "Punctuation", "Digits", "BertNormalizer", "BertPreTokenizer"}
 #: Patterns of Replace and Split steps that look at words alone (fixed values): a step with any other may look across them.
 _BY_WORD_PATTERNS = {r"\s+", r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
-_PROBES = "a Z b. c, . , d.e f,g 7 8. é Éa ß. 's don't we'll x'S \t \n  \r\n () a) (b 3.5 1,000 _ -- a-b ö, é. zz.. qq,, ".split(" ")
+_PROBES = "a Z b. c, . , d.e f,g 7 8. é Éa ß. 's don't we'll x'S \t \n  \r\n () a) (b 3.5 1,000 _ -- a-b ö, é. zz.. qq,, words straße müde, naïve. œuvre ÿær é ªº ×÷ ".split(" ")
 
 
 def by_words(tokenizer_json: bytes) -> bool:
@@ -172,7 +179,24 @@ def by_words(tokenizer_json: bytes) -> bool:
     return True
 
 
-class _Ids(dict):
+#: Words of lower-case letters up to U+00FF, as UTF-8.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+_SYMBOLS = {b: s for s, b in byte_of_symbol().items()}
+
+
+def letters_alone(parts: dict) -> Tokenizer | None:
+    """A tokenizer of the byte-level symbols of ``_LETTERS``, where all other steps of one that is ``by_words`` leave such words as they are; else None."""
+    from tokenizers import Tokenizer
+
+    steps = [x for k in ("normalizer", "pre_tokenizer") for x in ((parts.get(k) or {}).get("normalizers") or (parts.get(k) or {}).get("pretokenizers") or [parts.get(k) or {"type": None}])]
+    if not {x["type"] for x in steps} <= {"NFC", "Lowercase", "Replace", "Split", "ByteLevel"} or [x["add_prefix_space"] for x in steps if x["type"] == "ByteLevel"] != [False]:
+        return None
+    tokenizer = Tokenizer.from_buffer(json.dumps(parts | {"normalizer": None, "pre_tokenizer": None}).encode())
+    tokenizer.encode_special_tokens = True
+    return tokenizer
+
+
+class _Ids:
     """The ids of words, lower-cased A-Z, as little-endian unsigned 32-bit numbers, by a tokenizer that is ``by_words``."""
 
     def __init__(self, tokenizer_json: bytes) -> None:
@@ -180,23 +204,37 @@ class _Ids(dict):
 
         self.tokenizer = Tokenizer.from_buffer(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
+        self.letters = letters_alone(json.loads(tokenizer_json))
+        self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
 
     def of(self, words: list[bytes]) -> list[bytes]:
-        if new := {w for w in {*words} if w not in self}:
-            if 2 * (len(self) + len(new)) > REMEMBERED:  # what is still in use comes back from there
-                self.before = dict(self)
-                self.clear()
-                new = {*words}
-            marked = {w for w in new if len(w) > 1 and w[-1:] in _MARKS and 97 <= w[-2] <= 122}
-            plain = {*(new - marked), *(w[:-1] for w in marked), *_MARKS}
-            self.update([(w, self.before[w]) for w in plain if w not in self and w in self.before])
-            plain = [w for w in plain if w not in self]
-            for w, e in zip(plain, self.tokenizer.encode_batch_fast([w.decode() for w in plain], add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, dtype="<u4").tobytes()
-            for w in marked:
-                self[w] = self[w[:-1]] + self[w[-1:]]
-        return [*map(self.__getitem__, words)]
+        ids = [*map(self.known.get, words)]
+        if new := {w for w, i in zip(words, ids, strict=True) if i is None}:
+            got = self._with(new)
+            ids = [got[w] if i is None else i for w, i in zip(words, ids, strict=True)]
+        return ids
+
+    def _with(self, new: set[bytes]) -> dict[bytes, bytes]:
+        """The words known, ``new`` among them."""
+        if 2 * (len(self.known) + len(new)) > REMEMBERED:  # what is still in use comes back from there
+            self.before, self.known = self.known, {}
+        known, before = self.known, self.before
+        marked = {w for w in new if len(w) > 1 and w[-1:] in _MARKS and 97 <= w[-2] <= 122}
+        plain = {*(new - marked), *(w[:-1] for w in marked), *_MARKS}
+        known.update([(w, before[w]) for w in plain if w not in known and w in before])
+        plain = [w for w in plain if w not in known]
+        letters = [w for w in plain if _LETTERS.fullmatch(w)] if self.letters else []
+        rest = [w for w in plain if not _LETTERS.fullmatch(w)] if self.letters else plain
+        as_symbols = [w.decode() if w.isascii() else w.decode("latin-1").translate(_SYMBOLS) for w in letters]
+        for some, tokenizer, shown in ((letters, self.letters, as_symbols), (rest, self.tokenizer, [w.decode() for w in rest])):
+            if some:
+                for w, e in zip(some, tokenizer.encode_batch_fast(shown, add_special_tokens=False), strict=True):
+                    ids = e.ids
+                    known[w] = struct.pack(f"<{len(ids)}I", *ids)
+        for w in marked:
+            known[w] = known[w[:-1]] + known[w[-1:]]
+        return known
 
     def text(self, text: bytes) -> bytes:
         return b"".join(self.of(text.lower().split()))
