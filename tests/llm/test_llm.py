@@ -253,6 +253,25 @@ def test_repeats_equal_brute_force(spark, corpus):
     assert repeats.repeats(empty(spark)).count() == 0
 
 
+def test_marked_windows_are_hashed_and_covered_bytes_counted():
+    rng = random.Random(6)
+    texts = [rng.randbytes(n) for n in (1500, 900, 2500)] + [b"ab" * 700]
+    at = [repeats.anchors(t, repeats.reach(400)) for t in texts]
+    marks = [[{"at": int(a)} for a in x[0][:-1:2]] for x in at]
+    marks[1] = [{"at": 5000}]  # another text's, where fingerprints agree
+    kind = pa.list_(pa.struct([("at", pa.int64())]))
+    columns = [pa.array(range(4)), pa.array([0] * 4, pa.int32()), pa.array(texts, pa.binary()), pa.array(marks, kind)]
+    batch = pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "text", "marks"])
+    rows = pa.Table.from_batches(repeats._whole(400)([batch.slice(0, 0), batch.slice(0, 1), batch.slice(1)])).to_pylist()
+    got = {(r["doc_id"], r["s"], r["e"]) for r in rows if r["h1"] is not None}
+    expected = {(k, int(s), min(int(e), len(t) - 400)) for k, t in enumerate(texts) for a, s, e in zip(*at[k], strict=True) if {"at": int(a)} in marks[k] and s <= len(t) - 400}
+    assert got == expected and all((r["cls"] is None) == (r["h1"] is None) for r in rows)
+    for r in (r for r in rows if r["h1"] is None):
+        ends = repeats._levels(at[r["doc_id"]][0], 400 - 2 * repeats.reach(400) - repeats.K)[1].tolist()
+        runs = [b - a for a, b in repeats.spans_of([(a, b) for a, b in zip(at[r["doc_id"]][0].tolist(), ends, strict=False) if {"at": a} in marks[r["doc_id"]]], 0)]
+        assert (r["s"], r["e"]) == (sum(runs), max(runs, default=0))
+
+
 def test_repeats_of_hot_strings_shorter_lengths_and_doublings(spark):
     rng = random.Random(12)
     passage, other = words(rng, 70), words(rng, 25)

@@ -165,6 +165,21 @@ def _with_texts(docs: DataFrame, marks: DataFrame) -> DataFrame:
     return docs.join(marks, _same("doc_id", "fp", "_d", "_f")).select("doc_id", "fp", "text", "marks")
 
 
+def _halves(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of 16 bytes as two columns of whole numbers."""
+    both = np.frombuffer(b"".join(digests), dtype=">u8").astype(np.uint64).view(np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
+def _runs(first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The lengths of the maximal runs of bytes that [first, end) cover; ``first`` rises."""
+    if not len(first):
+        return np.zeros(1, np.int64)
+    far = np.maximum.accumulate(end)
+    new = first[1:] > far[:-1]
+    return far[np.r_[new, True]] - first[np.r_[True, new]]
+
+
 def _whole(length: int):
     """For marked anchors: their windows' bytes as one string, hashed, and as cls the bytes that any window of the anchor has.
 
@@ -175,21 +190,32 @@ def _whole(length: int):
     shared = length - 2 * near - K
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            of, cls, first, last, h1, h2 = [], [], [], [], [], []
-            for k, (t, marks) in enumerate(zip(batch.column("text").to_pylist(), batch.column("marks").to_pylist(), strict=True)):
-                where = {m["at"] for m in marks}
+        for batch in (b for b in batches if b.num_rows):
+            n = batch.num_rows
+            many, first, last, covered, longest, cls, digests = [], [], [], [], [], [], []
+            marks = batch.column("marks")
+            places = np.split(marks.flatten().field("at").to_numpy(zero_copy_only=False), np.cumsum(marks.value_lengths().to_numpy(zero_copy_only=False))[:-1])
+            for t, where in zip(batch.column("text").to_pylist(), places, strict=True):
                 at, starts, lasts = anchors(t, near)
                 ends = _levels(at, shared)[1]
-                runs = [b - a for a, b in spans_of([(a, b) for a, b in zip(at.tolist(), ends.tolist(), strict=False) if a in where], 0)]
-                of.append(k), cls.append(None), first.append(sum(runs)), last.append(max(runs)), h1.append(None), h2.append(None)
-                for a, s, e in zip(at.tolist(), starts.tolist(), lasts.tolist(), strict=True):
-                    e = min(e, len(t) - length)
-                    if a in where and s <= e:
-                        h = xxhash.xxh3_128_intdigest(t[s : e + length])
-                        c = xxhash.xxh64_intdigest(t[a : a + core])
-                        of.append(k), cls.append(c - 2**63), first.append(s), last.append(e), h1.append((h >> 64) - 2**63), h2.append((h & (2**64 - 1)) - 2**63)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(of, pa.int64())), batch.column("fp").take(pa.array(of, pa.int64())), *(pa.array(x, pa.int64()) for x in (cls, first, last, h1, h2))], ["doc_id", "fp", "cls", "s", "e", "h1", "h2"])
+                marked = where[np.searchsorted(where, at) % len(where)] == at  # both rise
+                runs = _runs(at[:-1][marked[:-1]], ends[marked[:-1]])
+                covered.append(runs.sum())
+                longest.append(runs.max())
+                lasts = np.minimum(lasts, len(t) - length)
+                marked &= starts <= lasts
+                of, to = starts[marked], lasts[marked]
+                many.append(len(of))
+                first.append(of)
+                last.append(to)
+                cls += [xxhash.xxh64_intdigest(t[a : a + core]) for a in at[marked].tolist()]
+                digests += [xxhash.xxh3_128_digest(t[s : e + length]) for s, e in zip(of.tolist(), to.tolist(), strict=True)]
+            none = np.arange(n + len(digests)) < n
+            index = pa.array(np.r_[np.arange(n), np.repeat(np.arange(n), many)])
+            hashes = [np.array(cls, dtype=np.uint64).view(np.int64), *_halves(digests)]
+            c, h1, h2 = (pa.array(np.r_[np.zeros(n, np.int64), h], mask=none) for h in hashes)
+            columns = [batch.column("doc_id").take(index), batch.column("fp").take(index), c, pa.array(np.r_[(np.array(covered, np.int64), *first)]), pa.array(np.r_[(np.array(longest, np.int64), *last)]), h1, h2]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "cls", "s", "e", "h1", "h2"])
 
     return run
 
@@ -198,13 +224,18 @@ def _single(length: int):
     """For marked ranges of window starts: each window, hashed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            of, at, own, h1, h2 = [], [], [], [], []
-            for k, (t, marks) in enumerate(zip(batch.column("text").to_pylist(), batch.column("marks").to_pylist(), strict=True)):
-                for p, o in ((p, m["own"]) for m in marks for p in range(m["s"], m["e"] + 1)):
-                    h = xxhash.xxh3_128_intdigest(t[p : p + length])
-                    of.append(k), at.append(p), own.append(o), h1.append((h >> 64) - 2**63), h2.append((h & (2**64 - 1)) - 2**63)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(of, pa.int64())), batch.column("fp").take(pa.array(of, pa.int64())), pa.array(at, pa.int64()), pa.array(own, pa.bool_()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], ["doc_id", "fp", "s", "own", "h1", "h2"])
+        for batch in (b for b in batches if b.num_rows):
+            marks = batch.column("marks")
+            s, e, own = (marks.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("s", "e", "own"))
+            each = e - s + 1
+            at = np.arange(each.sum()) + np.repeat(s - (np.cumsum(each) - each), each)
+            text = np.repeat(np.repeat(np.arange(batch.num_rows), marks.value_lengths().to_numpy(zero_copy_only=False)), each)
+            digests: list[bytes] = []
+            for t, places in zip(batch.column("text").to_pylist(), np.split(at, np.searchsorted(text, np.arange(1, batch.num_rows))), strict=True):
+                digests += [xxhash.xxh3_128_digest(t[p : p + length]) for p in places.tolist()]
+            index = pa.array(text)
+            columns = [batch.column("doc_id").take(index), batch.column("fp").take(index), pa.array(at), pa.array(np.repeat(own, each)), *map(pa.array, _halves(digests))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "s", "own", "h1", "h2"])
 
     return run
 
