@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import random
+import weakref
 import zlib
 from pathlib import Path
 
@@ -212,6 +213,18 @@ def test_words_of_letters_skip_steps_that_leave_them_as_they_are(monkeypatch):
         assert words.text(text) == whole.text(text)
 
 
+def test_a_worker_keeps_what_one_operator_remembers():
+    ids = packing._ids_of(Path(tokenizer_path()).read_bytes())
+    ids.text(b"some words")
+    assert packing._ids_of(Path(tokenizer_path()).read_bytes()) is ids  # the next task of packing has it
+    gone = weakref.ref(ids)
+    del ids
+    shingles.shingle_set(b"a task of near duplicates")
+    assert gone() is None
+    packing._ids_of(Path(tokenizer_path()).read_bytes())
+    assert common._remembered and not [*quality.measured(iter([]))] and not common._remembered
+
+
 def test_packing_round_trip(spark, corpus):
     from tokenizers import Tokenizer
 

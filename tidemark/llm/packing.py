@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import numbered, texts, written
+from tidemark.llm.common import numbered, remembered, texts, written
 from tidemark.llm.wordpieces import byte_of_symbol
 
 if TYPE_CHECKING:
@@ -240,9 +240,6 @@ class _Ids:
         return b"".join(self.of(text.lower().split()))
 
 
-_worker: dict[int, _Ids | _Whole] = {}
-
-
 class _Whole:
     """The ids of whole texts, by any tokenizer."""
 
@@ -260,9 +257,7 @@ def _ids_of(tokenizer_json: bytes) -> _Ids | _Whole:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is what Spark has given it
-    if (key := zlib.crc32(tokenizer_json)) not in _worker:
-        _worker[key] = (_Ids if by_words(tokenizer_json) else _Whole)(tokenizer_json)
-    return _worker[key]
+    return remembered((_Ids, zlib.crc32(tokenizer_json)), lambda: (_Ids if by_words(tokenizer_json) else _Whole)(tokenizer_json))
 
 
 def tokenize(docs: DataFrame, tokenizer_json: bytes, capacity: int = 4096, end_id: int = 1) -> DataFrame:

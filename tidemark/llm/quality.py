@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, release, texts, unused, written
+from tidemark.llm.common import SPACE, forget, release, texts, unused, written
 from tidemark.llm.links import BROADCAST_IDS
 
 SYMBOLS = b"#*$%&|<>"
@@ -67,6 +67,7 @@ _SCHEMA = ", ".join(f"{m} long" for m in METRICS)
 
 
 def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     for batch in batches:
         rows = [measure(t) for t in batch.column("text").to_pylist()]
         columns = [*zip(*rows, strict=True)] or [()] * len(METRICS)

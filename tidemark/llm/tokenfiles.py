@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import release, shared_dir, texts, written
+from tidemark.llm.common import release, remembered, shared_dir, texts, written
 
 #: Longest code in bits (more where a vocabulary needs them), tokens of a block, tokens from checkpoint to checkpoint, tokens of a file (about).
 LIMIT, BLOCK, STRIDE, FILE = 16, 65_536, 64, 4_000_000
@@ -198,7 +198,6 @@ _WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8
 #: Byte-level BPE's letters for bytes (a fixed rule): visible ones stand for themselves, the others for U+0100 on, in order.
 _VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTES = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
-_worker: dict[tuple[int, int], _Encoder] = {}
 
 
 def token_rows(docs: DataFrame, tokenizer_json: bytes, end_id: int) -> DataFrame:
@@ -212,15 +211,13 @@ def token_rows(docs: DataFrame, tokenizer_json: bytes, end_id: int) -> DataFrame
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is what Spark has given it
-        key = (zlib.crc32(held.value), width)
-        if key not in _worker:
-            _worker[key] = _Encoder(held.value, width)
+        encoder = remembered((_Encoder, zlib.crc32(held.value), width), lambda: _Encoder(held.value, width))
         for whole in batches:
             for i in range(0, whole.num_rows, TEXTS):
                 batch = whole.slice(i, TEXTS)
                 gc.disable()  # a million remembered words have no cycles to look for
                 try:
-                    ids, n = _worker[key].ids(batch.column("text"), end)
+                    ids, n = encoder.ids(batch.column("text"), end)
                 finally:
                     gc.enable()
                 offsets = (np.cumsum(np.append(0, n)) * width).astype(np.int32)

@@ -12,7 +12,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import texts
+from tidemark.llm.common import remembered, texts
 
 #: Words whose counts a worker remembers at once.
 REMEMBERED = 400_000
@@ -92,9 +92,6 @@ def vocabulary(path: str) -> list[bytes]:
     return sorted(bytes(map(back.__getitem__, v)) for v in forms if v and all(c in back for c in v))
 
 
-_worker: dict[int, _Known] = {}
-
-
 def token_counts(docs: DataFrame, pieces: list[bytes]) -> DataFrame:
     """Per document: doc_id, n_bytes, n_words, n_tokens (pieces of its whole text, lower-cased A-Z).
 
@@ -106,9 +103,7 @@ def token_counts(docs: DataFrame, pieces: list[bytes]) -> DataFrame:
     key = hash(tuple(pieces))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _worker:
-            _worker[key] = _Known(PieceCounter(held.value))
-        known = _worker[key]
+        known = remembered((_Known, key), lambda: _Known(PieceCounter(held.value)))
         for batch in batches:
             n_words, n_tokens, size = [], [], []
             for t in batch.column("text").to_pylist():
