@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontaminate, neardup, packing, quality, repeats
-from tidemark.llm.common import read, release, tables_made, written
+from tidemark.llm.common import read, release, small_batches, tables_made, written
 from tidemark.llm.queries import tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -16,27 +16,32 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return quality.passing(docs, read(spark, sf_dir, "labels"))
+    with small_batches(spark):
+        return quality.passing(docs, read(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of the documents that links of a Jaccard similarity of 0.8 or more join, the one of the least doc_id stays."""
-    return neardup.without_near_duplicates(docs, 80)
+    with small_batches(spark):
+        return neardup.without_near_duplicates(docs, 80)
 
 
 def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes in strings of 240 (about 40 words) that also start elsewhere go, and with them documents of nothing else."""
-    return repeats.without_repeats(docs, 240)
+    with small_batches(spark):
+        return repeats.without_repeats(docs, 240)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a copy of a test item, edited or not, go."""
-    return decontaminate.without_contaminated(docs, read(spark, sf_dir, "benchmark"))
+    with small_batches(spark):
+        return decontaminate.without_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents, tokenized, cut and packed: a row for each piece."""
-    return packing.pack(docs, Path(tokenizer_path()).read_bytes(), 4096, 1)
+    with small_batches(spark):
+        return packing.pack(docs, Path(tokenizer_path()).read_bytes(), 4096, 1)
 
 
 STAGES: list[tuple[str, Stage]] = [

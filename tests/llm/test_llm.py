@@ -14,6 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidemark.llm import common, decontaminate, lm, neardup, packing, paragraphs, quality, repeats, sharding, shingles, toxicity, wordpieces
 from tidemark.llm.queries import tokenizer_path
 
@@ -225,6 +226,35 @@ def test_a_worker_keeps_what_one_operator_remembers():
     assert common._remembered and not [*quality.measured(iter([]))] and not common._remembered
 
 
+def test_stages_of_the_pipeline_hand_python_few_rows_at_a_time(spark, corpus, monkeypatch):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(key)
+    rows = lambda: [r["n"] for r in spark.range(0, 2500, 1, 1).mapInArrow(sizes, "n long").collect()]
+    with common.small_batches(spark):
+        assert rows() == [1000, 1000, 500]
+    assert rows() == [2500] and spark.conf.get(key) == before
+    for module, name in ((quality, "passing"), (neardup, "without_near_duplicates"), (repeats, "without_repeats"), (decontaminate, "without_contaminated"), (packing, "pack")):
+        monkeypatch.setattr(module, name, lambda docs, *_: seen.append(int(spark.conf.get(key))) or docs)
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, corpus[1], "/root/testdata/sf0.001")
+    assert seen == [1000] * 5 and spark.conf.get(key) == before
+
+
+def test_decontamination_is_written_before_its_rows_are_read(spark, corpus):
+    texts, docs = corpus
+    items = spark.createDataFrame([(0, texts[7]), (1, texts[8])], "item_id long, text string")
+    with common.tables_made() as made:
+        out = decontaminate.without_contaminated(docs, items)
+    gone = {r["doc_id"] for r in decontaminate.contaminated(docs, items).collect()}
+    assert len(made) == 1 and {r[0] for r in made[0].collect()} == gone and gone
+    assert "MapInArrow" not in out._jdf.queryExecution().toString()
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted(r["doc_id"] for r in docs.collect() if r["doc_id"] not in gone)
+
+
 def test_packing_round_trip(spark, corpus):
     from tokenizers import Tokenizer
 

@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import row_of, texts
+from tidemark.llm.common import forget, texts, unused, written
+from tidemark.llm.links import BROADCAST_IDS
 
 #: Characters of test items in a block: what goes to an executor at once.
 BLOCK_CHARS = 8_000_000
@@ -62,6 +63,7 @@ def _frequencies(docs: DataFrame, code: dict[str, int]) -> np.ndarray:
     held = docs.sparkSession.sparkContext.broadcast(code)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         code = held.value
         n = np.zeros(len(code), dtype=np.int64)
         for batch in batches:
@@ -212,6 +214,7 @@ def _in_block(docs: DataFrame, block: list[tuple[int | None, list[str]]], least:
     held = docs.sparkSession.sparkContext.broadcast((block, _frequencies(docs, _codes(block))))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         find = Searcher(*held.value, least)
         for batch in batches:
             rows = [(d, *m) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for m in find(t)]
@@ -223,20 +226,31 @@ def _in_block(docs: DataFrame, block: list[tuple[int | None, list[str]]], least:
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that hold no copy of a test item; rows of a null id are judged by their own text too."""
-    row = docs.select(row_of(docs).alias("_row"), "text")
-    kept = row.select("_row", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    """The rows of ``docs``, with all their columns, that hold no copy of a test item; each is judged by its own text, rows of a null id too.
+
+    Of the rows that go, id and text's hash are written, and taken out of ``docs``, by broadcast while they are few.
+    """
+    text = F.xxhash64(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    plain, gone = texts(docs, text.alias("fp")), None
     for block in _blocks(benchmark):
-        kept = _clean_of(kept, docs, block, least)
-    return kept.select("_row.*")
+        found = _holding(plain, block, least)
+        gone = found if gone is None else gone.unionByName(found)
+    if gone is None:
+        return docs
+    names = [unused(c, docs) for c in ("_gone", "_fp")]
+    gone = written(gone.distinct().toDF(*names), "contaminated")
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col(names[0])) & (text == F.col(names[1]))
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, on, "left_anti")
 
 
-def _clean_of(kept: DataFrame, docs: DataFrame, block: list[tuple[int | None, list[str]]], least: float) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast((block, _frequencies(texts(docs), _codes(block))))
+def _holding(plain: DataFrame, block: list[tuple[int | None, list[str]]], least: float) -> DataFrame:
+    """doc_id and fp of the texts that hold an item of the block."""
+    held = plain.sparkSession.sparkContext.broadcast((block, _frequencies(plain, _codes(block))))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         find = Searcher(*held.value, least)
         for batch in batches:
-            yield batch.filter(pa.array([not find(t) for t in batch.column("text").to_pylist()], pa.bool_()))
+            yield batch.select(["doc_id", "fp"]).filter(pa.array([bool(find(t)) for t in batch.column("text").to_pylist()], pa.bool_()))
 
-    return kept.mapInArrow(search, kept.schema)
+    return plain.mapInArrow(search, "doc_id long, fp long")
